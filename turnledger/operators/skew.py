@@ -122,3 +122,36 @@ def last_known(
         .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
         .drop("_block", "_carry")
     )
+
+
+def running_xor(
+    df: DataFrame, keys: list[str], order: str, columns: list[str], size: int = DEFAULT_BLOCK
+) -> DataFrame:
+    """Columns replaced by the XOR of themselves over all rows up to each row."""
+    blocks = df.withColumn("_block", _block(order, size))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carries = (
+        blocks.groupBy(*keys, "_block")
+        .agg(*[F.bit_xor(c).alias(f"_t_{c}") for c in columns])
+        .select(
+            *keys,
+            "_block",
+            *[F.coalesce(F.bit_xor(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_c_{c}") for c in columns],
+        )
+    )
+    inside = (
+        Window.partitionBy(*keys, "_block")
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = blocks.select(
+        *[c for c in blocks.columns if c not in columns],
+        *[F.bit_xor(c).over(inside).alias(c) for c in columns],
+    )
+    joined = summed.join(carries, [*keys, "_block"])
+    return joined.select(
+        *[
+            F.col(c).bitwiseXOR(F.col(f"_c_{c}")).alias(c) if c in columns else F.col(c)
+            for c in df.columns
+        ]
+    )
