@@ -16,7 +16,7 @@ from turnledger.functions.text import (
 )
 from turnledger.operators.bm25 import SCOPE
 from turnledger.operators.ranking import top_k
-from turnledger.operators.skew import DEFAULT_BLOCK, last_known, ordinal
+from turnledger.operators.skew import DEFAULT_BLOCK, last_before, ordinal
 
 QUERY = [*SCOPE, "query_id"]
 
@@ -209,24 +209,12 @@ def recent_window(
     """
     n = min(20, max(1, n)) if isinstance(n, int) else 4
     numbered = ordinal(floors, SCOPE, "message_index", size=size)
-    at = F.coalesce(F.col("user_index").cast("long"), F.lit(1 << 60))
-    probes = requests.select(
-        *SCOPE, "query_id", (at * 2).alias("_pos"), F.lit(None).cast("long").alias("_ord")
+    points = requests.select(*SCOPE, "query_id", "user_index")
+    found = last_before(
+        points, numbered, SCOPE, "user_index", "message_index", {"_last": "ordinal"}, size
     )
-    marks = numbered.select(
-        *SCOPE,
-        F.lit(None).cast(dict(requests.dtypes)["query_id"]).alias("query_id"),
-        (F.col("message_index").cast("long") * 2 + 1).alias("_pos"),
-        F.col("ordinal").alias("_ord"),
-    )
-    # One probe per distinct position keeps the order column unique inside a scope.
-    points = probes.select(*SCOPE, "_pos").distinct()
-    line = points.withColumn("_ord", F.lit(None).cast("long")).unionByName(marks.drop("query_id"))
-    found = last_known(line, SCOPE, "_pos", "_ord", "_last", size).filter(F.col("_ord").isNull())
     slots = (
-        probes.drop("_ord")
-        .join(found.select(*SCOPE, "_pos", "_last"), [*SCOPE, "_pos"])
-        .filter(F.col("_last").isNotNull())
+        found.filter("_last is not null")
         .select(*SCOPE, "query_id", "_last", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("slot"))
         .withColumn("ordinal", F.col("_last") - F.col("slot") + 1)
         .filter(F.col("ordinal") >= 1)

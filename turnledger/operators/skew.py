@@ -155,3 +155,30 @@ def running_xor(
             for c in df.columns
         ]
     )
+
+
+def last_before(
+    points: DataFrame,
+    rows: DataFrame,
+    keys: list[str],
+    at: str,
+    order: str,
+    columns: dict[str, str],
+    size: int = DEFAULT_BLOCK,
+) -> DataFrame:
+    """As-of join: for each point the last row whose ``order`` is smaller than ``at``.
+
+    Points and rows are merged into one ordered line per key, so a key with many points
+    and many rows costs their sum, not their product. A null ``at`` is after everything.
+    """
+    position = F.coalesce(F.col(at).cast("long"), F.lit(1 << 60)) * 2
+    carried = F.struct(*[F.col(c).alias(o) for o, c in columns.items()])
+    marks = rows.select(*keys, (F.col(order).cast("long") * 2 + 1).alias("_pos"), carried.alias("_row"))
+    asked = points.withColumn("_pos", position)
+    probes = asked.select(*keys, "_pos").distinct()
+    line = probes.withColumn("_row", F.lit(None).cast(marks.schema["_row"].dataType))
+    found = last_known(line.unionByName(marks), keys, "_pos", "_row", "_last", size)
+    hits = found.filter("_row is null").select(*keys, "_pos", "_last")
+    return asked.join(hits, [*keys, "_pos"], "left").select(
+        *points.columns, *[F.col("_last")[o].alias(o) for o in columns]
+    )
