@@ -27,23 +27,26 @@ _NEWEST = ["created_at", "state_node_id"]
 
 # ---------------------------------------------------------------- walking a chain
 
+# Both chains of a scope are walked side by side, told apart by ``_chain``.
+_LINE = [*SCOPE, "_chain"]
+_EDGE = "struct<from:string,to:string,node:string,dep:string>"
 
-def _links(edges: Column, state: Column) -> Column:
+
+def _link(edges: Column, state: Column) -> Column:
     return F.try_element_at(F.filter(edges, lambda e: e["from"] == state), F.lit(1))
 
 
 def _summaries(blocks: DataFrame) -> DataFrame:
     """What each block does to every state that could enter it, as edges of a shorter chain."""
     first = F.element_at("_items", 1)["edges"]
-    state = "from string, to string, ok boolean"
     start = F.transform(
         first,
         lambda e: F.struct(e["from"].alias("from"), e["from"].alias("to"), F.lit(True).alias("ok")),
-    ).cast(f"array<struct<{state.replace(' ', ':').replace(',:', ',')}>>")
+    ).cast("array<struct<from:string,to:string,ok:boolean>>")
 
     def step(acc: Column, item: Column) -> Column:
         def move(a: Column) -> Column:
-            link = _links(item["edges"], a["to"])
+            link = _link(item["edges"], a["to"])
             goes = a["ok"] & link.isNotNull()
             return F.struct(
                 a["from"].alias("from"),
@@ -54,31 +57,31 @@ def _summaries(blocks: DataFrame) -> DataFrame:
         return F.transform(acc, move)
 
     through = F.filter(F.aggregate("_items", start, step), lambda a: a["ok"])
+    nothing = F.lit(None).cast("string")
     edges = F.transform(
         through,
         lambda a: F.struct(
-            a["from"].alias("from"), a["to"].alias("to"), F.lit(None).cast("string").alias("node")
+            a["from"].alias("from"), a["to"].alias("to"), nothing.alias("node"), nothing.alias("dep")
         ),
     )
-    return blocks.select(*SCOPE, F.col("_block").alias("pos"), edges.alias("edges"))
+    return blocks.select(*_LINE, F.col("_block").alias("pos"), edges.alias("edges"))
 
 
 def _fold(blocks: DataFrame) -> DataFrame:
-    """Positions of each block with the state before them and the node chosen, from ``_entry``."""
-    out = "array<struct<pos:bigint,entry:string,node:string>>"
+    """Positions of each block with the state before them and the edge taken, from ``_entry``."""
     start = F.struct(
         F.col("_entry").alias("state"),
         F.col("_entry").isNotNull().alias("ok"),
-        F.array().cast(out).alias("out"),
+        F.array().cast(f"array<struct<pos:bigint,entry:string,taken:{_EDGE}>>").alias("out"),
     )
 
     def step(acc: Column, item: Column) -> Column:
-        link = _links(item["edges"], acc["state"])
+        link = _link(item["edges"], acc["state"])
         goes = acc["ok"] & link.isNotNull()
         row = F.struct(
             item["pos"].alias("pos"),
             F.when(acc["ok"], acc["state"]).alias("entry"),
-            F.when(goes, link["node"]).alias("node"),
+            F.when(goes, link).alias("taken"),
         )
         return F.struct(
             F.when(goes, link["to"]).otherwise(acc["state"]).alias("state"),
@@ -86,77 +89,46 @@ def _fold(blocks: DataFrame) -> DataFrame:
             F.array_append(acc["out"], row).alias("out"),
         )
 
-    done = blocks.select(*SCOPE, F.aggregate("_items", start, step)["out"].alias("_out"))
-    return done.select(*SCOPE, F.inline("_out"))
+    done = blocks.select(*_LINE, F.aggregate("_items", start, step)["out"].alias("_out"))
+    return done.select(*_LINE, F.inline("_out"))
 
 
 def _gather(grid: DataFrame, block: Column) -> DataFrame:
-    item = F.struct("pos", "edges")
     return (
         grid.withColumn("_block", block)
-        .groupBy(*SCOPE, "_block")
-        .agg(F.array_sort(F.collect_list(item), lambda a, b: _by_pos(a, b)).alias("_items"))
+        .groupBy(*_LINE, "_block")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "edges"))).alias("_items"))
     )
 
 
-def _by_pos(a: Column, b: Column) -> Column:
-    return F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
-
-
 def walk(grid: DataFrame, size: int = FOLD_BLOCK, levels: int = 2) -> DataFrame:
-    """Follow edges from the empty state along the positions of every scope.
-
-    ``grid``: scope, pos, edges (array of from, to, node; at most one per ``from``).
-    Returns per position the state before it (``entry``, null after a break) and ``node``.
-    A break is final. Blocks of ``size`` positions are first reduced to their effect on
-    each possible entering state; the reduced chain is walked the same way; then every
-    block is folded from its known entry. No task ever holds more than one block.
+    """Follow edges from the empty state along the positions of every chain.
+
+    ``grid``: scope, _chain, pos, edges (array of from, to, node, dep; at most one per
+    ``from``). Returns per position the state before it (``entry``, null after a break) and
+    the edge ``taken``. A break is final. Blocks of ``size`` positions are first reduced to
+    their effect on each possible entering state; the reduced chain is walked the same
+    way; then every block is folded from its known entry. No task ever holds more than one
+    block.
     """
     if levels == 0:
-        whole = _gather(grid, F.lit(0).cast("long")).withColumn("_entry", F.lit(""))
-        return _fold(whole)
+        return _fold(_gather(grid, F.lit(0).cast("long")).withColumn("_entry", F.lit("")))
     blocks = _gather(grid, F.floor(F.col("pos") / size).cast("long"))
     entries = walk(_summaries(blocks), size, levels - 1).select(
-        *SCOPE, F.col("pos").alias("_block"), F.col("entry").alias("_entry")
-    )
-    return _fold(blocks.join(entries, [*SCOPE, "_block"]))
-
-
-def _grid(positions: DataFrame, edges: DataFrame) -> DataFrame:
-    packed = edges.groupBy(*SCOPE, "message_index").agg(
-        F.collect_list(F.struct("from", "to", "node")).alias("edges")
+        *_LINE, F.col("pos").alias("_block"), F.col("entry").alias("_entry")
     )
-    none = F.array().cast("array<struct<from:string,to:string,node:string>>")
-    return (
-        positions.select(*SCOPE, "message_index")
-        .join(packed, [*SCOPE, "message_index"], "left")
-        .select(*SCOPE, F.col("message_index").cast("long").alias("pos"), F.coalesce("edges", none).alias("edges"))
-    )
-
+    return _fold(blocks.join(entries, [*_LINE, "_block"]))
 
-def trusted_prefix(
-    positions: DataFrame,
-    nodes: DataFrame,
-    prompt_version: Column,
-    size: int = DEFAULT_BLOCK,
-    fold_size: int = FOLD_BLOCK,
-    levels: int = 2,
-) -> DataFrame:
-    """Every position with its node and whether the chain up to it holds.
 
-    ``valid``: a node of the floor was made from this body, the state of the valid node
-    before it and the current prompt. ``lineage_valid``: the previous-state links alone
-    hold, whatever the prompt. The first miss ends each chain. The node shown is the
-    strict match, else the lineage match, else the newest of the floor.
-    """
-    ordered = previous_row(
-        positions, SCOPE, "message_index", {"_before": "floor_id"}, size
-    ).withColumn("_prompt", prompt_version)
+def _strict_edges(positions: DataFrame, nodes: DataFrame, prompt: Column, size: int) -> DataFrame:
+    """Edges between states of neighbouring floors whose dependency matches a node."""
+    ordered = previous_row(positions, SCOPE, "message_index", {"_before": "floor_id"}, size)
+    slim = ordered.select(*SCOPE, "message_index", "floor_id", "body_fingerprint", "_before", prompt.alias("_prompt"))
     states = nodes.select(
         F.col("floor_id").alias("_before"), F.col("state_fingerprint").alias("from")
     ).distinct()
-    starts = ordered.filter("_before is null").withColumn("from", F.lit(""))
-    entered = ordered.join(states, "_before").unionByName(starts.select("_before", *[c for c in ordered.columns if c != "_before"], "from"))
+    starts = slim.filter("_before is null").withColumn("from", F.lit(""))
+    entered = slim.join(states, "_before").unionByName(starts)
     expected = entered.select(
         *SCOPE,
         "message_index",
@@ -166,81 +138,122 @@ def trusted_prefix(
             "dependency_fingerprint"
         ),
     )
-    by_dependency = latest_per_key(
-        nodes.select("floor_id", "dependency_fingerprint", "state_node_id", "state_fingerprint", "created_at"),
+    newest = latest_per_key(
+        nodes.select(
+            "floor_id", "dependency_fingerprint", "state_node_id", "state_fingerprint", "created_at"
+        ),
         ["floor_id", "dependency_fingerprint"],
         _NEWEST,
     )
-    strict = expected.join(by_dependency, ["floor_id", "dependency_fingerprint"]).select(
-        *SCOPE,
-        "message_index",
-        "from",
-        F.col("state_fingerprint").alias("to"),
-        F.col("state_node_id").alias("node"),
+    return expected.join(newest, ["floor_id", "dependency_fingerprint"]).select(
+        *SCOPE, "message_index", F.lit("strict").alias("_chain"), *_edge()
     )
-    by_link = latest_per_key(
+
+
+def _lineage_edges(positions: DataFrame, nodes: DataFrame) -> DataFrame:
+    newest = latest_per_key(
         nodes.select(
             "floor_id",
             F.coalesce("previous_state_fingerprint", F.lit("")).alias("from"),
             "state_node_id",
             "state_fingerprint",
+            "dependency_fingerprint",
             "created_at",
         ),
         ["floor_id", "from"],
         _NEWEST,
     )
-    lineage = positions.select(*SCOPE, "message_index", "floor_id").join(by_link, "floor_id").select(
-        *SCOPE,
-        "message_index",
-        "from",
+    here = positions.select(*SCOPE, "message_index", "floor_id")
+    return here.join(newest, "floor_id").select(
+        *SCOPE, "message_index", F.lit("lineage").alias("_chain"), *_edge()
+    )
+
+
+def _edge() -> list[Column]:
+    return [
+        F.col("from"),
         F.col("state_fingerprint").alias("to"),
         F.col("state_node_id").alias("node"),
-    )
-    key = [*SCOPE, "message_index"]
+        F.col("dependency_fingerprint").alias("dep"),
+    ]
 
-    def walked(edges: DataFrame, name: str) -> DataFrame:
-        steps = walk(_grid(positions, edges), fold_size, levels)
-        return steps.select(
-            *SCOPE,
-            F.col("pos").alias("message_index"),
-            F.col("node").alias(f"_{name}"),
-            F.col("entry").alias(f"_{name}_entry"),
-        )
 
+def trusted_prefix(
+    positions: DataFrame,
+    nodes: DataFrame,
+    prompt_version: Column,
+    size: int = DEFAULT_BLOCK,
+    fold_size: int = FOLD_BLOCK,
+    levels: int = 2,
+) -> DataFrame:
+    """Every position with its node and whether the chain up to it holds.
+
+    ``valid``: a node of the floor was made from this body, the state of the valid node
+    before it and the current prompt. ``lineage_valid``: the previous-state links alone
+    hold, whatever the prompt. The first miss ends each chain. The node shown is the
+    strict match, else the lineage match, else the newest of the floor.
+    """
+    key = [*SCOPE, "message_index"]
+    edges = _strict_edges(positions, nodes, prompt_version, size).unionByName(
+        _lineage_edges(positions, nodes)
+    )
+    # Positions without an edge still take their place, so that they break the chain.
+    chains = F.explode(F.array(F.lit("strict"), F.lit("lineage"))).alias("_chain")
+    places = positions.select(*key, chains, *[F.lit(None).cast("string").alias(c) for c in ("from", "to", "node", "dep")])
+    packed = (
+        edges.unionByName(places)
+        .groupBy(*key, "_chain")
+        .agg(F.collect_list(F.when(F.col("to").isNotNull(), F.struct("from", "to", "node", "dep"))).alias("edges"))
+    )
+    grid = packed.select(*_LINE, F.col("message_index").cast("long").alias("pos"), "edges")
+    strict = F.col("_chain") == "strict"
+    steps = (
+        walk(grid, fold_size, levels)
+        .groupBy(*SCOPE, F.col("pos").alias("message_index"))
+        .agg(
+            F.any_value(F.when(strict, F.col("entry")), True).alias("_entry"),
+            F.any_value(F.when(strict, F.col("taken")), True).alias("_strict"),
+            F.any_value(F.when(~strict, F.col("taken")), True).alias("_lineage"),
+        )
+    )
     newest = latest_per_key(
-        nodes.select("floor_id", F.col("state_node_id").alias("_any"), "created_at", "state_node_id"),
+        nodes.select(
+            "floor_id",
+            "state_node_id",
+            "created_at",
+            F.col("state_fingerprint").alias("to"),
+            F.col("dependency_fingerprint").alias("dep"),
+        ),
         ["floor_id"],
         _NEWEST,
-    ).select("floor_id", "_any")
-    fps = nodes.select(
-        "state_node_id",
-        F.col("state_fingerprint"),
-        F.col("dependency_fingerprint"),
+    ).select(
+        "floor_id",
+        F.struct(
+            F.lit(None).cast("string").alias("from"), "to", F.col("state_node_id").alias("node"), "dep"
+        ).alias("_any"),
     )
-    joined = (
-        positions.join(walked(strict, "strict"), key, "left")
-        .join(walked(lineage, "lineage"), key, "left")
+    previous = F.nullif(F.col("_entry"), F.lit(""))
+    shown = F.coalesce("_strict", "_lineage", "_any")
+    return (
+        positions.join(steps, key)
         .join(newest, "floor_id", "left")
-        .withColumn("state_node_id", F.coalesce("_strict", "_lineage", "_any"))
-        .join(fps, "state_node_id", "left")
-    )
-    previous = F.nullif(F.col("_strict_entry"), F.lit(""))
-    return joined.select(
-        *SCOPE,
-        "message_index",
-        "floor_id",
-        "body_fingerprint",
-        F.col("status").alias("floor_status"),
-        "state_node_id",
-        "state_fingerprint",
-        F.col("dependency_fingerprint").alias("node_dependency"),
-        F.col("_strict").isNotNull().alias("valid"),
-        F.col("_lineage").isNotNull().alias("lineage_valid"),
-        F.when(
-            F.col("_strict_entry").isNotNull(),
-            dependency_fingerprint(F.col("body_fingerprint"), previous, prompt_version),
-        ).alias("expected_dependency"),
-        previous.alias("previous_state_fingerprint"),
+        .withColumn("_shown", shown)
+        .select(
+            *key,
+            "floor_id",
+            "body_fingerprint",
+            F.col("status").alias("floor_status"),
+            F.col("_shown.node").alias("state_node_id"),
+            F.col("_shown.to").alias("state_fingerprint"),
+            F.col("_shown.dep").alias("node_dependency"),
+            F.col("_strict").isNotNull().alias("valid"),
+            F.col("_lineage").isNotNull().alias("lineage_valid"),
+            F.when(
+                F.col("_entry").isNotNull(),
+                dependency_fingerprint(F.col("body_fingerprint"), previous, prompt_version),
+            ).alias("expected_dependency"),
+            previous.alias("previous_state_fingerprint"),
+        )
     )
 
 
