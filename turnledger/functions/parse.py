@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions.text import trim_ws
 
 
-def extract_json_object(raw: Column) -> Column:
-    """``struct(json, reason)``: the one JSON object in a model's answer, or why there is none.
+def extract_json_objects(df: DataFrame, raw: str) -> DataFrame:
+    """Adds ``json`` and ``reason``: the one JSON object in a model's answer, or why there is none.
 
     Reasoning blocks are dropped and the first fenced block wins. The text itself is
     tried first, then the part between the outer braces, each as is and then with smart
-    quotes and trailing commas repaired.
+    quotes and trailing commas repaired. Each stage is its own column, so no expression is
+    evaluated twice.
     """
-    text = trim_ws(F.regexp_replace(raw, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", ""))
-    open_block = text.rlike(r"(?i)^<think(?:ing)?>") & ~text.rlike(r"(?i)</think(?:ing)?>")
     fence = r"(?is)```(?:json)?\s*(.*?)```"
-    body = F.when(text.rlike(fence), trim_ws(F.regexp_extract(text, fence, 1))).otherwise(text)
+    text, body, inner = F.col("_text"), F.col("_body"), F.col("_inner")
+    staged = df.withColumn(
+        "_text", trim_ws(F.regexp_replace(raw, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", ""))
+    ).withColumn(
+        "_body", F.when(text.rlike(fence), trim_ws(F.regexp_extract(text, fence, 1))).otherwise(text)
+    )
     start = F.instr(body, "{")
     end = F.length(body) - F.instr(F.reverse(body), "}") + 1
     has_inner = (start > 0) & (F.instr(body, "}") > 0) & (end > start)
-    inner = F.when(has_inner, F.substr(body, start, end - start + 1))
+    staged = staged.withColumn("_inner", F.when(has_inner, F.substr(body, start, end - start + 1)))
 
     def repaired(value: Column) -> Column:
         return F.regexp_replace(F.translate(value, "“”", '""'), r",\s*([}\]])", "$1")
 
-    tries = [body, repaired(body), inner, repaired(inner)]
-    parsed = F.coalesce(*[F.try_parse_json(t) for t in tries])
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    parsed = F.coalesce(
+        *[F.try_parse_json(t) for t in (body, repaired(body), inner, repaired(inner))]
+    )
+    staged = staged.withColumn("_v", parsed)
+    open_block = text.rlike(r"(?i)^<think(?:ing)?>") & ~text.rlike(r"(?i)</think(?:ing)?>")
     reason = (
         F.when(open_block, "unterminated reasoning block")
         .when(body == "", "empty")
-        .when(parsed.isNull(), "not valid JSON")
-        .when(~is_object, "not an object")
+        .when(F.col("_v").isNull(), "not valid JSON")
+        .when(F.col("_v").try_cast("map<string,variant>").isNull(), "not an object")
+    )
+    return (
+        staged.withColumn("reason", reason)
+        .withColumn("json", F.when(F.col("reason").isNull(), F.to_json("_v")))
+        .drop("_text", "_body", "_inner", "_v")
     )
-    return F.struct(F.when(reason.isNull(), F.to_json(parsed)).alias("json"), reason.alias("reason"))
 
 
 def canonical_base_url(raw: Column) -> Column:
@@ -87,4 +97,4 @@ def path_exists(document: Column, path: Column) -> Column:
         ),
     )
     pointer = F.concat(F.lit("$"), F.array_join(names, ""))
-    return F.expr("true") & F.call_function("get_json_object", document, pointer).isNotNull()
+    return F.call_function("get_json_object", document, pointer).isNotNull()

@@ -32,12 +32,17 @@ _WORDS = ["_w0", "_w1", "_w2", "_w3"]
 
 
 def flatten_documents(
-    docs: DataFrame, keys: list[str], column: str, max_depth: int = 8
+    docs: DataFrame,
+    keys: list[str],
+    column: str,
+    max_depth: int = 8,
+    expand_arrays: bool = False,
 ) -> DataFrame:
     """One row ``(keys, path, kind, value)`` per member of a JSON document column.
 
-    Objects give a container row and their members; arrays, scalars and whatever lies
-    below ``max_depth`` are values kept as JSON text with sorted keys.
+    Objects give a container row and their members. Arrays, scalars and whatever lies
+    below ``max_depth`` are values kept as JSON text with sorted keys; with
+    ``expand_arrays`` arrays are containers too, their members numbered from 0.
     """
     rows = docs.select(
         *keys,
@@ -45,38 +50,50 @@ def flatten_documents(
         F.try_parse_json(column).alias("_v"),
         F.lit(0).alias("_d"),
     ).filter("_v is not null")
+    itself = F.array(F.struct("path", "_v", "_d"))
+    nothing = F.filter(itself, lambda _: F.lit(False))
     for depth in range(max_depth):
-        members = F.map_entries(F.col("_v").try_cast("map<string,variant>"))
-
-        def child(entry: Column, depth: int = depth) -> Column:
-            return F.struct(
-                F.concat(F.col("path"), F.lit("/"), escape_segment(entry["key"])).alias("path"),
-                entry["value"].alias("_v"),
-                F.lit(depth + 1).alias("_d"),
+        named = F.map_entries(_members(F.col("_v")))
+        children = F.coalesce(_children(named, depth), nothing)
+        if expand_arrays:
+            numbered = F.transform(
+                _elements(F.col("_v")),
+                lambda v, i: F.struct(i.cast("string").alias("key"), v.alias("value")),
             )
-
-        itself = F.struct("path", "_v", "_d")
-        children = F.when(
-            F.col("_d") == depth, F.coalesce(_map(members, child), F.filter(F.array(itself), _none))
-        ).otherwise(F.filter(F.array(itself), _none))
-        rows = rows.select(*keys, F.explode(F.concat(F.array(itself), children)).alias("_r")).select(
+            children = F.coalesce(_children(named, depth), _children(numbered, depth), nothing)
+        grown = F.concat(itself, F.when(F.col("_d") == depth, children).otherwise(nothing))
+        rows = rows.select(*keys, F.explode(grown).alias("_r")).select(
             *keys, "_r.path", "_r._v", "_r._d"
         )
-    is_object = F.col("_v").try_cast("map<string,variant>").isNotNull() & (F.col("_d") < max_depth)
-    return rows.select(
+    open_ = F.col("_d") < max_depth
+    kind = F.when(open_ & _members(F.col("_v")).isNotNull(), "object")
+    if expand_arrays:
+        kind = kind.when(open_ & _elements(F.col("_v")).isNotNull(), "array")
+    return rows.withColumn("kind", kind.otherwise("value")).select(
         *keys,
         "path",
-        F.when(is_object, "object").otherwise("value").alias("kind"),
-        F.when(~is_object, F.to_json("_v")).alias("value"),
+        "kind",
+        F.when(F.col("kind") == "value", F.to_json("_v")).alias("value"),
     )
 
 
-def _map(entries: Column, fn) -> Column:
-    return F.transform(entries, lambda e: fn(e))
+def _members(value: Column) -> Column:
+    return value.try_cast("map<string,variant>")
+
 
+def _elements(value: Column) -> Column:
+    return value.try_cast("array<variant>")
 
-def _none(_: Column) -> Column:
-    return F.lit(False)
+
+def _children(entries: Column, depth: int) -> Column:
+    return F.transform(
+        entries,
+        lambda e: F.struct(
+            F.concat(F.col("path"), F.lit("/"), escape_segment(e["key"])).alias("path"),
+            e["value"].alias("_v"),
+            F.lit(depth + 1).alias("_d"),
+        ),
+    )
 
 
 def is_volatile(path: Column) -> Column:
