@@ -74,13 +74,11 @@ def prepare_context(
     """One row per request: ready, reason, long_memory, current_state, token counts.
 
     ``state_texts`` (request key, text, tokens) comes from ``context.render_state``. A
-    request that is not ready gets neither text; its recall is dropped before packing.
+    request that is not ready gets neither text. The gate is joined last, so the chain is
+    walked once.
     """
     gate = readiness(requests, prefix, results, size)
-    open_requests = requests.join(gate.filter("ready").select(*QUERY), QUERY, "left_semi")
-    packed = pack_for_requests(
-        open_requests, recalled.join(open_requests.select(*QUERY), QUERY, "left_semi"), memories, options
-    )
+    packed = pack_for_requests(requests, recalled, memories, options)
     memory = packed.select(
         *QUERY,
         F.col("text").alias("_memory"),
@@ -97,7 +95,7 @@ def prepare_context(
         "state_node_id",
         F.coalesce(F.when(ready, F.col("_memory")), F.lit("")).alias("long_memory"),
         F.coalesce(F.when(ready, F.col("_state")), F.lit("")).alias("current_state"),
-        F.coalesce("packed_count", F.lit(0)).alias("memory_count"),
-        F.coalesce("memory_tokens", F.lit(0)).alias("memory_tokens"),
+        F.coalesce(F.when(ready, F.col("packed_count")), F.lit(0)).alias("memory_count"),
+        F.coalesce(F.when(ready, F.col("memory_tokens")), F.lit(0)).alias("memory_tokens"),
         F.coalesce(F.when(ready, F.col("_tokens")), F.lit(0)).alias("state_tokens"),
     )

@@ -67,37 +67,33 @@ def extract_patches(floors: DataFrame, extractor: Extractor, attempts: int = 3)
     return floors.select(*columns).mapInPandas(run, _EXTRACTED)
 
 
-def rebuild_round(
-    positions: DataFrame,
-    nodes: DataFrame,
-    patches: DataFrame,
-    extractor: Extractor,
-    prompt_version: str,
-    round_number: int,
-    fold_size: int = ch.FOLD_BLOCK,
+def first_invalid(prefix: DataFrame) -> DataFrame:
+    """The floor to analyse next in every scope whose chain is broken."""
+    row = F.struct(
+        "message_index", "floor_id", "expected_dependency", "previous_state_fingerprint"
+    )
+    return (
+        prefix.filter(~F.col("valid"))
+        .groupBy(*SCOPE)
+        .agg(F.min_by(row, "message_index").alias("_f"))
+        .select(*SCOPE, "_f.*")
+    )
+
+
+def commit_round(
+    prefix: DataFrame, found: DataFrame, patches: DataFrame, round_number: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(new nodes, new patches) of the first invalid floor of every scope.
+    """(new nodes, new patches) of the floors extracted in this round.
 
-    ``positions`` carries content. ``patches``: scope, state_node_id, message_index, path,
-    value of every node. The state after the floor is the fold of the patches of the valid
-    nodes before it and its own, kept as rows and hashed without being gathered.
+    ``found`` has the patches of the first invalid floor of each scope. The state after it
+    is the fold of the patches of the valid nodes before it and its own; it is kept as rows
+    and hashed without being gathered.
     """
-    prefix = ch.trusted_prefix(positions, nodes, F.lit(prompt_version), fold_size=fold_size)
-    first = prefix.filter(~F.col("valid")).groupBy(*SCOPE).agg(
-        F.min_by(
-            F.struct("message_index", "floor_id", "expected_dependency", "previous_state_fingerprint"),
-            "message_index",
-        ).alias("_f")
-    ).select(*SCOPE, "_f.*")
-    text = positions.select("floor_id", "content")
-    found = extract_patches(first.join(text, "floor_id"), extractor).filter("error is null")
-    made = found.groupBy("floor_id").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     node_id = F.concat_ws(":", F.lit("node"), "floor_id", F.lit(str(round_number)))
-    fresh = first.join(made, "floor_id").withColumn("state_node_id", node_id)
-    new_patches = (
-        found.filter("path is not null")
-        .withColumn("state_node_id", node_id)
-        .select(*SCOPE, "state_node_id", "message_index", "path", "value")
+    good = found.filter("error is null").withColumn("state_node_id", node_id)
+    fresh = first_invalid(prefix).join(good.select("floor_id", "state_node_id").distinct(), "floor_id")
+    new_patches = good.filter("path is not null").select(
+        *SCOPE, "state_node_id", "message_index", "path", "value"
     )
     chain = prefix.filter("valid").select("state_node_id")
     before = patches.join(chain, "state_node_id", "left_semi")
@@ -105,9 +101,9 @@ def rebuild_round(
     before = salted_join(before, limit, SCOPE, [F.col("path"), F.col("message_index")]).filter(
         F.col("message_index") < F.col("_limit")
     )
-    log = before.unionByName(new_patches, allowMissingColumns=True).withColumnRenamed("message_index", "seq")
-    nothing = log.select(*SCOPE, "path", "value").filter("false")
-    rows = merge_patches(nothing, log.select(*SCOPE, "seq", "path", "value"))
+    log = before.drop("_limit").unionByName(new_patches).withColumnRenamed("message_index", "seq")
+    said = log.select(*SCOPE, "seq", "path", "value")
+    rows = merge_patches(said.select(*SCOPE, "path", "value").filter("false"), said)
     hashes = state_fingerprints(rows.withColumn("kind", F.lit("value")), SCOPE)
     new_nodes = fresh.join(hashes, SCOPE, "left").select(
         *SCOPE,
@@ -132,6 +128,7 @@ def rebuild_until_valid(
     root: str,
     first_round: int = 1,
     max_rounds: int = 1000,
+    fold_size: int = ch.FOLD_BLOCK,
 ) -> tuple[DataFrame, DataFrame, int]:
     """(nodes, patches, rounds) once no floor is left to analyse.
 
@@ -141,21 +138,30 @@ def rebuild_until_valid(
     """
     spark = positions.sparkSession
     rounds = 0
+    text = positions.select("floor_id", "content")
+
+    def written(df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     for number in range(first_round, first_round + max_rounds):
-        made, said = rebuild_round(positions, nodes, patches, extractor, prompt_version, number)
         path = f"{root}/round={number}"
-        made.write.mode("overwrite").parquet(f"{path}/new_nodes")
-        new_nodes = spark.read.parquet(f"{path}/new_nodes")
-        if new_nodes.isEmpty():
+        prefix = written(
+            ch.trusted_prefix(positions, nodes, F.lit(prompt_version), fold_size=fold_size),
+            f"{path}/prefix",
+        )
+        # Written before it is used, so that no floor is sent to the extractor twice.
+        work = first_invalid(prefix).join(text, "floor_id")
+        found = written(extract_patches(work, extractor), f"{path}/extracted")
+        if found.filter("error is null").isEmpty():
             break
-        said.write.mode("overwrite").parquet(f"{path}/new_patches")
+        made, said = commit_round(prefix, found, patches, number)
+        new_nodes = written(made, f"{path}/new_nodes")
+        new_patches = written(said, f"{path}/new_patches")
         nodes = nodes.select(*new_nodes.columns).unionByName(new_nodes)
-        patches = patches.select(*SCOPE, "state_node_id", "message_index", "path", "value").unionByName(
-            spark.read.parquet(f"{path}/new_patches")
-        )
+        patches = patches.select(*new_patches.columns).unionByName(new_patches)
         if number % 8 == 0:
-            nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-            patches.write.mode("overwrite").parquet(f"{path}/patches")
-            nodes, patches = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/patches")
+            nodes = written(nodes, f"{path}/nodes")
+            patches = written(patches, f"{path}/patches")
         rounds += 1
     return nodes, patches, rounds
