@@ -16,7 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F
 
-from turnledger.operators import bm25, chain, memory, state_log, vectors
+from turnledger.operators import bm25, chain, memory, pack, state_log, vectors
+from turnledger.plans import prepare
 from turnledger.session import build_session
 from turnledger.sources import tables
 
@@ -53,7 +54,8 @@ def main() -> None:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
-    docs, asked = base.memories(spark, sf), base.searches(spark, sf)
+    docs = kept(base.memories(spark, sf).repartition(16), "memories")
+    asked = base.searches(spark, sf)
     n_queries, n_docs = asked.count(), docs.count()
     start = time.time()
     tables.publish_index(*bm25.build_index(docs), f"{root}/index", buckets=16)
@@ -64,6 +66,20 @@ def main() -> None:
     timed("bm25_search_batch", lambda: bm25.search_index(postings, lengths, asked), n_queries)
     timed("bm25_search_without_index", lambda: bm25.bm25_topk(docs, asked), n_queries)
 
+    # The published figure is for two-term queries over all documents in one scope.
+    one_scope = docs.withColumn("branch_id", F.lit("all"))
+    tables.publish_index(*bm25.build_index(one_scope), f"{root}/one", buckets=16)
+    words = F.slice(F.split("summary", r"\W+"), 2, 2)
+    pairs = kept(
+        one_scope.filter("start_floor % 4 = 0").select(
+            "chat_id", "branch_id", F.col("memory_id").alias("query_id"), F.array_join(words, " ").alias("text")
+        ),
+        "pairs",
+    )
+    one_postings = tables.read_current(spark, f"{root}/one/postings").drop("bucket")
+    one_lengths = tables.read_current(spark, f"{root}/one/lengths")
+    timed("bm25_two_term_queries", lambda: bm25.search_index(one_postings, one_lengths, pairs), pairs.count())
+
     probes = retrieval._vector_queries(spark, sf)
     timed("vector_topk", lambda: vectors.vector_topk(base.vectors(spark, sf), probes), probes.count())
 
@@ -83,7 +99,13 @@ def main() -> None:
         n_floors,
     )
     timed("chat_reconcile", lambda: chats._reconciled(spark, sf))
-    timed("greedy_pack", lambda: chats._packed(spark, sf)[0])
+    recalled = kept(bm25.search_index(postings, lengths, asked, 6), "recalled")
+    requests = asked.withColumn("context_size", F.lit(100000))
+    timed(
+        "greedy_pack",
+        lambda: prepare.pack_for_requests(requests, recalled, docs, pack.PackOptions()),
+        n_queries,
+    )
 
     print(
         json.dumps(

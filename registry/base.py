@@ -6,6 +6,7 @@ engine can run on the same files.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions.keys import dependency_fingerprint, fingerprint
 from turnledger.operators.floors import with_keys
+from turnledger.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +38,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf: str, name: str, build: Query) -> DataFrame:
+    """A derived table written once per session to the shared folder, as a deployment would
+    keep it; it is written anew if the folder was cleared."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key in _KEPT:
+        try:
+            return spark.read.parquet(_KEPT[key])
+        except Exception as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    build(spark, sf).write.parquet(path)
+    _KEPT[key] = path
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- chats
 
 FLOORS_SQL = """
@@ -320,6 +341,10 @@ def event_floors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return kept(spark, sf, "state_nodes", _make_nodes)
+
+
+def _make_nodes(spark: SparkSession, sf: str) -> DataFrame:
     from turnledger.operators.skew import previous_row
 
     made = event_floors(spark, sf).withColumn(

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.base import BLOCK, CHAIN_SQL, event_floors, nodes, query
+from registry.base import BLOCK, CHAIN_SQL, event_floors, kept, nodes, query
 from turnledger.functions.keys import dependency_fingerprint, fingerprint
 from turnledger.operators import chain as ch
 from turnledger.operators.floors import SCOPE
@@ -65,10 +65,13 @@ heads AS (
 )"""
 
 
-def _prefix(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+def _walked(spark: SparkSession, sf: str) -> DataFrame:
     positions = event_floors(spark, sf).drop("user_id", "event_id", "content")
-    made = nodes(spark, sf) if rows is None else rows
-    return ch.trusted_prefix(positions, made, F.lit("p1"), BLOCK, 512, 2)
+    return ch.trusted_prefix(positions, nodes(spark, sf), F.lit("p1"), BLOCK, 512, 2)
+
+
+def _prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return kept(spark, sf, "trusted_prefix", _walked)
 
 
 @query(
@@ -77,7 +80,7 @@ def _prefix(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> Data
     + " SELECT chat_id, branch_id, message_index, floor_id, state_node_id, valid, lineage_valid FROM prefix",
 )
 def trusted_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return _prefix(spark, sf).select(
+    return _walked(spark, sf).select(
         *SCOPE, "message_index", "floor_id", "state_node_id", "valid", "lineage_valid"
     )
 
