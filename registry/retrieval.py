@@ -9,6 +9,7 @@ from registry.base import (
     MEMORIES_SQL,
     SEARCHES_SQL,
     VECTORS_SQL,
+    kept,
     memories,
     query,
     searches,
@@ -152,10 +153,17 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_indexed_topk", _SCORES_SQL + _BM25_OUT)
 def bm25_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Same answer through the index tables (postings and lengths)."""
-    postings, lengths = bm25.build_index(memories(spark, sf))
+    postings, lengths = _index(spark, sf)
     return _ranked(bm25.search_index(postings, lengths, searches(spark, sf)))
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        kept(spark, sf, "postings", lambda s, d: bm25.build_index(memories(s, d))[0]),
+        kept(spark, sf, "lengths", lambda s, d: bm25.build_index(memories(s, d))[1]),
+    )
+
+
 # A later state of the memories: some edited, some withdrawn, some new to the index.
 _SYNC_SQL = f"""
 WITH {MEMORIES_SQL},
@@ -386,8 +394,8 @@ ordered AS (
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = memories(spark, sf), searches(spark, sf)
-    postings, lengths = bm25.build_index(docs)
+    asked = searches(spark, sf)
+    postings, lengths = _index(spark, sf)
     scored = bm25.score(postings, bm25.corpus_stats(lengths), bm25.query_terms(asked))
     keys = [*SCOPE, "query_id"]
     first = bm25.top_k(scored, keys, bm25.by_score(), 10)
@@ -437,6 +445,10 @@ final AS (
 
 
 def _final(spark: SparkSession, sf: str) -> DataFrame:
+    return kept(spark, sf, "recalled", _select_final)
+
+
+def _select_final(spark: SparkSession, sf: str) -> DataFrame:
     fused = _fused(spark, sf)
     quality = table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("memory_id"),
@@ -451,7 +463,7 @@ def _final(spark: SparkSession, sf: str) -> DataFrame:
     _RERANK_SQL + " SELECT chat_id, branch_id, query_id, rank, memory_id, rerank_status FROM final",
 )
 def rerank_and_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return _final(spark, sf).select(*SCOPE, "query_id", "rank", "memory_id", "rerank_status")
+    return _select_final(spark, sf).select(*SCOPE, "query_id", "rank", "memory_id", "rerank_status")
 
 
 @query(
