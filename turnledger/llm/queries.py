@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnledger.llm.bagminhash import OP10_SQL, op10_near_dedup
+from turnledger.llm.contamination import OP1_SQL, op1_decontamination
 from turnledger.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from turnledger.llm.phrase_automata import OP5_SQL, op5_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op10_near_dedup": OP10_SQL,
 }
