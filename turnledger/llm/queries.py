@@ -10,11 +10,13 @@ from turnledger.llm.bagminhash import OP10_SQL, op10_near_dedup
 from turnledger.llm.contamination import OP1_SQL, op1_decontamination
 from turnledger.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from turnledger.llm.phrase_automata import OP5_SQL, op5_substring_dedup
+from turnledger.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
