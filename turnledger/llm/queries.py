@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnledger.llm.bagminhash import OP10_SQL, op10_near_dedup
 from turnledger.llm.contamination import OP1_SQL, op1_decontamination
 from turnledger.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from turnledger.llm.ngram_filter import op9_lm_scoring
 from turnledger.llm.phrase_automata import OP5_SQL, op5_substring_dedup
 from turnledger.llm.toxicity import op3_toxicity
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dedup": op10_near_dedup,
 }
 
