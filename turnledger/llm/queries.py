@@ -12,11 +12,13 @@ from turnledger.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from turnledger.llm.ngram_filter import op9_lm_scoring
 from turnledger.llm.phrase_automata import OP5_SQL, op5_substring_dedup
 from turnledger.llm.toxicity import op3_toxicity
+from turnledger.llm.warc import OP2_SQL, op2_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
@@ -26,6 +28,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
+    "op2_warc": OP2_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_near_dedup": OP10_SQL,
