@@ -11,6 +11,7 @@ from turnledger.llm.contamination import OP1_SQL, op1_decontamination
 from turnledger.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from turnledger.llm.ngram_filter import op9_lm_scoring
 from turnledger.llm.phrase_automata import OP5_SQL, op5_substring_dedup
+from turnledger.llm.token_files import op7_token_output
 from turnledger.llm.toxicity import op3_toxicity
 from turnledger.llm.warc import OP2_SQL, op2_warc
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_output": op7_token_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dedup": op10_near_dedup,
 }
