@@ -202,6 +202,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return member.join(named, "class").select("doc_id", "class_id", "class_size")
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """One document of each class, that with the smallest id; rows without id are kept."""
+    gone = near_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_classes(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 

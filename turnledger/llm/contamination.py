@@ -152,7 +152,7 @@ def contained_items(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item. A document without id is judged, but kept."""
+    """The documents that contain no item; rows without id are kept."""
     bad = contained_items(docs, items).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

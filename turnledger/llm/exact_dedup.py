@@ -74,10 +74,13 @@ def with_decisions(docs: DataFrame, index: str, id_col: str = "doc_id", text_col
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with their columns: one of each text, also where a row
+    is repeated with its id."""
     index = create_index(docs.sparkSession)
     append_batch(docs, index, "all", id_col, text_col)
-    return with_decisions(docs, index, id_col, text_col).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kept = with_decisions(boxed, index, "_id", "_text").filter("_kept")
+    return kept.dropDuplicates(["_text_sha256"]).select("_row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:

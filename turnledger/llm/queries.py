@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_pipeline import run as run_pipeline
 from turnledger.llm.bagminhash import OP10_SQL, op10_near_dedup
 from turnledger.llm.contamination import OP1_SQL, op1_decontamination
 from turnledger.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from turnledger.llm.ngram_filter import op9_lm_scoring
 from turnledger.llm.phrase_automata import OP5_SQL, op5_substring_dedup
+from turnledger.llm.piece_sampling import op8_sentencepiece
+from turnledger.llm.pseudonyms import op4_pseudonyms
 from turnledger.llm.token_files import op7_token_output
 from turnledger.llm.toxicity import op3_toxicity
 from turnledger.llm.warc import OP2_SQL, op2_warc
@@ -21,11 +24,14 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_output": op7_token_output,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_dedup": op10_near_dedup,
+    "pipeline": run_pipeline,
 }
 
 SQL: dict[str, str] = {

@@ -43,6 +43,14 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and factors: mix((sums[b] - sums[a]) * factors[a]) is the hash of bytes a to b."""
+    up, down = _power_tables(_P1, len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ALNUM = np.zeros(256, bool)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from turnledger.llm.text_arrays import ALNUM, chunked_words, mix
 
@@ -267,7 +268,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns = docs.columns
     plain = [c for c in columns if c != "text"]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("rest"), "text")
-    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, text string, score double"
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     out = rows.mapInArrow(_scorer(shared, ["rest", "text"]), schema).withColumn("lang", F.col("rest.lang"))
     kept = out.filter(F.col("score") < language_cut(net))
     return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in columns])
