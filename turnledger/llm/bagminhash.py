@@ -10,9 +10,12 @@ is its first arrival: two texts agree in it with probability
 sum(min weight) / sum(max weight), the weighted Jaccard similarity, without bias.
 
 Texts are collapsed by digest first. In a bucket of a band every text meets the bucket's
-leader only; pairs are verified on the exact multisets; then texts of one bucket that are
-still in different classes meet each other. So a group of n copies costs n pairs, and every
-candidate pair is either verified or already in one class.
+leader only: the text with the smallest share of shingles that no other candidate has, which
+in a group of edited copies is the original or near it. Pairs are verified on the exact
+multisets; then texts of one bucket that are still in different classes meet each other. So a
+group of n copies costs n pairs. A pair is left out only where it cannot pass: shingles
+that occur in one text alone bound what two texts share. Every candidate pair is verified,
+already in one class, or ruled out by that bound.
 
 Defined cases: null is an empty text; texts without words equal only the same text; rows
 with equal texts (also repeated rows) share a class; rows without id are members but never
@@ -56,7 +59,7 @@ def bag_signatures(values: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_
     low = np.where(level > 0, 2.0 ** (level - 1), 0.0)
     width = np.where(level > 0, low, 1.0)
     row, weight = rows[owner], weights[owner].astype(np.float64)
-    seed = mix(values[owner] + level.astype(np.uint64) * _C1)
+    seed = mix(mix(values[owner] ^ (level.astype(np.uint64) * _C3)))
     time = np.zeros(len(owner))
     table = np.full(n_rows * m, np.inf)
     step = 0
@@ -154,6 +157,46 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_verifier(threshold), "a binary, b binary, similarity double")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, id, w, n) of every shingle of a text, and a row of its own with its total n."""
+    for batch in batches:
+        ids = batch.column("id").to_numpy()
+        for low, high, words in chunked_words(batch.column("text"), ALNUM, True):
+            values, rows, weights = weighted(*shingles(words))
+            own = ids[low:high]
+            total = np.bincount(rows, weights=weights, minlength=high - low).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([values, mix(own.view(np.uint64) ^ _C2)]).view(np.int64)),
+                    pa.array(np.concatenate([own[rows], own])),
+                    pa.array(np.concatenate([weights, np.zeros(len(own), np.int64)])),
+                    pa.array(np.concatenate([np.zeros(len(rows), np.int64), total])),
+                ],
+                ["h", "id", "w", "n"],
+            )
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(key, n, own): shingles of each text, and how many of them no other of the texts has.
+
+    A shingle of one text names that text as its smallest, so no row meets its count again.
+    """
+    rows = texts.select(F.xxhash64("key").alias("id"), "text").mapInArrow(_shingle_rows, "h bigint, id bigint, w bigint, n bigint")
+    single = (
+        rows.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("id"), F.sum("w").alias("w"), F.sum("n").alias("n"))
+        .filter("_c = 1")
+    )
+    sums = single.groupBy("id").agg(F.sum("n").alias("n"), F.sum("w").alias("own"))
+    return texts.select("key", F.xxhash64("key").alias("id")).join(sums, "id").drop("id")
+
+
+def _can_pass(n_a, own_a, n_b, own_b, threshold: float):
+    """Whether two texts can share enough without the shingles that each has alone."""
+    most = F.least(n_a - own_a, n_b - own_b)
+    return most >= threshold * (n_a + n_b - most) - 1e-9
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: its id, class_id (smallest id of the class), class_size."""
     keyed = docs.select(
@@ -163,34 +206,40 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     signed = keyed.select("key", "text").mapInArrow(_signed, "key binary, bands array<bigint>").dropDuplicates(["key"])
     placed = signed.select("key", F.explode("bands").alias("band"))
-    leaders = placed.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = written(placed.join(leaders, "band"), "near_members")
-
-    stars = written(
-        members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "near_stars"
-    )
+    full = placed.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band")
+    places = written(placed.join(full, "band"), "near_places")
     texts = written(
         keyed.select("key", "text")
-        .join(members.select("key").distinct(), "key", "left_semi")
+        .join(places.select("key").distinct(), "key", "left_semi")
         .groupBy("key")
         .agg(F.first("text").alias("text")),
         "near_texts",
     )
+    members = written(places.join(own_shingles(texts), "key"), "near_members")
+    leaders = members.groupBy("band").agg(F.min_by(F.struct("key", "n", "own"), F.struct(F.col("own") / F.col("n"), "key")).alias("leader"))
+    stars = written(
+        members.join(leaders, "band")
+        .filter(F.col("key") != F.col("leader.key"))
+        .filter(_can_pass(F.col("n"), F.col("own"), F.col("leader.n"), F.col("leader.own"), threshold))
+        .select(F.col("leader.key").alias("a"), F.col("key").alias("b"))
+        .distinct(),
+        "near_stars",
+    )
     links = written(verified(stars, texts, threshold), "near_links")
     classes = components(links)
 
     # Texts of one bucket that the leader left in different classes.
-    here = members.join(classes, "key", "left").select("band", "key", F.coalesce("class", "key").alias("class"))
+    here = members.join(classes, "key", "left").select("band", "key", "n", "own", F.coalesce("class", "key").alias("class"))
     mixed = here.groupBy("band").agg(F.min("class").alias("_x"), F.max("class").alias("_y")).filter("_x <> _y").select("band")
     apart = written(here.join(mixed, "band"), "near_apart")
-    x = apart.select("band", F.col("key").alias("a"), F.col("class").alias("_ca"))
-    y = apart.select("band", F.col("key").alias("b"), F.col("class").alias("_cb"))
+    x = apart.select("band", F.col("key").alias("a"), F.col("class").alias("_ca"), F.col("n").alias("_na"), F.col("own").alias("_oa"))
+    y = apart.select("band", F.col("key").alias("b"), F.col("class").alias("_cb"), F.col("n").alias("_nb"), F.col("own").alias("_ob"))
     crossed = (
         x.join(y, "band")
         .filter("_ca <> _cb and a < b")
+        .filter(_can_pass(F.col("_na"), F.col("_oa"), F.col("_nb"), F.col("_ob"), threshold))
         .select("a", "b")
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
     more = written(verified(crossed, texts, threshold), "near_more")
     if more.limit(1).count():
