@@ -158,6 +158,16 @@ class Lattice:
         self.q = np.exp(self.log_q)
         cum = np.concatenate([[0.0], np.cumsum(self.q)])
         self.cum = cum[1:] - cum[self.edges[self.char]]
+        # Log of what the other edges of the node sum to, also where one edge is nearly certain.
+        top = np.maximum.reduceat(self.q, self.edges[:-1]) if n else self.q
+        first_top = np.flatnonzero(self.q == top[self.char])
+        first_top = first_top[np.concatenate([[True], np.diff(self.char[first_top]) > 0])] if n else first_top
+        others = self.q.copy()
+        others[first_top] = 0.0
+        rest = 1.0 - self.q
+        rest[first_top] = np.add.reduceat(others, self.edges[:-1]) if n else 0.0
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(rest)
 
     def walk(self, position: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from ``position`` to ``stop``: edges in order, and their number for each."""
@@ -196,12 +206,6 @@ class _Path:
         self.used: dict[int, list[int]] = {}
 
 
-def _log1m(log_q: np.ndarray) -> np.ndarray:
-    """log(1 - q), -inf where nothing is left."""
-    with np.errstate(divide="ignore"):
-        return np.where(log_q > -1e-12, -np.inf, np.log(-np.expm1(np.minimum(log_q, 0.0))))
-
-
 def _truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel values of a location, below ``top``."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
@@ -213,6 +217,9 @@ def _truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarr
 def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int):
     """(text, rank, log probability, log inclusion, ids) arrays of the draws of a chunk."""
     n = len(offsets) - 1
+    if not len(data):
+        nothing = np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+        return [(np.full(n, draw == 0), np.zeros(n), np.zeros(n), *nothing) for draw in range(k)]
     start = np.flatnonzero(data == 32)
     word_first = np.searchsorted(start, offsets)
     end = np.append(start[1:], len(data))
@@ -263,7 +270,7 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
             head_words = [np.zeros(0, np.int64)] * n
             for t in np.flatnonzero(active).tolist():
                 other = paths[origin[t]]
-                a, b = other.first[t], other.first[t + 1]
+                a, b = int(other.first[t]), int(other.first[t + 1])
                 s = int(a + np.argmax(other.queue[a:b]))
                 node = int(lattice.char[other.edge[s]])
                 taken = other.used.setdefault(s, [int(other.edge[s])])
@@ -271,7 +278,7 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
                 left = lattice.q[e0:e1].copy()
                 left[[x - e0 for x in taken]] = 0.0
                 word = int(other.word[s])
-                u = uniform(word_seed[word : word + 1] + np.uint64(draw * int(_C2) + node & _ALL))[0]
+                u = uniform(word_seed[word : word + 1] + np.uint64(draw * int(_C2) + s - a & _ALL))[0]
                 cum = np.cumsum(left)
                 edge = e0 + min(int(np.searchsorted(cum, u * cum[-1], "right")), e1 - e0 - 1)
                 while left[edge - e0] == 0.0:
@@ -282,7 +289,7 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
                 prefix = float(lattice.log_q[other.edge[a:s]].sum())
                 with np.errstate(divide="ignore"):
                     location = prefix + np.log(left.sum())
-                v = uniform(word_seed[word : word + 1] ^ (np.uint64((draw + 77) * int(_C1) + node & _ALL)))
+                v = uniform(word_seed[word : word + 1] ^ (np.uint64((draw + 77) * int(_C1) + s - a & _ALL)))
                 other.queue[s] = _truncated(np.array([location]), top[t : t + 1], v)[0]
                 heads[t] = np.append(other.edge[a:s], edge)
                 head_words[t] = np.append(other.word[a:s], word)
@@ -318,7 +325,7 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
         log_prob[draw] = run[path.first[1:]] - run[path.first[:-1]]
         number = np.arange(len(path.edge)) - path.first[:-1][of]
         u = uniform(mix(seeds[of] + salt(draw + 1, _C1)) + (number.astype(np.uint64) + np.uint64(1)) * _C2)
-        path.queue = _truncated(prefix + _log1m(log_q), top[of], u)
+        path.queue = _truncated(prefix + lattice.log_rest[path.edge], top[of], u)
         if draw:
             path.queue[number <= fresh[of]] = -np.inf
         paths.append(path)
