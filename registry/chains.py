@@ -360,13 +360,13 @@ def prior_result_lookup(spark: SparkSession, sf: str) -> DataFrame:
 WITH {CHAIN_SQL}{RESULTS_SQL}
 SELECT result_id, message_index, status FROM results
 WHERE chat_id = (SELECT min(chat_id) FROM results) AND status = 'succeeded'
-ORDER BY message_index, created_at LIMIT 20""",
+ORDER BY message_index, created_at""",
 )
 def result_listing(spark: SparkSession, sf: str) -> DataFrame:
     rows = results(spark, sf)
     smallest = rows.agg(F.min("chat_id").alias("chat_id"))
     one = rows.join(smallest, "chat_id", "left_semi").withColumn("chat_id", F.lit("first"))
-    return ch.list_results(one, "first", status="succeeded", limit=20).select(
+    return ch.list_results(one, "first", status="succeeded").select(
         "result_id", "message_index", "status"
     )
 

@@ -462,11 +462,12 @@ def base_url_canonical(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "json_path_exists",
     """
-SELECT event_id, event_id % 4 IN (0, 1) AS found FROM events""",
+SELECT event_id, event_id % 5 IN (0, 1, 4) AS found FROM events""",
 )
 def json_path_exists(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths into the event properties: a field, an array item, a missing one, a null leaf."""
-    case = F.col("event_id") % 4
-    doc = F.concat(F.lit('{"p":'), "props", F.lit(',"list":[{"x":1}],"none":null}'))
-    path = F.when(case == 0, "p.k").when(case == 1, "list[0].x").when(case == 2, "list[3].x").otherwise("none")
+    """Paths into the event properties: a field, an array item, a missing one, a null leaf, a
+    member with a number for a name."""
+    case = F.col("event_id") % 5
+    doc = F.concat(F.lit('{"p":'), "props", F.lit(',"list":[{"x":1}],"none":null,"a":{"0":1}}'))
+    path = F.when(case == 0, "p.k").when(case == 1, "list[0].x").when(case == 2, "list[3].x").when(case == 3, "none").otherwise("a.0")
     return table(spark, sf, "events").select("event_id", path_exists(doc, path).alias("found"))

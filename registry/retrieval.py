@@ -348,9 +348,9 @@ def embedding_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "vector_space_fingerprint",
     """
-SELECT page_id, 'sha256:' || sha256('{"apiType":"openai","baseUrl":"' || regexp_extract(url, '^https?://[^/?#]+')
+SELECT page_id, 'sha256:' || sha256('{"apiType":"openai","baseUrl":"' || CASE WHEN page_id % 9 = 4 THEN 'ftp://' || page_id ELSE regexp_extract(url, '^https?://[^/?#]+')
   || CASE WHEN regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1) IN ('', '/') THEN '/v1'
-          ELSE rtrim(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1), '/') END
+          ELSE rtrim(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1), '/') END END
   || '","headers":[{"name":"x-page","value":"' || page_id || '"},{"name":"x-team","value":"a"}],"model":"m' || (page_id % 3) || '"}') AS space_key
 FROM pages""",
 )
@@ -360,8 +360,10 @@ def vector_space(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(" X-Team"), F.lit("a"), F.lit("Authorization"), page, F.lit("X-Page "), page
     )
     model = F.concat(F.lit("m"), (F.col("page_id") % 3).cast("string"))
+    # An address that is no HTTP URL still tells its space from others.
+    url = F.when(F.col("page_id") % 9 == 4, F.concat(F.lit(" ftp://"), page)).otherwise(F.col("url"))
     key = vector_space_fingerprint(
-        F.lit("openai"), canonical_base_url(F.col("url")), headers, model
+        F.lit("openai"), canonical_base_url(url), headers, model, url
     )
     return table(spark, sf, "pages").select("page_id", key.alias("space_key"))
 

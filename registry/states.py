@@ -84,7 +84,12 @@ _FP_SQL = "'sha256:' || sha256(w0 || ':' || w1 || ':' || w2 || ':' || w3)"
     "semantic_fingerprint",
     _VERSIONS_SQL
     + f""",
-hashed AS (SELECT chat_id, branch_id, {_HASH_SQL} AS h FROM versions WHERE valid_to IS NULL),
+rows AS (
+  SELECT chat_id, branch_id, path, kind, value FROM versions WHERE valid_to IS NULL
+  UNION ALL
+  SELECT DISTINCT chat_id, branch_id, '/story/plotlines', 'value', '[{{"id":"p' || chat_id || '"}},{{"t":[1]}},{{}}]' FROM log
+),
+hashed AS (SELECT chat_id, branch_id, {_HASH_SQL} AS h FROM rows),
 words AS (SELECT chat_id, branch_id, {_WORDS_SQL} FROM hashed GROUP BY ALL)
 SELECT chat_id, branch_id, {_FP_SQL} AS state_fingerprint FROM words""",
 )
@@ -93,7 +98,15 @@ def semantic_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     noise = rows.filter("kind = 'value'").withColumn(
         "path", F.concat("path", F.lit("/updatedAt"))
     )
-    return sl.state_fingerprints(rows.unionByName(noise), SCOPE)
+    # Items of a list carry provenance too.
+    items = F.concat(
+        F.lit('[{"id":"p'), "chat_id", F.lit('","sourceFloorIds":["f]1","f,2"],"updatedAt":"'), F.col("_at").cast("string"),
+        F.lit('"},{"source":"x","t":[1]},{"updatedAt":null}]'),
+    )
+    lists = log(spark, sf).groupBy(*SCOPE).agg(F.max("seq").alias("_at")).select(
+        *SCOPE, F.lit("/story/plotlines").alias("path"), F.lit("value").alias("kind"), items.alias("value"), F.col("_at").alias("seq")
+    )
+    return sl.state_fingerprints(rows.unionByName(noise).unionByName(lists), SCOPE)
 
 
 @query(
@@ -246,22 +259,24 @@ def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "snapshot_integrity",
-    f"""
-WITH {LOG_SQL}
+    _VERSIONS_SQL
+    + """
 SELECT chat_id, branch_id, CASE WHEN CAST(chat_id AS BIGINT) % 4 = 1 THEN 'snapshot is missing'
   ELSE 'snapshot does not hash to its fingerprint' END AS reason
-FROM (SELECT DISTINCT chat_id, branch_id FROM log) WHERE CAST(chat_id AS BIGINT) % 4 IN (1, 3)""",
+FROM (SELECT chat_id, branch_id, bool_or(valid_to IS NULL) AS alive FROM versions GROUP BY ALL
+      UNION SELECT chat_id, branch_id, FALSE FROM log WHERE chat_id NOT IN (SELECT chat_id FROM versions))
+WHERE CAST(chat_id AS BIGINT) % 4 = 3 OR (CAST(chat_id AS BIGINT) % 4 = 1 AND alive)""",
 )
 def snapshot_integrity(spark: SparkSession, sf: str) -> DataFrame:
-    """Snapshots of one scope in four are lost, of one in four tampered with."""
+    """Snapshots of one scope in four are lost, of one in four tampered with. An empty state has
+    no rows to lose."""
     rows = sl.latest_state(log(spark, sf))
     expected = sl.state_fingerprints(rows, SCOPE)
     everyone = log(spark, sf).select(*SCOPE).distinct().join(expected, SCOPE, "left")
-    expected = everyone.fillna("none", ["state_fingerprint"])
+    expected = everyone.fillna(sl.EMPTY_FINGERPRINT, ["state_fingerprint"])
     chat = F.col("chat_id").cast("bigint") % 4
     extra = log(spark, sf).filter(chat == 3).select(*SCOPE).distinct().select(
         *SCOPE, F.lit("/tampered").alias("path"), F.lit("value").alias("kind"), F.lit("1").alias("value")
     )
     kept = rows.filter(chat != 1).select(*SCOPE, "path", "kind", "value").unionByName(extra)
-    whole = expected.filter("state_fingerprint <> 'none' or cast(chat_id as bigint) % 4 in (1, 3)")
-    return sl.verify_snapshots(whole, kept, SCOPE).select(*SCOPE, "reason")
+    return sl.verify_snapshots(expected, kept, SCOPE).select(*SCOPE, "reason")

@@ -90,11 +90,12 @@ def ancestors(path: Column, include_self: bool = False) -> Column:
 
 
 def vector_space_fingerprint(
-    api_type: Column, base_url: Column, headers: Column, model: Column
+    api_type: Column, base_url: Column, headers: Column, model: Column, raw_url: Column | None = None
 ) -> Column:
     """Key of the vector space a stored embedding belongs to.
 
-    ``base_url`` must already be canonical (see ``functions.parse.canonical_base_url``).
+    ``base_url`` must already be canonical (see ``functions.parse.canonical_base_url``);
+    where it is null because the URL is not valid, the trimmed ``raw_url`` stands for it.
     Header names are trimmed, lower-cased and sorted; credential headers are left out.
     """
     entries = F.transform(
@@ -108,7 +109,7 @@ def vector_space_fingerprint(
     )
     shape = F.struct(
         api_type.alias("apiType"),
-        base_url.alias("baseUrl"),
+        (base_url if raw_url is None else F.coalesce(base_url, trim_ws(raw_url))).alias("baseUrl"),
         F.coalesce(kept, F.array().cast("array<struct<name:string,value:string>>")).alias("headers"),
         model.alias("model"),
     )

@@ -68,33 +68,20 @@ def canonical_base_url(raw: Column) -> Column:
     return F.when(text.rlike(shape), F.concat(scheme, F.lit("://"), host, suffix, full))
 
 
-def alternate_base_url(url: Column) -> Column:
-    """The same URL with its ``/v1`` suffix toggled."""
-    return F.when(url.rlike("(?i)/v1$"), F.regexp_replace(url, "(?i)/v1$", "")).otherwise(
-        F.concat(url, F.lit("/v1"))
-    )
-
+def path_exists(document: Column, path: Column) -> Column:
+    """Whether ``a.b[0].c`` leads to a value that is not null in a JSON text column.
 
-def json_path(path: str) -> str:
-    """``a.b[0].c`` as a JSON path with quoted names."""
-    import re
+    A number names a member of an object or a place of an array, whichever is there.
+    """
+    dotted = F.regexp_replace(path, r"\[(\d+)\]", r".$1")
+    parts = F.filter(F.split(dotted, r"\."), lambda p: p != "")
 
-    out = "$"
-    for part in re.sub(r"\[(\d+)\]", r".\1", path).split("."):
-        if part:
-            out += f"[{part}]" if part.isdigit() else f"['{part}']"
-    return out
+    def quoted(p: Column) -> Column:
+        return F.concat(F.lit("['"), p, F.lit("']"))
 
+    def step(value: Column, p: Column) -> Column:
+        member = F.call_function("get_json_object", value, F.concat(F.lit("$"), quoted(p)))
+        place = F.call_function("get_json_object", value, F.concat(F.lit("$["), p, F.lit("]")))
+        return F.when(value.startswith("{"), member).when(p.rlike(r"^\d+$") & value.startswith("["), place)
 
-def path_exists(document: Column, path: Column) -> Column:
-    """Whether ``a.b[0].c`` leads to a value that is not null in a JSON text column."""
-    dotted = F.regexp_replace(path, r"\[(\d+)\]", r".$1")
-    parts = F.filter(F.split(dotted, r"\."), lambda p: p != "")
-    names = F.transform(
-        parts,
-        lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(
-            F.concat(F.lit("['"), p, F.lit("']"))
-        ),
-    )
-    pointer = F.concat(F.lit("$"), F.array_join(names, ""))
-    return F.call_function("get_json_object", document, pointer).isNotNull()
+    return F.aggregate(parts, F.trim(document), step).isNotNull()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -88,12 +88,16 @@ def estimate_tokens(col: Column) -> Column:
 
 
 def usable_pattern(pattern: str) -> int | None:
-    """Number of groups in a pattern, or None when it is blank or does not compile."""
+    """Number of groups in a pattern, or None when it is blank or does not compile.
+
+    The dialect is that of the engine that will run it.
+    """
     if not pattern.strip():
         return None
+    jvm = SparkSession.active()._jvm
     try:
-        return re.compile(pattern, re.M | re.S).groups
-    except re.error:
+        return jvm.java.util.regex.Pattern.compile("(?ms)" + pattern).matcher("").groupCount()
+    except IllegalArgumentException:
         return None
 
 

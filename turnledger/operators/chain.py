@@ -409,14 +409,15 @@ def list_results(
     branch_id: str | None = None,
     floor_id: str | None = None,
     status: str | None = None,
-    limit: int = 200,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Results of one chat in message order, at most 1..1000 of them."""
+    """Results of one chat in message order: all, or the first ``limit``."""
     out = results.filter(F.col("chat_id") == chat_id)
     for name, value in (("branch_id", branch_id), ("floor_id", floor_id), ("status", status)):
         if value is not None:
             out = out.filter(F.col(name) == value)
-    return out.orderBy("message_index", "created_at").limit(min(max(int(limit), 1), 1000))
+    ordered = out.orderBy("message_index", "created_at")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def floor_results(results: DataFrame) -> DataFrame:

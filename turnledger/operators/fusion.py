@@ -15,7 +15,6 @@ from turnledger.operators.ranking import top_k
 DEFAULT_RRF_K = 60
 DEFAULT_CANDIDATES = 20
 DEFAULT_FINAL = 6
-RERANK_TEXT_CHARS = 2000
 
 
 def fuse(lists: dict[str, DataFrame], k: float = DEFAULT_RRF_K) -> DataFrame:
@@ -54,24 +53,26 @@ def rank_fused(fused: DataFrame, limit: int) -> DataFrame:
 Reranker = Callable[[pd.Series, pd.Series], pd.Series]
 
 
-def score_pool(pool: DataFrame, scorer: Reranker) -> DataFrame:
+def score_pool(pool: DataFrame, scorer: Reranker, max_chars: int | None = None) -> DataFrame:
     """Relevance per pool row from a user scorer ``(query_text, document) -> score``.
 
-    ``pool`` carries query_text and document. Documents are cut to the length rerankers
-    read. A failing batch leaves its queries unscored with the error kept.
+    ``pool`` carries query_text and document. Documents are given whole unless the caller
+    names the ``max_chars`` its model reads. Each query is scored by itself, so one that fails
+    is left unscored with the error kept and does not touch others.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            error = None
-            try:
-                scores = scorer(batch["query_text"], batch["document"].str.slice(0, RERANK_TEXT_CHARS))
-                scores = pd.Series(scores, dtype="float64").to_numpy()
-            except Exception as exc:  # the scorer is user code
-                scores, error = [None] * len(batch), str(exc)
-            yield batch.drop(columns=["query_text", "document"]).assign(
-                rerank_score=scores, error=error
-            )
+            for _, part in batch.groupby([*SCOPE, "query_id"], sort=False, dropna=False):
+                error = None
+                try:
+                    scores = scorer(part["query_text"], part["document"].str.slice(0, max_chars))
+                    scores = pd.Series(scores, dtype="float64").to_numpy()
+                except Exception as exc:  # the scorer is user code
+                    scores, error = [None] * len(part), str(exc)
+                yield part.drop(columns=["query_text", "document"]).assign(
+                    rerank_score=scores, error=error
+                )
 
     types = dict(pool.dtypes)
     return pool.select(*SCOPE, "query_id", "memory_id", "query_text", "document").mapInPandas(

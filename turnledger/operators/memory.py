@@ -332,11 +332,12 @@ def memory_rows(slices: DataFrame, batches: DataFrame) -> DataFrame:
 Summariser = Callable[[list[dict]], list[str]]
 
 
-def extractive_summariser(inputs: list[dict]) -> list[str]:
-    """Deterministic stand-in for a model: one slice with the first words of every floor."""
+def extractive_summariser(inputs: list[dict], words_per_floor: int | None = None) -> list[str]:
+    """Deterministic stand-in for a model: one slice with the words of every floor, or the
+    first ``words_per_floor`` of each."""
     out = []
     for item in inputs:
-        words = [" ".join((f["content"] or "").split()[:8]) for f in item["floors"]]
+        words = [" ".join((f["content"] or "").split()[:words_per_floor]) for f in item["floors"]]
         text = " / ".join(w for w in words if w)
         span = {"startFloor": int(item["batch_start_floor"]), "endFloor": int(item["batch_end_floor"])}
         out.append(json.dumps({"slices": [{**span, "summary": text}] if text else []}))

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.keys import split_pointer
+from turnledger.functions.keys import join_pointer, split_pointer
 from turnledger.functions.text import non_blank, trim_ws
 from turnledger.operators.bm25 import SCOPE
 from turnledger.operators.quality import locked_writes
-from turnledger.operators.ranking import latest_per_key
 from turnledger.operators.skew import salted_join
 
-# Fixed value: how many distinct sources a record remembers.
-MAX_SOURCES = 50
+# How many distinct sources a record remembers unless the caller says otherwise.
+DEFAULT_SOURCES = 50
 
 
 def _key(name: Column) -> Column:
@@ -123,7 +122,7 @@ def merge_patches(base: DataFrame, patches: DataFrame) -> DataFrame:
         .select(
             *SCOPE,
             (F.col("seq") - F.lit(0.5)).alias("seq"),
-            F.concat(F.lit("/profiles/"), "character_id", F.lit("/canonicalName")).alias("path"),
+            join_pointer(F.array(F.lit("profiles"), "character_id", F.lit("canonicalName"))).alias("path"),
             quoted.alias("value"),
         )
     )
@@ -150,11 +149,13 @@ def enforce_locks(
     return patches.join(rejected.select(*keys), keys, "left_anti"), rejected
 
 
-def merge_collection(previous: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+def merge_collection(
+    previous: DataFrame, incoming: DataFrame, keys: list[str], max_sources: int | None = DEFAULT_SOURCES
+) -> DataFrame:
     """Story items with provenance: equal content keeps its sources, other items add this one.
 
     ``previous``: keys, id, content, source_ids; ``incoming``: keys, id, content, source_id.
-    The list is bounded to the last fifty distinct sources.
+    The list keeps the last ``max_sources`` distinct sources; None keeps all.
     """
     before = previous.select(
         *keys, "id", F.col("content").alias("_content"), F.col("source_ids").alias("_ids")
@@ -163,9 +164,9 @@ def merge_collection(previous: DataFrame, incoming: DataFrame, keys: list[str])
     empty = F.array().cast("array<string>")
     old = F.coalesce("_ids", empty)
     pushed = F.array_append(F.array_remove(old, F.col("source_id")), F.col("source_id"))
-    bounded = F.when(
-        F.size(pushed) > MAX_SOURCES, F.slice(pushed, -MAX_SOURCES, MAX_SOURCES)
-    ).otherwise(pushed)
+    bounded = pushed
+    if max_sources is not None:
+        bounded = F.when(F.size(pushed) > max_sources, F.slice(pushed, -max_sources, max_sources)).otherwise(pushed)
     return joined.select(
         *keys,
         "id",
@@ -173,7 +174,3 @@ def merge_collection(previous: DataFrame, incoming: DataFrame, keys: list[str])
         F.when(F.col("_content").eqNullSafe(F.col("content")), old).otherwise(bounded).alias("source_ids"),
     )
 
-
-def latest_candidates(candidates: DataFrame) -> DataFrame:
-    """The newest candidate of each floor."""
-    return latest_per_key(candidates, ["floor_id"], ["created_at", "candidate_id"])

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.keys import escape_segment
+from turnledger.functions.keys import ancestors, escape_segment
 from turnledger.functions.rules import PROFILE_PATHS
 from turnledger.operators.bm25 import SCOPE
+from turnledger.operators.state_log import flatten_documents
 
 ACTIONS = ["lock", "unlock", "restore-ai"]
 # Members that only the program writes.
@@ -135,13 +136,20 @@ def override_events(edits: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def apply_overrides(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """State rows after the override events."""
-    kept = rows.select(*SCOPE, "path", "kind", "value").join(
-        events.select(*SCOPE, "path"), [*SCOPE, "path"], "left_anti"
-    )
-    return kept.unionByName(
-        events.filter("op <> 'remove'").select(*SCOPE, "path", "kind", "value")
-    )
+    """State rows after the override events.
+
+    An event replaces its path and all below it; an object value becomes its members.
+    """
+    state = rows.select(*SCOPE, "path", "kind", "value")
+    above = state.select(*SCOPE, "path", F.explode(ancestors(F.col("path"), True)).alias("_at"))
+    gone = above.join(events.select(*SCOPE, F.col("path").alias("_at")), [*SCOPE, "_at"], "left_semi")
+    kept = state.join(gone.select(*SCOPE, "path").distinct(), [*SCOPE, "path"], "left_anti")
+    written = events.filter("op <> 'remove'").select(*SCOPE, "path", "kind", "value")
+    is_object = F.col("value").startswith("{")
+    opened = flatten_documents(
+        written.filter(is_object).withColumnRenamed("path", "_base"), [*SCOPE, "_base"], "value"
+    ).select(*SCOPE, F.concat("_base", "path").alias("path"), "kind", "value")
+    return kept.unionByName(written.filter(~F.coalesce(is_object, F.lit(False)))).unionByName(opened)
 
 
 def replacement_nodes(heads: DataFrame, fingerprints: DataFrame, now: Column) -> DataFrame:

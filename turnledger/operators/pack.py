@@ -207,7 +207,7 @@ def recent_window(
     floors are never paired across a chat: each request finds the ordinal of the floor
     before it, then joins its n ordinals by equality.
     """
-    n = min(20, max(1, n)) if isinstance(n, int) else 4
+    n = max(1, n)
     numbered = ordinal(floors, SCOPE, "message_index", size=size)
     points = requests.select(*SCOPE, "query_id", "user_index")
     found = last_before(
@@ -227,7 +227,7 @@ def recent_context(window: DataFrame, mode: str = "raw", pattern: str = "") -> D
     """Text of each recent floor and its source: raw, summary or fallback."""
     if mode != "summary":
         return window.withColumn("text", F.col("content")).withColumn("source", F.lit("raw"))
-    found = regex_summary(F.col("content"), pattern[:1000])
+    found = regex_summary(F.col("content"), pattern)
     return (
         window.withColumn("_found", found)
         .withColumn("text", F.coalesce("_found", "content"))
@@ -239,7 +239,7 @@ def recent_context(window: DataFrame, mode: str = "raw", pattern: str = "") -> D
 def recall_query(requests: DataFrame, recent: DataFrame) -> DataFrame:
     """Query text per request: the user text, then the recent texts oldest first.
 
-    At most twenty recent rows exist per request, so they are gathered as one array.
+    A request has the rows of its window only, so they are gathered as one array.
     """
     texts = recent.groupBy(*QUERY).agg(
         F.transform(
@@ -255,6 +255,3 @@ def recall_query(requests: DataFrame, recent: DataFrame) -> DataFrame:
         *QUERY, F.array_join(F.filter(parts, lambda t: trim_ws(t) != ""), "\n").alias("text")
     )
 
-
-def state_tokens(text: Column) -> Column:
-    return estimate_tokens(text)

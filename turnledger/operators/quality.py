@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from turnledger.functions import rules as r
-from turnledger.functions.keys import ancestors, split_pointer
+from turnledger.functions.keys import ancestors, join_pointer, split_pointer
 from turnledger.functions.text import non_blank, trim_ws
 from turnledger.operators.skew import salted_join
 from turnledger.operators.state_log import flatten_documents
 
-_MAX_DEPTH = 7
-
 
 def rule_table(spark: SparkSession, rules: list[r.Rule]) -> DataFrame:
     schema = StructType(
@@ -81,7 +79,7 @@ def _below_open(path: Column) -> Column:
 
 def _violations(docs: DataFrame, keys: list[str], column: str, snapshot: bool) -> DataFrame:
     spark = docs.sparkSession
-    rows = flatten_documents(docs, keys, column, _MAX_DEPTH, expand_arrays=True)
+    rows = flatten_documents(docs, keys, column, expand_arrays=True)
     table = rule_table(spark, r.snapshot_rules() if snapshot else r.candidate_rules())
     marked = rows.filter(~_below_open(F.col("path"))).withColumn("pattern", pattern_of(F.col("path")))
     joined = marked.join(table, "pattern", "left")
@@ -124,7 +122,7 @@ def candidate_violations(
     out = _violations(docs, keys, column, snapshot=False)
     if locks is None:
         return out
-    rows = flatten_documents(docs, keys, column, _MAX_DEPTH, expand_arrays=True)
+    rows = flatten_documents(docs, keys, column, expand_arrays=True)
     probes = rows.select(
         *keys, "path", F.explode(ancestors(F.col("path"), include_self=True)).alias("_lock")
     )
@@ -136,7 +134,7 @@ def candidate_violations(
 def snapshot_violations(docs: DataFrame, keys: list[str], column: str, branch: str) -> DataFrame:
     """Breaches of the full schema; map keys must equal ids and branches the row's branch."""
     out = _violations(docs, keys, column, snapshot=True)
-    rows = flatten_documents(docs.select(*{*keys, branch}, column), [*{*keys, branch}], column, _MAX_DEPTH, True)
+    rows = flatten_documents(docs.select(*{*keys, branch}, column), [*{*keys, branch}], column, expand_arrays=True)
     parts = split_pointer(F.col("path"))
     quoted = F.concat(F.lit('"'), F.element_at(parts, 2), F.lit('"'))
     is_id = F.col("path").rlike("^/(profiles|traces)/[^/]+/characterId$")
@@ -160,16 +158,7 @@ def normalize_snapshot_rows(rows: DataFrame, keys: list[str], branch: Column) ->
     """
     parts = split_pointer(F.col("path"))
     entity = F.get(parts, 0).isin("profiles", "traces") & (F.size(parts) >= 2)
-    trimmed = F.concat(
-        F.lit("/"),
-        F.get(parts, 0),
-        F.lit("/"),
-        trim_ws(F.get(parts, 1)),
-        F.when(
-            F.size(parts) > 2,
-            F.concat(F.lit("/"), F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), "/")),
-        ).otherwise(F.lit("")),
-    )
+    trimmed = join_pointer(F.transform(parts, lambda p, i: F.when(i == 1, trim_ws(p)).otherwise(p)))
     lists = F.col("path").rlike("/(aliases|lockedPaths|sourceFloorIds|sourceHostChatIds)$")
     items = F.transform(F.from_json("value", "array<string>"), trim_ws)
     blank_allowed = F.col("path").rlike("/(sourceFloorIds|sourceHostChatIds)$")

@@ -8,6 +8,8 @@ its own path or any path above it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from turnledger.operators.skew import (
 VOLATILE = ["updatedAt", "source", "sourceFloorIds", "sourceHostChatIds"]
 DEFAULT_CHECKPOINT_INTERVAL = 20
 _WORDS = ["_w0", "_w1", "_w2", "_w3"]
+EMPTY_FINGERPRINT = "sha256:" + hashlib.sha256(b"0:0:0:0").hexdigest()
 
 
 # ---------------------------------------------------------------- documents and rows
@@ -35,15 +38,18 @@ def flatten_documents(
     docs: DataFrame,
     keys: list[str],
     column: str,
-    max_depth: int = 8,
+    max_depth: int | None = None,
     expand_arrays: bool = False,
 ) -> DataFrame:
     """One row ``(keys, path, kind, value)`` per member of a JSON document column.
 
     Objects give a container row and their members. Arrays, scalars and whatever lies
     below ``max_depth`` are values kept as JSON text with sorted keys; with
-    ``expand_arrays`` arrays are containers too, their members numbered from 0.
+    ``expand_arrays`` arrays are containers too, their members numbered from 0. Without
+    ``max_depth`` documents are opened to the bottom: the deepest nesting is measured first.
     """
+    if max_depth is None:
+        max_depth = docs.agg(F.max(_nesting(F.col(column)))).first()[0] or 0
     rows = docs.select(
         *keys,
         F.lit("").alias("path"),
@@ -77,6 +83,18 @@ def flatten_documents(
     )
 
 
+def _nesting(text: Column) -> Column:
+    """How deep brackets outside of strings nest."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["top"], now).alias("top"))
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step, lambda s: s["top"])
+
+
 def _members(value: Column) -> Column:
     return value.try_cast("map<string,variant>")
 
@@ -100,6 +118,17 @@ def is_volatile(path: Column) -> Column:
     return F.arrays_overlap(split_pointer(path), F.array(*[F.lit(v) for v in VOLATILE]))
 
 
+_MEMBER = r'"(?:%s)"\s*:\s*(?:"(?:[^"\\]|\\.)*"|\[(?:"(?:[^"\\]|\\.)*"|[^"\[\]])*\]|[^,}\]"\[]+)'
+
+
+def stable_value(value: Column) -> Column:
+    """An array value without the volatile members of the objects in it."""
+    member = _MEMBER % "|".join(VOLATILE)
+    inner = F.regexp_replace(value, r"\s*,\s*" + member, "")
+    first = F.regexp_replace(inner, r"(\{\s*)" + member + r"\s*,?", "$1")
+    return F.when(value.startswith("["), first).otherwise(value)
+
+
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys and no spacing; null when it does not parse."""
     return F.to_json(F.try_parse_json(text))
@@ -120,14 +149,22 @@ def _fingerprint_of_words() -> Column:
 
 
 def state_fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Semantic fingerprint per document of its rows.
+    """Semantic fingerprint per document of its rows, volatile members left out, also those
+    of objects inside arrays.
 
     The XOR of the hashes of all non-volatile rows: order-free, so it is combined before
     the shuffle and no document is ever gathered in one place.
     """
-    stable = rows.filter(~is_volatile(F.col("path")))
-    words = stable.select(*keys, *_row_words(F.col("path"), F.col("kind"), F.col("value")))
-    folded = words.groupBy(*keys).agg(*[F.bit_xor(w).alias(w) for w in _WORDS])
+    volatile = is_volatile(F.col("path"))
+    words = rows.select(
+        *keys,
+        volatile.alias("_volatile"),
+        *_row_words(F.col("path"), F.col("kind"), stable_value(F.col("value"))),
+    )
+    # A document of volatile rows only has the fingerprint of the empty state.
+    folded = words.groupBy(*keys).agg(
+        *[F.bit_xor(F.when(F.col("_volatile"), 0).otherwise(F.col(w))).alias(w) for w in _WORDS]
+    )
     return folded.select(*keys, _fingerprint_of_words().alias("state_fingerprint"))
 
 
@@ -403,8 +440,10 @@ def verify_snapshots(expected: DataFrame, rows: DataFrame, keys: list[str]) -> D
     """
     actual = state_fingerprints(rows, keys).withColumnRenamed("state_fingerprint", "_actual")
     joined = expected.join(actual, keys, "left")
-    reason = F.when(F.col("_actual").isNull(), "snapshot is missing").when(
-        F.col("_actual") != F.col("state_fingerprint"), "snapshot does not hash to its fingerprint"
+    # An empty state has no rows.
+    same = F.coalesce("_actual", F.lit(EMPTY_FINGERPRINT)) == F.col("state_fingerprint")
+    reason = F.when(same, None).when(F.col("_actual").isNull(), "snapshot is missing").otherwise(
+        "snapshot does not hash to its fingerprint"
     )
     return joined.withColumn("reason", reason).filter("reason is not null").drop("_actual")
 

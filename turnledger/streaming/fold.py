@@ -29,7 +29,7 @@ class PatchFold(StatefulProcessor):
     """State: value per path, the next expected position, floors waiting for an earlier one.
 
     A floor that arrives early waits; one that was folded already is ignored (edits go
-    through the rebuild plan). Paths and waiting floors are map entries of the state store,
+    through the rebuild plan). Changes list the topmost path only, as the batch diff does. Paths and waiting floors are map entries of the state store,
     so a long chat is never loaded whole.
     """
 
@@ -53,9 +53,14 @@ class PatchFold(StatefulProcessor):
             for path, value in sorted(patches.items()):
                 known = self.values.containsKey((path,))
                 old = self.values.getValue((path,))[0] if known else None
+                # A path that is set or removed takes what lies below it along.
+                below = [k for (k,) in self.values.keys() if k.startswith(path + "/")]
+                for k in below:
+                    self.values.removeKey((k,))
                 if value is None:
                     if known:
                         self.values.removeKey((path,))
+                    if known or below:
                         out.append((*key, expected, "remove", path, old, None))
                 elif not known or old != value:
                     self.values.updateValue((path,), (value,))
