@@ -35,18 +35,19 @@ def floors(spark, contents):
 def test_eight_floors_converge_after_an_edit(spark, folder):
     texts = ["one age=20", "two", "three", "four", "five age=30", "six", "seven", "eight"]
     none = spark.createDataFrame([], NODES), spark.createDataFrame([], PATCHES)
-    nodes, patches, rounds = rebuild_until_valid(floors(spark, texts), *none, age_reader(), "p1", f"{folder}/a", fold_size=3)
-    assert rounds == 8
+    done = rebuild_until_valid(floors(spark, texts), *none, age_reader(), "p1", f"{folder}/a", first_block=3, fold_size=3)
+    assert done.rounds == 2 and done.left.isEmpty()
+    assert {(r.message_index, r.op, r.old_value, r.new_value) for r in done.deltas.filter("path like '%age'").collect()} == {(1, "add", None, '"20"'), (5, "replace", '"20"', '"30"')}
 
     # Same meaning, other words: only the edited floor is analysed again.
     texts[2] = "three again"
-    nodes, patches, rounds = rebuild_until_valid(floors(spark, texts), nodes, patches, age_reader(), "p1", f"{folder}/b", first_round=20, fold_size=3)
-    assert rounds == 1
+    done = rebuild_until_valid(floors(spark, texts), done.nodes, done.patches, age_reader(), "p1", f"{folder}/b", first_round=20, fold_size=3)
+    assert done.rounds == 1 and done.nodes.filter("created_at >= 20").count() == 1
 
     # Another meaning: floors 3 and 4 change, floor 5 sets the age again and the rest holds.
     texts[2] = "three age=21"
-    nodes, patches, rounds = rebuild_until_valid(floors(spark, texts), nodes, patches, age_reader(), "p1", f"{folder}/c", first_round=30, fold_size=3)
-    assert rounds == 3
+    done = rebuild_until_valid(floors(spark, texts), done.nodes, done.patches, age_reader(), "p1", f"{folder}/c", first_round=30, fold_size=3)
+    nodes = done.nodes
     redone = nodes.filter("created_at >= 30").select("message_index").orderBy("message_index").collect()
     assert [r.message_index for r in redone] == [3, 4, 5]
     prefix = chain.trusted_prefix(floors(spark, texts), nodes, F.lit("p1"))
@@ -57,6 +58,32 @@ def test_eight_floors_converge_after_an_edit(spark, folder):
     assert (drift.first_invalid_index, drift.first_lineage_break_index) == (1, None)
 
 
+def test_failing_floors_are_asked_once_and_left(spark, folder):
+    texts = [f"n{i} age={i}" for i in range(12)]
+    texts[7] = "bad"
+    log = f"{folder}-calls"
+
+    def extract(text):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        if text == "bad":
+            raise ValueError("no")
+        return [("/profiles/a/basic/age", text.split("=")[1])]
+
+    none = spark.createDataFrame([], NODES), spark.createDataFrame([], PATCHES)
+    done = rebuild_until_valid(floors(spark, texts), *none, extract, "p1", folder, first_block=2, growth=2, attempts=3)
+    calls = open(log).read().split("\n")
+    assert calls.count("bad") == 3 and all(calls.count(t) <= 1 for t in texts if t != "bad")
+    left = {r.message_index: (r.attempts, r.reason) for r in done.left.collect()}
+    assert set(left) == set(range(8, 13)) and left[8] == (3, "no") and left[9][1] == "the chain before it does not hold"
+    assert {r.message_index for r in done.nodes.collect()} == set(range(1, 8))
+
+    # Mended, the chain goes on where it stopped.
+    texts[7] = "good age=7"
+    done = rebuild_until_valid(floors(spark, texts), done.nodes, done.patches, extract, "p1", f"{folder}/next", first_round=50)
+    assert done.left.isEmpty() and done.nodes.count() == 12
+
+
 def stream_of(spark, frame, path, files=3):
     frame.repartition(files).write.parquet(path)
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -137,6 +137,26 @@ def merge_patches(base: DataFrame, patches: DataFrame) -> DataFrame:
     )
 
 
+def patch_log(patches: DataFrame) -> DataFrame:
+    """Leaf log of patches (scope, seq, path, value): what they say, and a profile named after
+    its id where a character is mentioned for the first time."""
+    said = normalize_patch(patches).select(*SCOPE, "seq", "path", "value")
+    parts = split_pointer(F.col("path"))
+    first = (
+        said.filter(F.get(parts, 0).isin("profiles", "traces"))
+        .groupBy(*SCOPE, F.get(parts, 1).alias("_id"))
+        .agg(F.min("seq").alias("seq"))
+    )
+    stubs = first.select(
+        *SCOPE,
+        "seq",
+        join_pointer(F.array(F.lit("profiles"), "_id", F.lit("canonicalName"))).alias("path"),
+        F.regexp_replace(F.to_json(F.array("_id")), r"^\[|\]$", "").alias("value"),
+    )
+    unnamed = stubs.join(said.select(*SCOPE, "seq", "path"), [*SCOPE, "seq", "path"], "left_anti")
+    return said.unionByName(unnamed)
+
+
 def enforce_locks(
     patches: DataFrame, locks: DataFrame, keys: list[str]
 ) -> tuple[DataFrame, DataFrame]:

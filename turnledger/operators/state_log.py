@@ -416,6 +416,35 @@ def node_fingerprints(versions: DataFrame, floors: DataFrame, size: int = DEFAUL
     )
 
 
+def leaf_changes(log: DataFrame, size: int = DEFAULT_BLOCK) -> DataFrame:
+    """``log`` (scope, seq, path, value; one row a path and seq) with ``old_value`` and ``op``,
+    null where nothing changes."""
+    linked = previous_row(log, [*SCOPE, "path"], "seq", {"old_value": "value"}, size)
+    op = F.when(F.col("old_value").isNull(), "add").when(F.col("old_value") != F.col("value"), "replace")
+    return linked.withColumn("op", op)
+
+
+def leaf_fingerprints(changes: DataFrame, floors: DataFrame, size: int = DEFAULT_BLOCK) -> DataFrame:
+    """State fingerprint at every floor (scope, seq) of a log of leaf values.
+
+    A change toggles the hash of the old and of the new row, so all states of a chain are
+    one running XOR and none of them is built.
+    """
+    said = changes.filter("op is not null").filter(~is_volatile(F.col("path")))
+    kind = F.lit("value")
+    toggles = said.select(*SCOPE, "seq", *_row_words(F.col("path"), kind, stable_value(F.col("value")))).unionByName(
+        said.filter("old_value is not null").select(
+            *SCOPE, "seq", *_row_words(F.col("path"), kind, stable_value(F.col("old_value")))
+        )
+    )
+    zero = floors.select(*SCOPE, "seq", *[F.lit(0).cast("long").alias(w) for w in _WORDS])
+    per_seq = toggles.unionByName(zero).groupBy(*SCOPE, "seq").agg(*[F.bit_xor(w).alias(w) for w in _WORDS])
+    running = running_xor(per_seq, SCOPE, "seq", _WORDS, size)
+    return running.join(floors.select(*SCOPE, "seq").distinct(), [*SCOPE, "seq"], "left_semi").select(
+        *SCOPE, "seq", _fingerprint_of_words().alias("state_fingerprint")
+    )
+
+
 def checkpoint_marks(
     nodes: DataFrame, interval: int = DEFAULT_CHECKPOINT_INTERVAL, size: int = DEFAULT_BLOCK
 ) -> DataFrame:

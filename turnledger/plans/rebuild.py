@@ -1,19 +1,21 @@
-"""Rebuilding broken chains: analyse the first invalid floor of every scope, repeat."""
+"""Rebuilding broken chains: analyse and commit whole runs of floors of all scopes at once."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.functions.keys import dependency_fingerprint
 from turnledger.operators import chain as ch
 from turnledger.operators.bm25 import SCOPE
-from turnledger.operators.merge import merge_patches
-from turnledger.operators.skew import salted_join
-from turnledger.operators.state_log import state_fingerprints
+from turnledger.operators.merge import patch_log
+from turnledger.operators.skew import DEFAULT_BLOCK, ordinal, previous_row, salted_join
+from turnledger.operators.state_log import leaf_changes, leaf_fingerprints
 
 # An extractor reads the text of one floor and returns (pointer, JSON text) pairs.
 Extractor = Callable[[str], list[tuple[str, str]]]
@@ -23,6 +25,15 @@ _EXTRACTED = (
     "error string, path string, value string"
 )
 
+_NODE = [
+    *SCOPE, "floor_id", "message_index", "state_node_id", "previous_state_fingerprint", "dependency_fingerprint",
+    "state_fingerprint", "status", "created_at",
+]
+_DELTAS = (
+    "chat_id string, branch_id string, state_node_id string, message_index bigint, path string, op string, "
+    "old_value string, new_value string"
+)
+
 
 def regex_extractor(rules: dict[str, str]) -> Extractor:
     """Deterministic extractor: a pointer takes the first group of its pattern's first match."""
@@ -67,56 +78,96 @@ def extract_patches(floors: DataFrame, extractor: Extractor, attempts: int = 3)
     return floors.select(*columns).mapInPandas(run, _EXTRACTED)
 
 
-def first_invalid(prefix: DataFrame) -> DataFrame:
-    """The floor to analyse next in every scope whose chain is broken."""
-    row = F.struct(
-        "message_index", "floor_id", "expected_dependency", "previous_state_fingerprint"
+@dataclass
+class Rebuilt:
+    """``nodes`` and ``patches`` with the new ones; ``deltas`` of the new nodes; ``left``: floors
+    whose chain does not hold, each with its reason; ``rounds`` that did any work."""
+
+    nodes: DataFrame
+    patches: DataFrame
+    deltas: DataFrame
+    left: DataFrame
+    rounds: int
+
+
+def next_run(prefix: DataFrame, failed: DataFrame, block: int, size: int = DEFAULT_BLOCK) -> DataFrame:
+    """Up to ``block`` floors per broken chain, from its first invalid one on.
+
+    A chain whose first invalid floor has failed waits for somebody to look at it.
+    """
+    numbered = ordinal(prefix, SCOPE, "message_index", "_n", size)
+    first = (
+        numbered.filter(~F.col("valid"))
+        .groupBy(*SCOPE)
+        .agg(F.min_by(F.struct("_n", "floor_id", "previous_state_fingerprint"), "message_index").alias("_f"))
+        .select(*SCOPE, F.col("_f._n").alias("_first"), F.col("_f.floor_id").alias("floor_id"), F.col("_f.previous_state_fingerprint").alias("_base"))
+        .join(failed.select("floor_id"), "floor_id", "left_anti")
+        .drop("floor_id")
     )
     return (
-        prefix.filter(~F.col("valid"))
-        .groupBy(*SCOPE)
-        .agg(F.min_by(row, "message_index").alias("_f"))
-        .select(*SCOPE, "_f.*")
+        salted_join(numbered, first, SCOPE, [F.col("floor_id")])
+        .filter((F.col("_n") >= F.col("_first")) & (F.col("_n") < F.col("_first") + block))
+        .select(*SCOPE, F.col("message_index").cast("bigint").alias("message_index"), "floor_id", "body_fingerprint", "_base")
     )
 
 
-def commit_round(
-    prefix: DataFrame, found: DataFrame, patches: DataFrame, round_number: int
+def reusable_nodes(run: DataFrame, nodes: DataFrame, prompt_version: str) -> DataFrame:
+    """(floor_id, source_node_id): nodes made from the floor's body and prompt, whatever state
+    they started from. What their text said is known, so the extractor is not asked again."""
+    prompt = F.lit(prompt_version)
+    made = nodes.select("floor_id", "state_node_id", "created_at", "previous_state_fingerprint", "dependency_fingerprint")
+    same = run.select("floor_id", "body_fingerprint").join(made, "floor_id").filter(
+        F.col("dependency_fingerprint")
+        == dependency_fingerprint(F.col("body_fingerprint"), F.col("previous_state_fingerprint"), prompt)
+    )
+    return same.groupBy("floor_id").agg(F.max_by("state_node_id", F.struct("created_at", "state_node_id")).alias("source_node_id"))
+
+
+def commit_run(
+    prefix: DataFrame,
+    run: DataFrame,
+    said: DataFrame,
+    nodes: DataFrame,
+    patches: DataFrame,
+    prompt_version: str,
+    number: int,
+    size: int = DEFAULT_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
-    """(new nodes, new patches) of the floors extracted in this round.
+    """(nodes, deltas) of the floors of ``run``, in order on top of each chain's valid nodes.
 
-    ``found`` has the patches of the first invalid floor of each scope. The state after it
-    is the fold of the patches of the valid nodes before it and its own; it is kept as rows
-    and hashed without being gathered.
+    ``said``: the patch rows of the run. The states of all floors come from one running
+    pass over the leaf log of the chain, so a run of any length is one job. A floor that
+    already has a node with the dependency it comes to gets none: its chain holds again.
     """
-    node_id = F.concat_ws(":", F.lit("node"), "floor_id", F.lit(str(round_number)))
-    good = found.filter("error is null").withColumn("state_node_id", node_id)
-    fresh = first_invalid(prefix).join(good.select("floor_id", "state_node_id").distinct(), "floor_id")
-    new_patches = good.filter("path is not null").select(
-        *SCOPE, "state_node_id", "message_index", "path", "value"
-    )
     chain = prefix.filter("valid").select("state_node_id")
+    scopes = run.select(*SCOPE).distinct()
     before = patches.join(chain, "state_node_id", "left_semi")
-    limit = fresh.select(*SCOPE, F.col("message_index").alias("_limit"))
-    before = salted_join(before, limit, SCOPE, [F.col("path"), F.col("message_index")]).filter(
-        F.col("message_index") < F.col("_limit")
-    )
-    log = before.drop("_limit").unionByName(new_patches).withColumnRenamed("message_index", "seq")
-    said = log.select(*SCOPE, "seq", "path", "value")
-    rows = merge_patches(said.select(*SCOPE, "path", "value").filter("false"), said)
-    hashes = state_fingerprints(rows.withColumn("kind", F.lit("value")), SCOPE)
-    new_nodes = fresh.join(hashes, SCOPE, "left").select(
+    before = salted_join(before, scopes, SCOPE, [F.col("path"), F.col("message_index")], "left_semi")
+    rows = before.unionByName(said).select(*SCOPE, F.col("message_index").alias("seq"), "path", "value")
+    changes = leaf_changes(patch_log(rows), size)
+    floors = run.select(*SCOPE, F.col("message_index").alias("seq"))
+    states = leaf_fingerprints(changes, floors, size).withColumnRenamed("seq", "message_index")
+    linked = previous_row(
+        run.join(states, [*SCOPE, "message_index"]), SCOPE, "message_index", {"_previous": "state_fingerprint"}, size
+    ).withColumn("previous_state_fingerprint", F.coalesce("_previous", "_base"))
+    node_id = F.concat_ws(":", F.lit("node"), "floor_id", F.lit(str(number)))
+    made = linked.select(
         *SCOPE,
         "floor_id",
-        F.col("message_index").cast("bigint").alias("message_index"),
-        "state_node_id",
+        "message_index",
+        node_id.alias("state_node_id"),
         "previous_state_fingerprint",
-        F.col("expected_dependency").alias("dependency_fingerprint"),
-        F.coalesce("state_fingerprint", F.lit("sha256:empty")).alias("state_fingerprint"),
+        dependency_fingerprint(
+            F.col("body_fingerprint"), F.col("previous_state_fingerprint"), F.lit(prompt_version)
+        ).alias("dependency_fingerprint"),
+        "state_fingerprint",
         F.lit("synced").alias("status"),
-        F.lit(round_number).cast("bigint").alias("created_at"),
+        F.lit(number).cast("bigint").alias("created_at"),
+    ).join(nodes.select("floor_id", "dependency_fingerprint"), ["floor_id", "dependency_fingerprint"], "left_anti")
+    deltas = changes.filter("op is not null").withColumnRenamed("seq", "message_index").join(
+        made.select(*SCOPE, "message_index", "state_node_id"), [*SCOPE, "message_index"]
     )
-    return new_nodes, new_patches
+    return made, deltas.select(*SCOPE, "state_node_id", "message_index", "path", "op", "old_value", F.col("value").alias("new_value"))
 
 
 def rebuild_until_valid(
@@ -127,41 +178,65 @@ def rebuild_until_valid(
     prompt_version: str,
     root: str,
     first_round: int = 1,
-    max_rounds: int = 1000,
+    first_block: int = 8,
+    growth: int = 8,
+    attempts: int = 3,
+    size: int = DEFAULT_BLOCK,
     fold_size: int = ch.FOLD_BLOCK,
-) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes, patches, rounds) once no floor is left to analyse.
-
-    All scopes advance together, one floor per round; a scope drops out as soon as its
-    remaining nodes match again. Every round is written under ``root`` (a shared folder),
-    so the plan stays short and a lost executor costs one round at most.
+) -> Rebuilt:
+    """Analyse broken chains until each holds or waits at a floor that fails.
+
+    All chains advance together by runs of ``first_block`` floors, ``growth`` times longer every
+    round: a chain of n floors takes about log n rounds, and one that matches again
+    after its edit is found soon. Extraction reads single floors, so a run is extracted in
+    one pass and committed in order up to its first failure. A floor is asked ``attempts``
+    times in total and never again; what rests on it is returned in ``left``. Every
+    round is written under ``root`` (a shared folder) before it is used, so a lost executor
+    costs one round at most and no floor is sent twice. ``first_round`` numbers the rounds, and
+    with them the new nodes, after those of earlier calls.
     """
     spark = positions.sparkSession
-    rounds = 0
     text = positions.select("floor_id", "content")
+    failed = spark.createDataFrame([], "floor_id string, attempts int, error string")
+    deltas = None
+    number, block = first_round - 1, first_block
 
     def written(df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    for number in range(first_round, first_round + max_rounds):
+    while True:
+        number += 1
         path = f"{root}/round={number}"
-        prefix = written(
-            ch.trusted_prefix(positions, nodes, F.lit(prompt_version), fold_size=fold_size),
-            f"{path}/prefix",
-        )
-        # Written before it is used, so that no floor is sent to the extractor twice.
-        work = first_invalid(prefix).join(text, "floor_id")
-        found = written(extract_patches(work, extractor), f"{path}/extracted")
-        if found.filter("error is null").isEmpty():
+        prefix = written(ch.trusted_prefix(positions, nodes, F.lit(prompt_version), fold_size=fold_size), f"{path}/prefix")
+        run = written(next_run(prefix, failed, block, size), f"{path}/run")
+        if run.isEmpty():
             break
-        made, said = commit_round(prefix, found, patches, number)
-        new_nodes = written(made, f"{path}/new_nodes")
-        new_patches = written(said, f"{path}/new_patches")
+        known = written(reusable_nodes(run, nodes, prompt_version), f"{path}/known")
+        asked = run.join(known, "floor_id", "left_anti").join(text, "floor_id")
+        found = written(extract_patches(asked, extractor, attempts), f"{path}/extracted")
+        bad = found.filter("error is not null")
+        cut = bad.groupBy(*SCOPE).agg(F.min("message_index").alias("_cut"))
+        good = salted_join(run, cut, SCOPE, [F.col("floor_id")], "left").filter(
+            F.col("_cut").isNull() | (F.col("message_index") < F.col("_cut"))
+        ).drop("_cut")
+        node_id = F.concat_ws(":", F.lit("node"), "floor_id", F.lit(str(number)))
+        again = known.join(patches.select(F.col("state_node_id").alias("source_node_id"), "path", "value"), "source_node_id")
+        pairs = found.filter("path is not null").select("floor_id", "path", "value").unionByName(again.select("floor_id", "path", "value"))
+        said = good.select(*SCOPE, "floor_id", "message_index", node_id.alias("state_node_id")).join(pairs, "floor_id").drop("floor_id")
+        said = written(said.select(*SCOPE, "state_node_id", "message_index", "path", "value"), f"{path}/said")
+        made, changed = commit_run(prefix, good, said, nodes, patches, prompt_version, number, size)
+        new_nodes = written(made.select(*_NODE), f"{path}/new_nodes")
+        new_deltas = written(changed, f"{path}/new_deltas")
+        said = written(said.join(new_nodes.select("state_node_id"), "state_node_id", "left_semi"), f"{path}/new_patches")
         nodes = nodes.select(*new_nodes.columns).unionByName(new_nodes)
-        patches = patches.select(*new_patches.columns).unionByName(new_patches)
-        if number % 8 == 0:
-            nodes = written(nodes, f"{path}/nodes")
-            patches = written(patches, f"{path}/patches")
-        rounds += 1
-    return nodes, patches, rounds
+        patches = patches.select(*said.columns).unionByName(said)
+        deltas = new_deltas if deltas is None else deltas.unionByName(new_deltas)
+        failed = failed.unionByName(bad.select("floor_id", "attempts", "error"))
+        block *= growth
+    if deltas is None:
+        deltas = spark.createDataFrame([], _DELTAS)
+    left = prefix.filter(~F.col("valid")).join(failed, "floor_id", "left").select(
+        *SCOPE, "message_index", "floor_id", "attempts", F.coalesce("error", F.lit("the chain before it does not hold")).alias("reason")
+    )
+    return Rebuilt(nodes, patches, deltas, left, number - first_round)
