@@ -49,10 +49,12 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
@@ -65,13 +67,28 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, core: bytes) -> bytes:
+        """Ids of a run of letters: one piece of the pre-tokenizer, given to the model by itself."""
+        word = core.decode()
+        if not word.isascii():
+            plain = self.tokenizer.normalizer.normalize_str(word)
+            if not plain.isalpha():
+                return self._library([word])[0]
+            word = self.bytes_of.pre_tokenize_str(plain)[0][0]
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
+
     def _learn(self, new: set[bytes]) -> None:
         # A run of letters and the punctuation after it are split by the tokenizer anyway.
         parts: dict[bytes, tuple[bytes, bytes]] = {}
         for w in new:
             core = w.rstrip(b".,;:!?")
             parts[w] = (core, w[len(core) :]) if core and core.decode().isalpha() else (w, b"")
-        fresh = list({p for pair in parts.values() for p in pair if p and p not in self.cores})
+        fresh = []
+        for p in {p for pair in parts.values() for p in pair if p and p not in self.cores}:
+            if p.decode().isalpha():
+                self.cores[p] = self._letters(p)
+            else:
+                fresh.append(p)
         for low in range(0, len(fresh), 4096):
             some = fresh[low : low + 4096]
             self.cores.update(zip(some, self._library([p.decode() for p in some])))
@@ -221,7 +238,10 @@ def _file_reader(folder: str):
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    files = manifest.select("file", "before").repartition("file")
+    # A number of its own keeps files apart: a row is small, a file is not.
+    files = manifest.select("file", "before").repartition(
+        int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file"
+    )
     return files.mapInArrow(_file_reader(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
