@@ -142,6 +142,16 @@ def test_signature_agreement_is_the_weighted_similarity():
         assert abs((table[0] == table[1]).mean() - want) < 3.5 * (want * (1 - want) / m) ** 0.5 + 0.005
 
 
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    rows, weights = np.repeat(np.arange(30), 100), rng.integers(1, 9, 3000)
+    whole = bagminhash.bag_signatures(values, rows, weights, 30)
+    for r in range(0, 30, 7):
+        own = rows == r
+        assert (bagminhash.bag_signatures(values[own], rows[own] * 0, weights[own], 1)[0] == whole[r]).all()
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (5, 4), (3, 9), *[(i, i + 1) for i in range(100, 140)]]
     got = {r["key"]: r["class"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
