@@ -25,17 +25,19 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(
         both.groupBy("key").agg(F.min("other").alias("_m")).select("key", F.least("key", "_m").alias("class")), "labels"
     )
+    # Only keys whose label changed tell their neighbours.
+    changed = labels
     while True:
-        near = both.join(labels.select(F.col("key").alias("other"), F.col("class").alias("_c")), "other")
+        near = both.join(changed.select(F.col("key").alias("other"), F.col("class").alias("_c")), "other")
         offered = near.groupBy("key").agg(F.min("_c").alias("_n"))
         # The label's own label: a label is always a key.
         jump = labels.select(F.col("key").alias("class"), F.col("class").alias("_j"))
         step = (
-            labels.join(offered, "key")
+            labels.join(offered, "key", "left")
             .join(jump, "class")
             .select("key", F.col("class").alias("_old"), F.least("class", "_n", "_j").alias("class"))
         )
         done = written(step, "labels")
-        labels = done.select("key", "class")
-        if not done.filter("_old <> class").limit(1).count():
+        labels, changed = done.select("key", "class"), done.filter("_old <> class").select("key", "class")
+        if not changed.limit(1).count():
             return labels
