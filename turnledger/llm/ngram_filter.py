@@ -38,11 +38,11 @@ from turnledger.llm.stages import written
 from turnledger.llm.text_arrays import PLAIN, Words, chunked_words, mix
 
 BASE, MAX_LEVEL, PROBES, BITS_PER_LEVEL = 1.5, 64, 5, 10
-PAIR_BYTES, WORD_BYTES = 48 << 20, 12 << 20
+PAIR_BYTES, WORD_BYTES = 24 << 20, 8 << 20
 PAIR_SHARE = 0.4
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: Tokens that a task counts before it passes them on, and tokens a part of the pairs is made for.
-FLUSH, PART_TOKENS = 4_000_000, 1 << 21
+FLUSH, PART_TOKENS = 2_000_000, 1 << 21
 END = np.uint64(0x5851F42D4C957F2D)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 _LOW40 = np.uint64((1 << 40) - 1)
