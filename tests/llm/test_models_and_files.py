@@ -138,6 +138,32 @@ def test_pairs_of_training_text_are_likelier(spark, table):
     assert got[0].score > got[0].base_score and all(got[0].score > got[100 + i].score for i in range(5))
 
 
+@pytest.mark.parametrize("part", [1 << 21, 1 << 9])
+def test_all_pairs_are_stored_at_any_size(spark, table, monkeypatch, part):
+    """Pairs seen once and all words count, whatever the bytes of the filters and their parts."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(300))) for i in range(40)]
+    for name, value in (("PAIR_BYTES", 512), ("WORD_BYTES", 64), ("PART_TOKENS", part), ("ASKED", 1000)):
+        monkeypatch.setattr(ngram_filter, name, value, raising=False)
+    model, vocabulary = ngram_filter.train(table(rows[:30]).select("text"))
+    got = {r.doc_id: r.score for r in ngram_filter.scores(table(rows), model, vocabulary).collect()}
+    words, pairs = Counter(), Counter()
+    for _, text in rows[:30]:
+        tokens = lm_tokens(text)
+        words.update(tokens)
+        pairs.update(zip([tokens[-1], *tokens], tokens))
+    middle = lambda n: ngram_filter._MIDDLE[ngram_filter.level_of(np.array([n]))[0]] if n else 0.0
+    unit = words.total() + len(words) + 1.0
+    for i, text in rows:
+        tokens, want = lm_tokens(text), 0.0
+        for a, b in zip([tokens[-1], *tokens], tokens):
+            seen = middle(words[a])
+            share = min(middle(pairs[a, b]), seen) / max(seen, 1.0)
+            want += math.log10(0.4 * share + 0.6 * min(1.0, (middle(words[b]) + 1) / unit))
+        # False positives of the filters move few tokens; a lost pair costs about 1 each.
+        assert abs(got[i] - want) < 0.08 * len(tokens), (i, got[i], want)
+
+
 # ---------------------------------------------------------------- token files
 
 

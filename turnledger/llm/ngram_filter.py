@@ -4,13 +4,13 @@ A count c is stored as its level q = 1 + floor(log(c) / log(1.5)): the n-gram is
 under (n-gram, 1) ... (n-gram, q), and its count is read back by probing level 1, 2, ...
 until one is absent. Two filters hold words and word pairs; a token's probability is
 ``PAIR_SHARE`` of its share after the word before and the rest of its add-one share of all
-tokens, both read from the filters. A filter is dealt into parts by the key's hash: a part
-is filled by one task, and only finished parts reach the driver.
+tokens, both read from the filters. A filter is dealt into parts by the key's hash; a part
+is filled by one task, with the size that its own n-grams need, and stays a row of a table.
+All n-grams of the training rows are stored, and the filters grow with them.
 
-The broadcast has a bound of ``PAIR_BYTES`` and ``WORD_BYTES``. Within it all n-grams are
-stored; beyond it those of level t and more, with the smallest t that fits, from the counts
-of counts of all n-grams. A pair that is not stored is scored by its word, a word that is not
-stored as one not seen: every text and token is scored.
+Scoring brings the probes to the parts: a task numbers the distinct n-grams of ``ASKED``
+tokens and sends them to their parts, each part answers with levels, and the answers meet the
+tokens again under the number of their chunk. Neither the driver nor a task holds a filter.
 
 The base score needs exact counts of all words, which have no bound: about ``FREQUENT`` most
 frequent words go to the tasks, and all other words meet their counts in a join by hash, one
@@ -26,11 +26,13 @@ gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,13 @@ from turnledger.llm.stages import written
 from turnledger.llm.text_arrays import PLAIN, Words, chunked_words, mix
 
 BASE, MAX_LEVEL, PROBES, BITS_PER_LEVEL = 1.5, 64, 5, 10
-PAIR_BYTES, WORD_BYTES = 24 << 20, 8 << 20
 PAIR_SHARE = 0.4
 FREQUENT = 1 << 18
 #: Tokens that a task counts before it passes them on, and tokens a part of the pairs is made for.
 FLUSH, PART_TOKENS = 2_000_000, 1 << 21
+#: Tokens that a task scores together, and keys that are hashed together.
+ASKED, SLICE = 1 << 20, 1 << 17
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 END = np.uint64(0x5851F42D4C957F2D)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 _LOW40 = np.uint64((1 << 40) - 1)
@@ -92,11 +96,11 @@ class CountFilter:
     def part(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(keys), np.int64)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Stored count of each key (the middle of its level), 0 if absent."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Stored level of each key, 0 if absent."""
         out = np.zeros(len(keys), np.int64)
         if not len(self.bits):
-            return _MIDDLE[out]
+            return out
         live, base = np.arange(len(keys)), self.part(keys) * self.part_bytes * 8
         short = keys & _LOW40
         for q in range(1, MAX_LEVEL + 1):
@@ -106,14 +110,20 @@ class CountFilter:
             if not len(live):
                 break
             out[live] = q
-        return _MIDDLE[out]
+        return out
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Stored count of each key (the middle of its level), 0 if absent."""
+        return _MIDDLE[self.levels(keys)]
 
 
 def fill_part(keys: np.ndarray, levels: np.ndarray, part_bytes: int) -> bytes:
     """One part of a filter from its keys (low 40 bits of the hashes)."""
     marks = np.zeros(part_bytes * 8, bool)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        marks[_probes(keys[levels >= q], q, part_bytes * 8).ravel()] = True
+        found = keys[levels >= q]
+        for low in range(0, len(found), SLICE):
+            marks[_probes(found[low : low + SLICE], q, part_bytes * 8).ravel()] = True
     return np.packbits(marks, bitorder="little").tobytes()
 
 
@@ -170,99 +180,70 @@ def _word_rows(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
 
 
-def _merge_parts(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a part, from rows in order of part; pairs of at least ``least``."""
-        part, held = None, []
-
-        def done():
-            keys = np.concatenate([k for k, _ in held])
-            counts = np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            keys, counts = keys[edge], np.add.reduceat(counts, edge)
-            keep = counts >= least
-            row = _pack(keys[keep], counts[keep], 0)
-            return row.set_column(0, "part", pa.array([part] * row.num_rows, pa.int64()))
+def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter of each part, from packed rows in order of part."""
+    part, held = None, []
 
-        for batch in batches:
-            for p, keys, small, large in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part and held:
-                    yield done()
-                    held = []
-                part = p
-                held.append(_unpack(keys, small, large))
-        if held:
-            yield done()
+    def done():
+        keys = np.concatenate([k for k, _ in held])
+        counts = np.concatenate([c for _, c in held])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        levels = level_of(np.add.reduceat(counts, edge))
+        size = max(64, int(levels.sum()) * BITS_PER_LEVEL // 8 + 1)
+        bits = fill_part(keys[edge], levels, size)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([bits], pa.binary())], ["part", "bits"])
 
-    return run
-
-
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for small, large in zip(batch.column("small").to_pylist(), batch.column("large").to_pylist()):
-            counts = np.frombuffer(small, np.uint8).astype(np.int64)
-            counts[counts == 255] = np.frombuffer(large, np.int64)
-            level, n = np.unique(level_of(counts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(n.astype(np.int64))], ["level", "n"])
-
-
-def _filling(cut: int, part_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, keys, small, large in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "small", "large"))):
-                found, counts = _unpack(keys, small, large)
-                levels = level_of(counts)
-                keep = levels >= cut
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int64()), pa.array([fill_part(found[keep], levels[keep], part_bytes)], pa.binary())],
-                    ["part", "bits"],
-                )
-
-    return run
-
-
-def _build(packed: DataFrame, shift: int, limit: int) -> CountFilter:
-    """The filter of written, merged parts, of at most ``limit`` bytes."""
-    histogram = dict(packed.mapInArrow(_levels, "level bigint, n bigint").groupBy("level").agg(F.sum("n")).collect())
-    cut, bits = MAX_LEVEL + 1, 0
-    for q in sorted(histogram, reverse=True):
-        more = histogram[q] * q * BITS_PER_LEVEL
-        if bits + more > limit * 8:
-            break
-        cut, bits = q, bits + more
-    # Parts have equal sizes; a tenth more, as their shares of the keys vary.
-    part_bytes = max(64, int(bits * 1.1 / 8 / (1 << shift)) + 1)
-    whole = np.zeros(part_bytes << shift, np.uint8)
-    filled = packed.mapInArrow(_filling(cut, part_bytes), "part bigint, bits binary")
-    for row in filled.collect():
-        whole[row["part"] * part_bytes : (row["part"] + 1) * part_bytes] = np.frombuffer(row["bits"], np.uint8)
-    return CountFilter(whole, shift, part_bytes)
+        for p, keys, small, large in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part and held:
+                yield done()
+                held = []
+            part = p
+            held.append(_unpack(keys, small, large))
+    if held:
+        yield done()
+
+
+def _filters(packed: DataFrame, name: str) -> DataFrame:
+    """The written filter of packed rows, one row a part."""
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    # The packed rows are read once: their shuffle files go when the filter is written.
+    conf = packed.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(dealt.mapInArrow(_merge_parts, "part bigint, bits binary"), name)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 @dataclass
-class Model:
-    words: CountFilter
-    pairs: CountFilter
+class Totals:
+    """What every task needs to know of the training rows."""
+
     tokens: int
     kinds: int
+    word_shift: int
+    pair_shift: int
     frequent: np.ndarray  # sorted hashes of the most frequent words
     frequent_counts: np.ndarray
 
-    def log_probs(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probability of every token."""
-        kinds, back = np.unique(tokens, return_inverse=True)
-        count = self.words.counts(mix(kinds))
-        pairs, pair_back = np.unique(pair_hashes(tokens, first), return_inverse=True)
-        together = self.pairs.counts(pairs)[pair_back]
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = back[:-1]
-        before[first[:-1]] = np.searchsorted(kinds, END)
-        word = np.minimum(1.0, (count[back] + 1.0) / (self.tokens + self.kinds + 1.0))
-        seen = count[before]
-        share = np.minimum(together, seen) / np.maximum(seen, 1.0)
-        return np.log10(PAIR_SHARE * share + (1 - PAIR_SHARE) * word)
+
+@dataclass
+class Model:
+    totals: Totals
+    words: DataFrame  # part, bits
+    pairs: DataFrame
+
+    @property
+    def tokens(self) -> int:
+        return self.totals.tokens
+
+    @property
+    def kinds(self) -> int:
+        return self.totals.kinds
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
@@ -290,12 +271,8 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     order = np.argsort(hashes)
 
     shift = shift_of(tokens)
-    # Pairs seen once are left out where no cut could keep them.
-    least = 1 if tokens * BITS_PER_LEVEL <= PAIR_BYTES * 8 else 2
     packed = texts.mapInArrow(_counting(lambda w: pair_hashes(*token_stream(w)), lambda k, n: _pack(k, n, shift)), _PACKED)
-    pairs = written(
-        packed.repartition("part").sortWithinPartitions("part").mapInArrow(_merge_parts(least), _PACKED), "pairs"
-    )
+    pairs = _filters(packed, "pairs")
     word_shift = shift_of(8 * kinds)
 
     def word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,23 +282,144 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
             if len(keys):
                 yield _pack(keys[order], batch.column("n").to_numpy()[order], word_shift)
 
-    words = written(
-        vocabulary.mapInArrow(word_parts, _PACKED)
-        .repartition("part")
-        .sortWithinPartitions("part")
-        .mapInArrow(_merge_parts(1), _PACKED),
-        "word_parts",
-    )
-    model = Model(
-        _build(words, word_shift, WORD_BYTES), _build(pairs, shift, PAIR_BYTES), tokens, kinds, hashes[order], counts[order]
+    words = _filters(vocabulary.mapInArrow(word_parts, _PACKED), "word_parts")
+    return Model(Totals(tokens, kinds, word_shift, shift, hashes[order], counts[order]), words, pairs), vocabulary
+
+
+# Rows on the way to the filters and back: the tokens of a chunk, its probes (or the answers) at
+# one part of a filter, and a part of a filter, which has no chunk.
+_TOKENS, _WORDS, _PAIRS = 0, 1, 2
+_ASKED = "chunk bigint, kind int, part bigint, data binary"
+
+
+def _asked_rows(chunk, kinds, parts, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())],
+        ["chunk", "kind", "part", "data"],
     )
-    return model, vocabulary
+
+
+def _asking(shared):
+    def chunk_rows(held: list, place: str) -> pa.RecordBatch:
+        tokens = np.concatenate([t for _, t, _ in held])
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, _, f in held]))])
+        kinds, back = np.unique(tokens, return_inverse=True)
+        width = 3 if len(kinds) < 1 << 24 else 4
+        back = np.ascontiguousarray(back.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :width]
+        uid = np.concatenate([u for u, _, _ in held])
+        head = np.array([len(uid), len(kinds), width], np.int64)
+        rows = [(_TOKENS, 0, b"".join(x.tobytes() for x in (head, uid, first, kinds, back)))]
+        for kind, shift, keys in (
+            (_WORDS, shared.value.word_shift, np.sort(mix(kinds))),
+            (_PAIRS, shared.value.pair_shift, np.unique(pair_hashes(tokens, first))),
+        ):
+            part = (keys >> np.uint64(64 - shift)).astype(np.int64) if shift else np.zeros(len(keys), np.int64)
+            low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5]
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            rows += [(kind, int(part[a]), low[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        # A task that runs again gives the same numbers only to the same chunks.
+        name = hashlib.blake2b(rows[0][2], digest_size=8, salt=place.encode())
+        chunk = int.from_bytes(name.digest(), "little", signed=True)
+        rows[0] = (_TOKENS, chunk, rows[0][2])
+        return _asked_rows(chunk, *zip(*rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row with the tokens of each chunk, and its distinct n-grams, one row a part."""
+        held, size, done, task = [], 0, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            for low, high, words in chunked_words(batch.column("text"), PLAIN, True):
+                held.append((uid[low:high], *token_stream(words)))
+                size += len(held[-1][1])
+                if size >= ASKED:
+                    yield chunk_rows(held, f"{task:x},{done:x}")
+                    held, size, done = [], 0, done + 1
+        if held:
+            yield chunk_rows(held, f"{task:x},{done:x}")
+
+    return run
+
+
+def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of all probes, from rows in order of part, a part before its probes."""
+    at, part = None, None
+    for batch in batches:
+        for chunk, kind, p, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "part", "data"))):
+            if kind == _TOKENS:
+                yield _asked_rows(chunk, [kind], [p], [data])
+                continue
+            if chunk is None:
+                at, part = (kind, p), CountFilter(np.frombuffer(data, np.uint8), 0, len(data))
+                continue
+            keys = _unpack(data, bytes(len(data) // 5), b"")[0]
+            levels = np.zeros(len(keys), np.uint8)
+            if at == (kind, p):
+                for low in range(0, len(keys), SLICE):
+                    levels[low : low + SLICE] = part.levels(keys[low : low + SLICE])
+            yield _asked_rows(chunk, [kind], [p], [levels.tobytes()])
+
+
+def _chunk_scores(totals: Totals, data: bytes, levels: dict[int, list[bytes]]) -> pa.RecordBatch:
+    """uid and score of the rows of a chunk; ``levels`` in the order of the keys."""
+    n, m, width = np.frombuffer(data, np.int64, 3).tolist()
+    uid = np.frombuffer(data, np.int64, n, 24)
+    first = np.frombuffer(data, np.int64, n + 1, 24 + 8 * n)
+    kinds = np.frombuffer(data, np.uint64, m, 32 + 16 * n)
+    short = np.frombuffer(data, np.uint8, -1, 32 + 16 * n + 8 * m).reshape(-1, width)
+    wide = np.zeros((len(short), 4), np.uint8)
+    wide[:, :width] = short
+    back = wide.view(np.uint32).ravel().astype(np.int64)
+    words, pairs = (np.frombuffer(b"".join(levels[k]), np.uint8) for k in (_WORDS, _PAIRS))
+    found, pair_back = np.unique(pair_hashes(kinds[back], first), return_inverse=True)
+    if (len(words), len(pairs)) != (m, len(found)):
+        raise ValueError("answers of the filters do not match the tokens of a chunk")
+    count = np.zeros(m)
+    count[np.argsort(mix(kinds))] = _MIDDLE[words]
+    together = _MIDDLE[pairs][pair_back]
+    before = np.empty(len(back), np.int64)
+    before[1:] = back[:-1]
+    before[first[:-1]] = np.searchsorted(kinds, END)
+    word = np.minimum(1.0, (count[back] + 1.0) / (totals.tokens + totals.kinds + 1.0))
+    seen = count[before]
+    share = np.minimum(together, seen) / np.maximum(seen, 1.0)
+    logs = np.log10(PAIR_SHARE * share + (1 - PAIR_SHARE) * word)
+    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(np.add.reduceat(logs, first[:-1]))], ["uid", "score"])
+
+
+def _closing(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The scores, from rows in order of chunk, kind and part."""
+        at, data, levels = None, None, {}
+        for batch in batches:
+            for chunk, kind, row in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "data"))):
+                if kind == _TOKENS:
+                    if data is not None:
+                        yield _chunk_scores(shared.value, data, levels)
+                    at, data, levels = chunk, row, {_WORDS: [], _PAIRS: []}
+                elif chunk != at:
+                    raise ValueError("answers of the filters without the tokens of their chunk")
+                else:
+                    levels[kind].append(row)
+        if data is not None:
+            yield _chunk_scores(shared.value, data, levels)
+
+    return run
+
+
+def _filter_scores(rows: DataFrame, model: Model, shared) -> DataFrame:
+    """uid and score of all rows (uid, text)."""
+    met = rows.mapInArrow(_asking(shared), _ASKED)
+    for kind, table in ((_WORDS, model.words), (_PAIRS, model.pairs)):
+        met = met.unionByName(table.select(F.lit(None).cast("bigint").alias("chunk"), F.lit(kind).alias("kind"), "part", F.col("bits").alias("data")))
+    met = met.repartition("kind", "part").sortWithinPartitions("kind", "part", F.asc_nulls_first("chunk"))
+    back = met.mapInArrow(_answering, _ASKED).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    return back.mapInArrow(_closing(shared), "uid bigint, score double")
 
 
 def _scoring(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a document with what is known here, and a row for each of its rare words."""
-        model = shared.value
+        model: Totals = shared.value
         unit = model.tokens + model.kinds + 1.0
         for batch in batches:
             uid = batch.column("uid").to_numpy()
@@ -343,10 +441,9 @@ def _scoring(shared):
                     np.diff(first),
                     np.add.reduceat(common.astype(np.int64), first[:-1]),
                     np.add.reduceat(base, first[:-1]),
-                    np.add.reduceat(model.log_probs(tokens, first), first[:-1]),
                 ]
                 n = len(own)
-                known = pa.StructArray.from_arrays([pa.array(x) for x in sums], ["n_tokens", "n_known", "base", "score"])
+                known = pa.StructArray.from_arrays([pa.array(x) for x in sums], ["n_tokens", "n_known", "base"])
                 nulls = pa.nulls(len(edge), known.type)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -362,7 +459,7 @@ def _scoring(shared):
     return run
 
 
-_SCORED = "h bigint, uid bigint, n bigint, own struct<n_tokens: bigint, n_known: bigint, base: double, score: double>"
+_SCORED = "h bigint, uid bigint, n bigint, own struct<n_tokens: bigint, n_known: bigint, base: double>"
 
 
 def scores(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,14 +469,16 @@ def scores(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit(""))).alias("uid"),
     )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.totals)
     parts = rows.select("uid", "text").mapInArrow(_scoring(shared), _SCORED)
     counts = vocabulary.select("h", F.col("n").alias("c"))
-    met = parts.join(counts, "h", "left")
-    rare = F.col("own").isNull()
+    met = parts.join(counts, "h", "left").select("uid", "n", "c", "own", F.lit(None).cast("double").alias("score"))
+    met = met.unionByName(_filter_scores(rows.select("uid", "text"), model, shared), allowMissingColumns=True)
+    rare = F.col("own").isNull() & F.col("n").isNotNull()
     unit = float(model.tokens + model.kinds + 1)
     sums = met.groupBy("uid").agg(
         F.first("own", ignorenulls=True).alias("own"),
+        F.first("score", ignorenulls=True).alias("score"),
         F.count("own").alias("m"),
         F.sum(F.when(rare, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(unit))).otherwise(0.0)).alias("base"),
         F.sum(F.when(rare & (F.col("c") > 0), F.col("n")).otherwise(0)).alias("known"),
@@ -392,7 +491,7 @@ def scores(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "
         (F.col("own.n_known") + (F.col("known") / F.col("m")).cast("bigint")).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("own.base") + F.col("base") / F.col("m")).alias("base_score"),
-        F.col("own.score").alias("score"),
+        "score",
     )
 
 
