@@ -35,6 +35,14 @@ def test_documents_are_opened_to_the_bottom(spark):
     assert [r.path for r in rows if r.id == 2] == [""]
 
 
+@pytest.mark.parametrize("text", ["x\n", "\ty", "é \u0001", "a\\", '\\"', "[{"])
+def test_documents_with_escapes_open_to_the_bottom(spark, text):
+    deep = {"t": text, "b": {"c": {"d": {"e": 1}}}, text: text}
+    docs = spark.createDataFrame([(json.dumps(deep),)], "doc string")
+    rows = {r.path: r.value for r in state_log.flatten_documents(docs, [], "doc").collect()}
+    assert rows["/b/c/d/e"] == "1" and rows["/b/c/d"] is None
+
+
 def test_volatile_members_in_lists_do_not_count(spark):
     def state(n, at, sources):
         items = [{"id": "p", "updatedAt": at, "sourceFloorIds": sources}, {"source": {"x": 1}} if False else {"source": at, "t": "a,\"updatedAt\":1"}]

@@ -85,7 +85,7 @@ def flatten_documents(
 
 def _nesting(text: Column) -> Column:
     """How deep brackets outside of strings nest."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*"', ""), r"[^\[\]{}]", "")
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
     def step(s: Column, c: Column) -> Column:
