@@ -75,6 +75,26 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert toxicity.scored(docs.limit(0), net).count() == 0
 
 
+def test_thresholds_see_all_labelled_rows(spark):
+    """A language with many labels has its own threshold, however small the fitted sample."""
+    rows, labels = toxic_rows(1200)
+    rows = [(i, text, "de" if i % 4 == 3 else "en") for i, text, *_ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    net = toxicity.train(docs, known, sample=60)
+    assert set(net.thresholds) == {None, "en", "de"}
+    toxic = dict(labels)
+    scores = [(r.score, toxic[r.doc_id], r.lang) for r in toxicity.scored(docs, net).collect()]
+
+    def f1(cut, lang):
+        own = [(s >= cut, y) for s, y, at in scores if at == lang]
+        return 2 * sum(p and y for p, y in own) / max(1, sum(p + y for p, y in own))
+
+    for lang in ("en", "de"):
+        best = max(f1(s, lang) for s, _, at in scores if at == lang)
+        assert f1(net.thresholds[lang], lang) > best - 0.05
+
+
 # ---------------------------------------------------------------- language model
 
 

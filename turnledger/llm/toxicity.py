@@ -9,8 +9,8 @@ other columns start random; all are trained by Adam on mini-batches of texts.
 The network is fitted on at most ``SAMPLE`` labelled rows of each label, those with the
 smallest hash of the id: a bound on the fit only, every text is scored whole. The shares of
 the labels in the sample are not those in the data, so the offset is corrected by the
-shares among all training labels. Thresholds by language are set on a part of the sample
-that is not trained on. Language never enters the score.
+shares among all training labels. Thresholds by language come from the scores of all labelled
+rows that are not trained on, counted in fine bins. Language never enters the score.
 
 Defined cases: null is an empty text, and an empty text has a score (that of pooled zeros);
 a document without label is scored only; without labels of both kinds the score is the share
@@ -34,6 +34,8 @@ from turnledger.llm.text_arrays import ALNUM, chunked_words, mix
 BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 8
 SAMPLE, EPOCHS, STEPS, RATE = 3000, 4, 700, 0.01
 CUT = 0.3
+#: Score bins for a unit of the log odds, for the thresholds.
+BINS = 64
 _C = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
 
 
@@ -178,15 +180,47 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def _best_cut(score: np.ndarray, label: np.ndarray) -> float:
-    """The threshold with the best F1; half-way to the next lower score."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    k = int(np.argmax(f1))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+def _best_cut(bins: list, label_weights: tuple[float, float]) -> float:
+    """The threshold with the best F1 from (low, high, clean, toxic) of score bins; half-way
+    to the next lower score."""
+    bins = sorted(bins, reverse=True)
+    low, high, clean, toxic = np.array(bins, float).T
+    hits, wrong = np.cumsum(toxic) * label_weights[1], np.cumsum(clean) * label_weights[0]
+    k = int(np.argmax(2 * hits / (hits + wrong + hits[-1])))
+    return float((low[k] + (high[k + 1] if k + 1 < len(bins) else 0.0)) / 2)
+
+
+def _set_thresholds(net: Network, docs: DataFrame, known: DataFrame, fitted: list[int]) -> None:
+    """Thresholds from the scores of all labelled rows that were not fitted on.
+
+    Each label counts as among all labelled rows, as the fitted ones do not have its share.
+    """
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in sorted(set(fitted))], "doc_id bigint").withColumn("used", F.lit(True))
+    score = F.least(F.greatest("score", F.lit(1e-18)), F.lit(1 - 1e-15))
+    labelled = scored(docs, net).join(known.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id").join(F.broadcast(ids), "doc_id", "left")
+    counted = (
+        labelled.groupBy("lang", F.col("used").isNotNull().alias("used"), F.floor(F.log(score / (1 - score)) * BINS).alias("bin"))
+        .agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+        .collect()
+    )
+
+    def free(rows: list) -> tuple[int, int]:
+        return sum(r["clean"] for r in rows if not r["used"]), sum(r["toxic"] for r in rows if not r["used"])
+
+    def cut(rows: list) -> float:
+        own = rows if not all(free(rows)) else [r for r in rows if not r["used"]]
+        weights = tuple(sum(r[c] for r in rows) / max(1, sum(r[c] for r in own)) for c in ("clean", "toxic"))
+        bins: dict[int, list] = {}
+        for r in own:
+            x = bins.setdefault(r["bin"], [1.0, 0.0, 0, 0])
+            x[:] = min(x[0], r["low"]), max(x[1], r["high"]), x[2] + r["clean"], x[3] + r["toxic"]
+        return _best_cut(list(bins.values()), weights)
+
+    net.thresholds[None] = cut(counted)
+    for name in {r["lang"] for r in counted} - {None}:
+        rows = [r for r in counted if r["lang"] == name]
+        if min(free(rows)) >= 20:
+            net.thresholds[name] = cut(rows)
 
 
 def _slots_of(texts: list[str | None]) -> list[np.ndarray]:
@@ -217,16 +251,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     if not (0 < y[test].sum() < test.sum() and 0 < y[~test].sum() < (~test).sum()):
         test[:] = False
     net = fit([s for s, t in zip(slots, test) if not t], y[~test])
-    held = np.flatnonzero(test) if test.any() else np.arange(len(rows))
     fitted = y[~test]
     net.shift = float(np.log(shares[1] / shares[0]) - np.log(fitted.sum() / (len(fitted) - fitted.sum())))
-    score = net.scores(*_join([slots[i] for i in held]))
-    lang = np.array([str(rows[i]["lang"]) for i in held])
-    net.thresholds[None] = _best_cut(score, y[held])
-    for name in np.unique(lang):
-        own = lang == name
-        if y[held][own].sum() >= 20 and (1 - y[held][own]).sum() >= 20:
-            net.thresholds[str(name)] = _best_cut(score[own], y[held][own])
+    _set_thresholds(net, docs, known, [r["doc_id"] for r, t in zip(rows, test) if not t])
     return net
 
 
