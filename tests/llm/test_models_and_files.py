@@ -425,6 +425,20 @@ def test_formats_links_and_what_stays(spark):
     assert results(spark, texts[:1], "other")[0] != got[0] and results(spark, texts[:1])[0] == got[0]
 
 
+def test_numbers_outside_of_the_american_plan(spark):
+    rng = random.Random(3)
+    numbers = {f"+1 ({a}) {b}-{rng.randrange(10000):04d}" for a in ("017", "117", "900", "217") for b in ("055", "155", "012")}
+    numbers |= {f"+1 ({a:03d}) 555-7713" for a in range(200)}
+    numbers = sorted(numbers)
+    docs = spark.createDataFrame([(i, f"{x}, again {x}.") for i, x in enumerate(numbers)], "doc_id long, text string")
+    rows = pseudonyms.pseudonymised(docs, "k").orderBy("doc_id").collect()
+    out = [re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}), again (.*)\.", r._pseudonymised).groups() for r in rows]
+    assert all(r._kinds == ["phone", "phone"] for r in rows) and all(a == b for a, b in out)
+    new = [a for a, _ in out]
+    assert len(set(new)) == len(numbers) and sum(a == b for a, b in zip(new, numbers)) == 0
+    assert not any(re.match(r"\+1 \([2-9]\d\d\) [2-9]", x) for x in new)
+
+
 def test_networks_are_permutations(spark):
     ssn = [f"{a:03d}-{b:02d}-{c:04d}" for a in (1, 665, 667, 899) for b in (1, 99) for c in (1, 9999)]
     days = [(date(1900, 1, 1) + timedelta(days=d)).isoformat() for d in range(0, 73049, 701)]

@@ -4,7 +4,8 @@ One pattern finds candidates, each is validated (checksums, ranges, calendar), a
 is permuted by a keyed Feistel network over the values its format allows: payment cards keep
 the Luhn digit right, IBANs their check digits, phones and social security numbers their
 ranges, addresses their octets, dates the calendar of 1900 to 2099, e-mail names their
-character classes. A network on two halves adds a keyed hash of one half to the other,
+character classes. Numbers under +1 whose area or exchange starts with 0 or 1 are permuted among
+themselves, apart from those of the North American plan. A network on two halves adds a keyed hash of one half to the other,
 position by position modulo the position's size, so it is a permutation of any mixed radix:
 equal values stay equal, different ones different, in all documents under one key.
 Separators, case and all other text stay.
@@ -88,8 +89,7 @@ def kind_of(m: Column) -> Column:
     d = F.regexp_replace(m, "[^0-9]", "")
     plain = F.regexp_replace(m, " ", "")
     octets = F.split(m, r"\.")
-    nanp = d.rlike(r"^1[2-9]\d{2}[2-9]\d{6}$")
-    phone = F.when(d.startswith("1"), nanp).otherwise(F.length(d).between(8, 15))
+    phone = F.when(d.startswith("1"), F.length(d) == 11).otherwise(F.length(d).between(8, 15))
     ssn = d.rlike(r"^(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}$")
     return (
         F.when(m.contains("@"), "email")
@@ -123,6 +123,10 @@ def _numbers(values: list[Column], sizes: list[int]) -> Column:
     return F.array(*[F.struct(v.cast("int").alias("v"), F.lit(b).alias("b")) for v, b in zip(values, sizes)])
 
 
+def _nanp(digits: Column) -> Column:
+    return (F.get(digits, F.lit(1)) >= 2) & (F.get(digits, F.lit(4)) >= 2)
+
+
 def places_of(m: Column, kind: Column) -> Column:
     """A valid candidate as a mixed-radix number: array of (value, size)."""
     d = _digits(m)
@@ -136,11 +140,15 @@ def places_of(m: Column, kind: Column) -> Column:
         F.slice(d, 2, 10),
         lambda x, i: F.struct(F.when(i.isin(0, 3), x - 2).otherwise(x).alias("v"), F.when(i.isin(0, 3), 8).otherwise(10).alias("b")),
     )
+    # The first digits of area and exchange of all others: 20 pairs from 0 or 1, 16 pairs to 0 or 1.
+    one, four = F.get(d, F.lit(1)), F.get(d, F.lit(4))
+    first = F.when(one < 2, one * 10 + four).otherwise(20 + (one - 2) * 2 + four)
+    odd = F.concat(F.array(F.struct(first.alias("v"), F.lit(36).alias("b"))), F.transform(F.concat(F.slice(d, 3, 2), F.slice(d, 6, 6)), ten))
     other = F.transform(F.slice(d, 2, F.size(d) - 1), ten)
     return (
         F.when(kind == "email", _classes(F.split(F.substring_index(m, "@", 1), "")))
         .when(kind == "ip", F.transform(octets, lambda x: F.struct(x.cast("int").alias("v"), F.lit(256).alias("b"))))
-        .when(kind == "phone", F.when(d[0] == 1, nanp).otherwise(other))
+        .when(kind == "phone", F.when(d[0] == 1, F.when(_nanp(d), nanp).otherwise(odd)).otherwise(other))
         .when(
             kind == "ssn",
             _numbers([area - F.when(area > 666, 2).otherwise(1), F.substring(m, 5, 2).cast("int") - 1, F.substring(m, 8, 4).cast("int") - 1], [898, 99, 9999]),
@@ -234,11 +242,15 @@ def _formatted(m: Column, kind: Column, places: Column, v: Column) -> Column:
     area = v[0] + F.when(v[0] >= 665, 2).otherwise(1)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     nanp = F.concat(F.array(F.lit(1)), F.transform(v, lambda x, i: F.when(i.isin(0, 3), x + 2).otherwise(x)))
+    low = v[0] < 20
+    area_digit = F.floor(F.when(low, v[0] / 10).otherwise((v[0] - 20) / 2 + 2)).cast("int")
+    exchange_digit = F.when(low, v[0] % 10).otherwise((v[0] - 20) % 2)
+    odd = F.concat(F.array(F.lit(1), area_digit), F.slice(v, 2, 2), F.array(exchange_digit), F.slice(v, 4, 6))
     card = F.concat(v, F.array(F.lit(0)))
     return (
         F.when(kind == "email", F.concat(_characters(places, v, F.split(F.substring_index(m, "@", 1), "")), F.lit("@"), F.substring_index(m, "@", -1)))
         .when(kind == "ip", F.array_join(F.transform(v, lambda x: x.cast("string")), "."))
-        .when(kind == "phone", _refill(m, F.when(d[0] == 1, nanp).otherwise(F.concat(F.slice(d, 1, 1), v))))
+        .when(kind == "phone", _refill(m, F.when(d[0] == 1, F.when(_nanp(d), nanp).otherwise(odd)).otherwise(F.concat(F.slice(d, 1, 1), v))))
         .when(kind == "ssn", F.concat_ws("-", pad(area, 3), pad(v[1] + 1, 2), pad(v[2] + 1, 4)))
         .when(
             kind == "date",
@@ -254,10 +266,14 @@ def _formatted(m: Column, kind: Column, places: Column, v: Column) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, text) of a candidate: its pseudonym, or itself and no kind."""
 
+    def tweak(kind: Column, p: Column) -> Column:
+        own = (kind == "phone") & (p[0]["b"] == 36)
+        return F.when(own, "phone/1").otherwise(F.concat_ws("/", kind, F.size(p).cast("string")))
+
     def permuted(kind: Column) -> Column:
         return let(
             places_of(m, kind),
-            lambda p: let(feistel(p, F.concat_ws("/", kind, F.size(p).cast("string")), key), lambda v: _formatted(m, kind, p, v)),
+            lambda p: let(feistel(p, tweak(kind, p), key), lambda v: _formatted(m, kind, p, v)),
         )
 
     return let(
