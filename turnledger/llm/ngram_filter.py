@@ -206,19 +206,23 @@ def _merge_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _filters(packed: DataFrame, name: str) -> DataFrame:
-    """The written filter of packed rows, one row a part."""
-    dealt = packed.repartition("part").sortWithinPartitions("part")
-    # The packed rows are read once: their shuffle files go when the filter is written.
-    conf = packed.sparkSession.conf
+def _written_once(df: DataFrame, name: str) -> DataFrame:
+    """The written table; the shuffle files of its plan, read once, go with the write."""
+    conf = df.sparkSession.conf
     before = conf.get(_CLEANUP)
     conf.set(_CLEANUP, "true")
     try:
-        return written(dealt.mapInArrow(_merge_parts, "part bigint, bits binary"), name)
+        return written(df, name)
     finally:
         conf.set(_CLEANUP, before)
 
 
+def _filters(packed: DataFrame, name: str) -> DataFrame:
+    """The written filter of packed rows, one row a part."""
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    return _written_once(dealt.mapInArrow(_merge_parts, "part bigint, bits binary"), name)
+
+
 @dataclass
 class Totals:
     """What every task needs to know of the training rows."""
@@ -413,7 +417,7 @@ def _filter_scores(rows: DataFrame, model: Model, shared) -> DataFrame:
         met = met.unionByName(table.select(F.lit(None).cast("bigint").alias("chunk"), F.lit(kind).alias("kind"), "part", F.col("bits").alias("data")))
     met = met.repartition("kind", "part").sortWithinPartitions("kind", "part", F.asc_nulls_first("chunk"))
     back = met.mapInArrow(_answering, _ASKED).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
-    return back.mapInArrow(_closing(shared), "uid bigint, score double")
+    return _written_once(back.mapInArrow(_closing(shared), "uid bigint, score double"), "filter_scores")
 
 
 def _scoring(shared):
