@@ -344,3 +344,80 @@ def repair_turns(conversations: DataFrame) -> DataFrame:
 
 def op11_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair_turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+def _sql() -> str:
+    def edit(state: str, cost: str, letter: str) -> str:
+        return f"printf('%06d', CAST({state}[1:6] AS INTEGER) + {cost}) || {state}[7:] || '{letter}'"
+
+    def least(*options: str) -> str:
+        return f"least({', '.join(options)})"
+
+    def keep(state: str, initial: str) -> str:
+        return f"CASE WHEN fault IN (0, 1) AND role[1:1] = '{initial}' THEN {edit(state, 'fault', 'K')} END"
+
+    def rerole(state: str) -> str:
+        return f"CASE WHEN fault IN (0, 1) THEN {edit(state, '2 + fault', 'R')} END"
+
+    drop = [edit(f"v{q}", "3", "D") for q in range(4)]
+    to_user = [f(f"v{q}", *a) for q in (0, 1, 3) for f, a in ((keep, "u"), (rerole, ""))]
+    taken = f"""SELECT w.c, w.pos + 1 AS pos, {drop[0]} AS v0, {least(drop[1], keep("v0", "s"))} AS v1,
+        {least(drop[2], *to_user)} AS v2, {least(drop[3], keep("v2", "a"), rerole("v2"))} AS v3
+        FROM walk w JOIN turns t ON t.c = w.c AND t.pos = w.pos + 1"""
+    opened = f"SELECT c, pos, v0, v1, {least('v2', *[edit(f'v{q}', '2', 'I') for q in (0, 1, 3)])} AS v2, v3 FROM ({taken})"
+    closed = f"SELECT c, pos, v0, v1, v2, {least('v3', edit('v2', '2', 'I'))} AS v3 FROM ({opened})"
+    step = "xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)"
+    bits = "flatten(list_transform(string_split(k, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda a, e: {step}), 4294967295)"
+    return f"""
+WITH RECURSIVE source AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+    FROM conversations
+), kinds AS (SELECT *, {crc} % 20 AS kind FROM source),
+hit AS (
+    SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM kinds WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+        NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+        NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut
+    FROM hit
+), seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 AS again FROM placed),
+turns AS MATERIALIZED (
+    SELECT c, pos, turn, role, text, CASE WHEN blank THEN 3 WHEN again THEN 2 WHEN cut THEN 1 ELSE 0 END AS fault,
+        lag(role) OVER (PARTITION BY c ORDER BY pos) AS role_before
+    FROM seen
+), walk AS (
+    SELECT DISTINCT c, CAST(0 AS BIGINT) AS pos, '000000' AS v0, CAST(NULL AS VARCHAR) AS v1, '000002I' AS v2, '000004II' AS v3 FROM turns
+    UNION ALL {closed}
+), best AS (SELECT c, max_by(least(v0, v3), pos) AS best FROM walk GROUP BY c),
+letters AS (
+    SELECT c, best[7:] AS audit, unnest(range(1, length(best) - 5)) AS i FROM best
+), spelled AS (
+    SELECT c, i, audit[i:i] AS letter, length(replace(audit[1:i], 'I', '')) AS pos, length(replace(audit[1:i], 'D', '')) AS place,
+        length(replace(audit, 'D', '')) % 2 AS odd
+    FROM letters
+), written AS (
+    SELECT s.c, string_agg(
+        CASE WHEN s.letter = 'K' THEN t.role WHEN (s.place + s.odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+        || CASE WHEN s.letter = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY s.i) AS whole
+    FROM spelled s LEFT JOIN turns t ON t.c = s.c AND t.pos = s.pos
+    WHERE s.letter <> 'D' GROUP BY s.c
+), counts AS (
+    SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 3) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+        count(*) FILTER (pos > 1 AND role_before[1:1] || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM turns GROUP BY c
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(best[1:6] AS BIGINT), 0) AS cost,
+    coalesce(best[7:], '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM source) ids
+LEFT JOIN counts USING (c) LEFT JOIN best USING (c) LEFT JOIN written USING (c)
+"""
+
+
+OP11_SQL = _sql()

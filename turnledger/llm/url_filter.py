@@ -73,9 +73,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return name, verdict
 
 
+_MARKUP = r"(?s)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^<>]*>|&#?\w+;"
+
+
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     """Letters a to z of all texts, tags taken out, as words with their numbers."""
-    plain = lower_ascii(F.regexp_replace(F.col(text_col), r"(?s)<(script|style)\b.*?</\1\s*>|<[^<>]*>|&#?\w+;", " "))
+    plain = lower_ascii(F.regexp_replace(F.col(text_col), _MARKUP, " "))
     words = texts.select(F.explode(F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return words.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
 
@@ -198,3 +201,85 @@ def judge_urls(pages: DataFrame, words: DataFrame, rules: Sequence[Rule], id_col
 def op13_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     return judge_urls(pages.select("page_id", "url"), word_counts(pages.select("html"), "html"), RULES)
+
+
+def _sql() -> str:
+    ranked = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+
+    def case(result) -> str:
+        tests = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{result(v, h, p)}'" for v, h, p in ranked]
+        return f"CASE {' '.join(tests)} END"
+
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    shape = "CASE WHEN regexp_full_match({0}, '[0-9]+') THEN '#' || length({0}) ELSE {0} END".format
+    score = "best[w.e + 2 - size] + coalesce(ln(CAST(known[(w.e + 1 - size) * 100 + size] AS DOUBLE)), -size * ln(10)) - scale"
+    return f"""
+WITH RECURSIVE urls AS (
+    SELECT page_id, row_number() OVER () AS uid, coalesce({low("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), ruled AS MATERIALIZED (
+    SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS by_rule FROM urls
+), counts AS MATERIALIZED (
+    SELECT word, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all({low(f"regexp_replace(html, '{_MARKUP}', ' ', 'g')")}, '[a-z]+')) AS word FROM pages
+    ) WHERE length(word) <= {LONGEST} GROUP BY word
+), labels AS (SELECT host, unnest(string_split(host, '.')) AS label FROM (SELECT DISTINCT host FROM urls)),
+runs AS MATERIALIZED (
+    SELECT host, unnest(CASE WHEN strlen(label) <= {LABEL} THEN regexp_extract_all(label, '{_RUNS}') ELSE [label] END) AS run,
+        strlen(label) <= {LABEL} AS short
+    FROM labels
+), letters AS (SELECT DISTINCT run FROM runs WHERE short AND regexp_full_match(run, '[a-z]+')),
+spans AS (
+    SELECT run, a, size, substr(run, a + 1, size) AS word
+    FROM letters, unnest(range(length(run))) x(a), unnest(range(1, {LONGEST} + 1)) y(size) WHERE a + size <= length(run)
+), tables AS MATERIALIZED (
+    SELECT run, map_from_entries(list((a * 100 + size, n)) FILTER (n IS NOT NULL)) AS known,
+        (SELECT ln(CAST(coalesce(sum(n), 0) + 1 AS DOUBLE)) FROM counts) AS scale
+    FROM spans LEFT JOIN counts USING (word) GROUP BY run
+), walk AS (
+    SELECT run, 0 AS e, [CAST(0 AS DOUBLE)] AS best, CAST([] AS INTEGER[]) AS back FROM letters
+    UNION ALL
+    SELECT run, e + 1, list_append(best, list_max(scores)), list_append(back, CAST(list_position(scores, list_max(scores)) AS INTEGER))
+    FROM (
+        SELECT w.*, list_transform(range(1, least(w.e + 1, {LONGEST}) + 1), lambda size: {score}) AS scores
+        FROM walk w JOIN tables USING (run) WHERE w.e < length(run)
+    )
+), cuts AS (
+    SELECT run, back, length(run) AS e, CAST(NULL AS VARCHAR) AS word FROM walk WHERE e = length(run)
+    UNION ALL
+    SELECT run, back, e - back[e], substr(run, e - back[e] + 1, back[e]) FROM cuts WHERE e > 0
+), host_tokens AS MATERIALIZED (
+    SELECT host, token, count(*) AS times FROM (
+        SELECT host, 'host ' || word AS token FROM runs JOIN (SELECT run, word FROM cuts WHERE word IS NOT NULL) USING (run) WHERE short
+        UNION ALL
+        SELECT host, 'host ' || {shape("run")} FROM runs
+        WHERE NOT (short AND regexp_full_match(run, '[a-z]+')) AND run <> ''
+    ) GROUP BY ALL
+), path_tokens AS MATERIALIZED (
+    SELECT uid, by_rule, 'path ' || {shape("t")} AS token
+    FROM (SELECT uid, by_rule, unnest(regexp_extract_all({low("path")}, '{_TOKENS}')) AS t FROM ruled)
+), counted AS (
+    SELECT token, by_rule, times FROM ruled JOIN host_tokens USING (host) WHERE by_rule IS NOT NULL
+    UNION ALL SELECT token, by_rule, 1 FROM path_tokens WHERE by_rule IS NOT NULL
+), sides AS (
+    SELECT token, coalesce(sum(times) FILTER (by_rule = 'allow'), 0) AS a, coalesce(sum(times) FILTER (by_rule = 'block'), 0) AS b FROM counted GROUP BY token
+), totals AS (SELECT sum(a) + count(*) AS a, sum(b) + count(*) AS b FROM sides),
+kinds AS (SELECT count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b FROM ruled),
+weights AS (
+    SELECT token, CASE WHEN k.a = 0 OR k.b = 0 THEN 0 ELSE
+        CAST(round((ln((s.b + 1) / CAST(t.b AS DOUBLE)) - ln((s.a + 1) / CAST(t.a AS DOUBLE))) * {UNIT}) AS BIGINT) END AS weight
+    FROM sides s, totals t, kinds k
+), prior AS (
+    SELECT CASE WHEN a = 0 OR b = 0 THEN b - a ELSE CAST(round(ln(b / CAST(a AS DOUBLE)) * {UNIT}) AS BIGINT) END AS prior FROM kinds
+), host_scores AS (SELECT host, sum(weight * times) AS s FROM host_tokens JOIN weights USING (token) GROUP BY host),
+path_scores AS (SELECT uid, sum(weight) AS s FROM path_tokens JOIN weights USING (token) GROUP BY uid),
+judged AS (
+    SELECT r.*, CASE WHEN by_rule IS NULL THEN CAST(coalesce(h.s, 0) + coalesce(p.s, 0) + prior AS BIGINT) END AS score
+    FROM ruled r CROSS JOIN prior LEFT JOIN host_scores h USING (host) LEFT JOIN path_scores p USING (uid)
+)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict, score FROM judged
+"""
+
+
+OP13_SQL = _sql()
