@@ -36,8 +36,6 @@ FREQUENT = 1 << 17
 #: An id pair is one number: the first side's id times this, plus the second side's.
 SHIFT = 1 << 20
 
-_coders: dict[tuple[str, str], "Coders"] = {}
-
 
 class Side:
     """Byte lengths and printed forms of one tokenizer's entries."""
@@ -56,7 +54,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class Coders:
-    """Both tokenizers of one process."""
+    """Both tokenizers. A task loads its own: a tokenizer that travels to a worker with this
+    module's state would lose its setting for special tokens."""
 
     def __init__(self, first: str, second: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,12 +77,6 @@ class Coders:
         if len(self.b.entries) > SHIFT:
             raise ValueError("the second vocabulary is larger than the pair numbers allow")
 
-    @staticmethod
-    def of(first: str, second: str) -> Coders:
-        if (first, second) not in _coders:
-            _coders[first, second] = Coders(first, second)
-        return _coders[first, second]
-
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none for a text that either side does not give back."""
         whole = [" " + t for t in texts]
@@ -164,7 +157,7 @@ def _aligner(first: str, second: str):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coders, seen = Coders.of(first, second), TaskContext.get().partitionId() << 36
+        coders, seen = Coders(first, second), TaskContext.get().partitionId() << 36
         for batch in batches:
             column = batch.column("text")
             for low, high in row_chunks(text_buffer(column)[1], CHUNK):
