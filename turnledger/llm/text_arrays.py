@@ -38,7 +38,7 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 16 * CHUNK:
+        if size <= CHUNK + 1:  # those of a longer text are not kept
             _powers[base] = have
     return have
 
