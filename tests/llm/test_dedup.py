@@ -280,3 +280,19 @@ def test_queries_equal_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     message, _, good = check_queries.compare(spark, con, name, "/root/testdata/sf0.001")
     assert good, message
+
+
+def test_rows_of_one_id_are_decided_one_by_one(table):
+    from turnledger.llm.bagminhash import drop_near_copies
+    from turnledger.llm.contamination import drop_contaminated
+
+    text = "some words that stand here in a row and then go on for quite a while longer than that, " * 3
+    other = "another text of this id which shares nothing at all with those before it in the table"
+    near = drop_near_copies(table([(1, text), (2, text + "z"), (2, other), (None, text)], extra=True))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near.collect()) == [(0, text), (1, text), (2, other)]
+    twice = drop_near_copies(table([(4, text), (4, text + "z"), (4, other)]))
+    assert sorted(r["text"] == other for r in twice.collect()) == [False, True]
+    items = table([(7, text)]).withColumnRenamed("doc_id", "item_id")
+    clean = drop_contaminated(table([(2, text), (2, other), (None, text), (None, None)], extra=True), items)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in clean.collect()) == [(0, ""), (2, other)]
+    assert clean.columns[0] == "doc_id" and "score" in clean.columns

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.llm.components import components
@@ -229,13 +229,12 @@ def _can_pass(n_a, own_a, n_b, own_b, threshold: float):
     return most >= threshold * (n_a + n_b - most) - 1e-9
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: its id, class_id (smallest id of the class), class_size."""
-    keyed = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def text_classes(keyed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(key, class) of every text of ``keyed`` (key, text) that resembles another one."""
     signed = keyed.select("key", "text").mapInArrow(_signed, "key binary, bands array<bigint>").dropDuplicates(["key"])
     placed = signed.select("key", F.explode("bands").alias("band"))
     full = placed.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("band")
@@ -279,7 +278,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = written(verified(crossed, texts, threshold), "near_more")
     if more.limit(1).count():
         classes = components(links.unionByName(more))
+    return classes
 
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: its id, class_id (smallest id of the class), class_size."""
+    keyed = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        _text_key(text_col).alias("key"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    classes = text_classes(keyed, threshold)
     member = keyed.select("doc_id", "key").join(classes, "key", "left")
     member = member.select("doc_id", "key", F.coalesce("class", "key").alias("class"))
     named = member.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -287,9 +296,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id; rows without id are kept."""
-    gone = near_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each class, that with the smallest id, of one id that with the smallest
+    digest of its text. Rows are told apart by id and text, so a row never goes for another
+    one of its id; rows equal in both are one document, and rows without id are kept."""
+    key = next(n for i in range(len(docs.columns) + 1) if (n := f"_key{i}") not in docs.columns)
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    classes = text_classes(keyed)
+    member = keyed.select("doc_id", "key").where("doc_id is not null").join(classes, "key", "left")
+    member = written(member.select("doc_id", "key", F.coalesce("class", "key").alias("class")).distinct(), "near_members")
+    first = member.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = member.join(first, "class").where(F.struct("doc_id", "key") != F.col("first")).select("doc_id", F.col("key").alias(key))
+    left = docs.withColumn(key, _text_key("text")).join(gone, ["doc_id", key], "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,19 +104,25 @@ class ItemIndex:
         return found
 
 
+def _found(index: ItemIndex, column, threshold: float) -> list[tuple]:
+    """(row, item id, item shingles, shared shingles, share) of the items in a column's texts."""
+    out = []
+    for low, _, words in chunked_words(column, ALNUM, True):
+        row, own = -1, set()
+        for r, n in sorted(index.candidates(words)):
+            if r != row:
+                row, own = r, _shingle_set(_tokens(words, r))
+            shared = len(index.sets[n] & own)
+            if shared >= threshold * len(index.sets[n]) - 1e-9:
+                out.append((low + r, index.ids[n], len(index.sets[n]), shared, shared / len(index.sets[n])))
+    return out
+
+
 def _searcher(items, threshold: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items.value)
         for batch in batches:
-            out = []
-            for low, _, words in chunked_words(batch.column("text"), ALNUM, True):
-                row, own = -1, set()
-                for r, n in sorted(index.candidates(words)):
-                    if r != row:
-                        row, own = r, _shingle_set(_tokens(words, r))
-                    shared = len(index.sets[n] & own)
-                    if shared >= threshold * len(index.sets[n]) - 1e-9:
-                        out.append((low + r, index.ids[n], len(index.sets[n]), shared, shared / len(index.sets[n])))
+            out = _found(index, batch.column("text"), threshold)
             if out:
                 rows, ids, sizes, shared, share = zip(*out)
                 yield pa.RecordBatch.from_arrays(
@@ -133,28 +139,47 @@ def _searcher(items, threshold: float):
     return search
 
 
+def _keeper(items, threshold: float, text: int):
+    """Batches without the rows whose text contains an item."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ItemIndex(items.value)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[f[0] for f in _found(index, batch.column(text), threshold)]] = False
+            yield batch if clean.all() else batch.filter(pa.array(clean))
+
+    return keep
+
+
+def _item_blocks(items: DataFrame) -> Iterator:
+    """The items as broadcast blocks of about ``BLOCK_BYTES``."""
+    asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
+    size = asked.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    blocks = 1 + 2 * int(size // BLOCK_BYTES)
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = CONTAINMENT
 ) -> DataFrame:
     """Every (document, item) pair with the item's shingles in the document."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
-    size = asked.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    blocks = 1 + 2 * int(size // BLOCK_BYTES)
     out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
+    for held in _item_blocks(items):
         found = texts.mapInArrow(_searcher(held, threshold), _PAIRS)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item; rows without id are kept."""
-    bad = contained_items(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """The rows whose text contains no item; each row is judged by itself, whatever its id."""
+    at = docs.columns.index("text")
+    for held in _item_blocks(items):
+        docs = docs.mapInArrow(_keeper(held, threshold, at), docs.schema)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
