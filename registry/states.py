@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.base import BLOCK, LOG_SQL, log, query, table
+import uuid
+
+from registry.base import BLOCK, LOG_SQL, kept, log, query, table
+from turnledger.operators import checkpoints as cp
 from turnledger.operators import state_log as sl
 from turnledger.operators.floors import SCOPE
+from turnledger.session import scratch_dir
 
 # Life span of each row: until the next change of its path or of the path above it.
 _VERSIONS_SQL = f"""
@@ -51,7 +55,11 @@ def state_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _POINTS_SQL = """,
-points AS (SELECT chat_id, CAST(seq AS VARCHAR) AS query_id, seq AS at_seq FROM log WHERE seq % 7 = 3)"""
+points AS (SELECT chat_id, CAST(seq AS VARCHAR) AS query_id, seq AS at_seq FROM log)"""
+
+
+def _every_seq(rows: DataFrame) -> DataFrame:
+    return rows.select(*SCOPE, F.col("seq").cast("string").alias("query_id"), F.col("seq").alias("at_seq"))
 
 
 @query(
@@ -64,9 +72,7 @@ JOIN points p ON p.chat_id = v.chat_id AND v.valid_from <= p.at_seq AND (v.valid
 )
 def state_as_of(spark: SparkSession, sf: str) -> DataFrame:
     rows = log(spark, sf)
-    points = rows.filter("seq % 7 = 3").select(
-        *SCOPE, F.col("seq").cast("string").alias("query_id"), F.col("seq").alias("at_seq")
-    )
+    points = _every_seq(rows)
     versions = sl.state_versions(rows, BLOCK)
     return sl.state_at(versions, points, sl.last_seq(rows), 1000).select(
         "chat_id", "query_id", "path", "kind", "value"
@@ -101,7 +107,7 @@ def semantic_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     # Items of a list carry provenance too.
     items = F.concat(
         F.lit('[{"id":"p'), "chat_id", F.lit('","sourceFloorIds":["f]1","f,2"],"updatedAt":"'), F.col("_at").cast("string"),
-        F.lit('"},{"source":"x","t":[1]},{"updatedAt":null}]'),
+        F.lit('"},{"source":{"type":"ai","seen":[{"floor":1}]},"t":[1]},{"updatedAt":null}]'),
     )
     lists = log(spark, sf).groupBy(*SCOPE).agg(F.max("seq").alias("_at")).select(
         *SCOPE, F.lit("/story/plotlines").alias("path"), F.lit("value").alias("kind"), items.alias("value"), F.col("_at").alias("seq")
@@ -280,3 +286,72 @@ def snapshot_integrity(spark: SparkSession, sf: str) -> DataFrame:
     )
     kept = rows.filter(chat != 1).select(*SCOPE, "path", "kind", "value").unionByName(extra)
     return sl.verify_snapshots(expected, kept, SCOPE).select(*SCOPE, "reason")
+
+
+# ---------------------------------------------------------------- stored checkpoints
+
+#: Seqs of a partition of the stored tables here: the supplied logs span several.
+_WIDTH = 1000
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    chain = rows.select(*SCOPE, F.col("seq").alias("message_index"), (F.col("seq") % 97 == 5).alias("forced"))
+    return sl.checkpoint_marks(chain, 20, BLOCK).where("checkpoint").select(*SCOPE, F.col("message_index").alias("seq"))
+
+
+def _checkpointed(spark: SparkSession, sf: str) -> str:
+    """Root of the log and its checkpoints, written once per session: the first half of each
+    chat's checkpoints from the whole log, the others from those."""
+
+    def build(spark: SparkSession, sf: str) -> DataFrame:
+        root = f"{scratch_dir(spark)}/checkpoints-{uuid.uuid4().hex}"
+        rows = log(spark, sf)
+        cp.append_log(rows, root, _WIDTH)
+        marks = _marks(rows)
+        middle = rows.agg(F.floor(F.avg("seq"))).first()[0] or 0
+        early = F.col("seq") <= middle
+        cp.write_checkpoints(rows.where(early), marks.where(early), root, _WIDTH, BLOCK)
+        cp.extend_checkpoints(spark, root, marks.where(~early), _WIDTH, BLOCK)
+        return spark.createDataFrame([(root,)], "root string")
+
+    return kept(spark, sf, "checkpoint_root", build).first()["root"]
+
+
+@query(
+    "replay_from_checkpoint",
+    _VERSIONS_SQL + " SELECT chat_id, branch_id, path, kind, value FROM versions WHERE valid_to IS NULL",
+)
+def replay_from_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest state of every chat from its last checkpoint and the events after it."""
+    ends = sl.last_seq(log(spark, sf)).select(*SCOPE, F.lit("end").alias("query_id"), F.col("last_seq").alias("at_seq"))
+    return cp.replay_points(spark, _checkpointed(spark, sf), ends, _WIDTH, BLOCK).drop("query_id")
+
+
+@query(
+    "replay_every_floor",
+    _VERSIONS_SQL
+    + _POINTS_SQL
+    + """
+SELECT v.chat_id, p.query_id, v.path, v.kind, v.value FROM versions v
+JOIN points p ON p.chat_id = v.chat_id AND v.valid_from <= p.at_seq AND (v.valid_to IS NULL OR v.valid_to > p.at_seq)""",
+)
+def replay_every_floor(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cp.replay_points(spark, _checkpointed(spark, sf), _every_seq(log(spark, sf)), _WIDTH, BLOCK)
+    return rows.drop("branch_id")
+
+
+@query(
+    "checkpoint_integrity",
+    f"""
+WITH {LOG_SQL},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY seq) AS n, seq % 97 = 5 AS forced FROM log),
+based AS (SELECT *, coalesce(max(CASE WHEN forced THEN n END) OVER (PARTITION BY chat_id ORDER BY seq), 0) AS base FROM numbered)
+SELECT chat_id, branch_id, seq AS checkpoint_seq, 'checkpoint_mismatch' AS reason FROM based
+WHERE (forced OR (n > base AND (n - base) % 20 = 0)) AND CAST(chat_id AS BIGINT) % 4 = 2""",
+)
+def checkpoint_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of one chat in four name other states than their checkpoints do."""
+    rows = log(spark, sf)
+    nodes = sl.node_fingerprints(sl.state_versions(rows, BLOCK), rows.select(*SCOPE, "seq").distinct(), BLOCK)
+    other = F.concat("state_fingerprint", F.when(F.col("chat_id").cast("bigint") % 4 == 2, "x").otherwise(""))
+    return cp.checkpoint_errors(spark, _checkpointed(spark, sf), nodes.withColumn("state_fingerprint", other))

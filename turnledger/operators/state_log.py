@@ -118,15 +118,50 @@ def is_volatile(path: Column) -> Column:
     return F.arrays_overlap(split_pointer(path), F.array(*[F.lit(v) for v in VOLATILE]))
 
 
-_MEMBER = r'"(?:%s)"\s*:\s*(?:"(?:[^"\\]|\\.)*"|\[(?:"(?:[^"\\]|\\.)*"|[^"\[\]])*\]|[^,}\]"\[]+)'
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[\[\]{}:,]|[^\[\]{}:,"\s]+'
+
+
+def _without_volatile(text: Column) -> Column:
+    """JSON text without the volatile members of its objects, at any depth.
+
+    One pass over the text's tokens. ``open``: the brackets still open, an object that has
+    kept a member as ``o``; ``skip``: how many were open where a member is left out, 0 outside
+    of one; ``key``: whether a string would be a member's name.
+    """
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("open"), F.lit(0).alias("skip"), F.lit(False).alias("key"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth, top = F.length(s["open"]), F.right(s["open"], F.lit(1))
+        shorter = F.substring(s["open"], F.lit(1), depth - 1)
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        skipped = s["skip"] > 0
+        ends = skipped & (depth == s["skip"]) & (closes | (t == ","))  # of the member left out
+        passed = skipped & ~ends
+        name = s["key"] & t.startswith('"')
+        dropped = name & t.isin(*[f'"{v}"' for v in VOLATILE])
+        shown = (
+            F.when(passed | dropped, "")
+            .when((t == ",") & (top != "["), "")
+            .when(name & (top == "o"), F.concat(F.lit(","), t))
+            .otherwise(t)
+        )
+        open_ = (
+            F.when(opens, F.concat(s["open"], t))
+            .when(closes, shorter)
+            .when(name & ~dropped & ~passed, F.concat(shorter, F.lit("o")))
+            .otherwise(s["open"])
+        )
+        skip = F.when(passed, s["skip"]).when(dropped, depth).otherwise(0)
+        key = F.when(passed, False).otherwise((t == "{") | ((t == ",") & (top != "[")))
+        return F.struct(F.concat(s["out"], shown).alias("out"), open_.alias("open"), skip.alias("skip"), key.alias("key"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), start, step, lambda s: s["out"])
 
 
 def stable_value(value: Column) -> Column:
-    """An array value without the volatile members of the objects in it."""
-    member = _MEMBER % "|".join(VOLATILE)
-    inner = F.regexp_replace(value, r"\s*,\s*" + member, "")
-    first = F.regexp_replace(inner, r"(\{\s*)" + member + r"\s*,?", "$1")
-    return F.when(value.startswith("["), first).otherwise(value)
+    """An array value without the volatile members of all objects in it."""
+    named = value.startswith("[") & value.rlike('"(%s)"' % "|".join(VOLATILE))
+    return F.when(named, _without_volatile(value)).otherwise(value)
 
 
 def canonical_json(text: Column) -> Column:
@@ -209,10 +244,10 @@ def partition_of(path: Column) -> Column:
 # ---------------------------------------------------------------- replay
 
 
-def _covering_paths(paths: DataFrame, rows: DataFrame) -> DataFrame:
+def _covering_paths(paths: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Changed paths that lie above some row."""
-    above = rows.select(*SCOPE, F.explode(ancestors(F.col("path"))).alias("path")).distinct()
-    return paths.join(above, [*SCOPE, "path"], "left_semi")
+    above = rows.select(*keys, F.explode(ancestors(F.col("path"))).alias("path")).distinct()
+    return paths.join(above, [*keys, "path"], "left_semi")
 
 
 def latest_state(events: DataFrame, until: DataFrame | None = None) -> DataFrame:
@@ -221,26 +256,31 @@ def latest_state(events: DataFrame, until: DataFrame | None = None) -> DataFrame
         events = salted_join(events, until.select(*SCOPE, "at_seq"), SCOPE, [F.col("seq")]).filter(
             F.col("seq") <= F.col("at_seq")
         )
+    return alive_rows(events, SCOPE)
+
+
+def alive_rows(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key that nothing newer touched at their own path or above it."""
     newest = (
-        events.groupBy(*SCOPE, "path")
+        events.groupBy(*keys, "path")
         .agg(F.max_by(F.struct("seq", "op", "kind", "value"), "seq").alias("_e"))
-        .select(*SCOPE, "path", "_e.seq", "_e.op", "_e.kind", "_e.value")
+        .select(*keys, "path", "_e.seq", "_e.op", "_e.kind", "_e.value")
     )
-    cover = _covering_paths(newest.select(*SCOPE, "path", "seq"), newest).select(
-        *SCOPE, F.col("path").alias("_above"), F.col("seq").alias("_killed")
+    cover = _covering_paths(newest.select(*keys, "path", "seq"), newest, keys).select(
+        *keys, F.col("path").alias("_above"), F.col("seq").alias("_killed")
     )
     present = newest.filter("op <> 'remove'")
     probes = present.select(
-        *SCOPE, "path", "seq", F.explode(ancestors(F.col("path"))).alias("_above")
+        *keys, "path", "seq", F.explode(ancestors(F.col("path"))).alias("_above")
     )
     dead = (
-        salted_join(probes, cover, [*SCOPE, "_above"], [F.col("path")])
+        salted_join(probes, cover, [*keys, "_above"], [F.col("path")])
         .filter(F.col("_killed") > F.col("seq"))
-        .select(*SCOPE, "path")
+        .select(*keys, "path")
         .distinct()
     )
-    return present.join(dead, [*SCOPE, "path"], "left_anti").select(
-        *SCOPE, "path", "kind", "value", "seq"
+    return present.join(dead, [*keys, "path"], "left_anti").select(
+        *keys, "path", "kind", "value", "seq"
     )
 
 
@@ -401,7 +441,7 @@ def node_fingerprints(versions: DataFrame, floors: DataFrame, size: int = DEFAUL
         *SCOPE,
         "valid_from",
         "valid_to",
-        *_row_words(F.col("path"), F.col("kind"), F.col("value")),
+        *_row_words(F.col("path"), F.col("kind"), stable_value(F.col("value"))),
     )
     moments = F.filter(F.array("valid_from", "valid_to"), lambda s: s.isNotNull())
     toggles = stable.select(*SCOPE, F.explode(moments).alias("seq"), *_WORDS)
