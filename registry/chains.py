@@ -325,7 +325,7 @@ def forced_rebuild_rejects(spark: SparkSession, sf: str) -> DataFrame:
     PREFIX_SQL
     + RESULTS_SQL
     + f""",
-wanted AS (SELECT *, {_DEP.format(body="body_fingerprint", prev="entry")} AS dep FROM prefix WHERE entry IS NOT NULL AND message_index % 3 <> 0),
+wanted AS (SELECT *, {_DEP.format(body="body_fingerprint", prev="entry")} AS dep FROM prefix WHERE entry IS NOT NULL),
 kept AS (SELECT * FROM results WHERE status = 'succeeded' AND candidate IS NOT NULL),
 own AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY floor_id, dependency_fingerprint ORDER BY finished_at DESC, created_at DESC, result_id DESC) = 1),
 other AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY branch_id, dependency_fingerprint ORDER BY finished_at DESC, created_at DESC, result_id DESC) = 1)
@@ -338,7 +338,7 @@ LEFT JOIN other b ON b.branch_id = w.branch_id AND b.dependency_fingerprint = w.
 )
 def reuse_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Every other valid node is treated as lost, so its stored result is applied again."""
-    rows = _prefix(spark, sf).filter("message_index % 3 <> 0")
+    rows = _prefix(spark, sf)
     lost = rows.withColumn("valid", F.col("valid") & (F.col("message_index") % 2 == 0))
     return ch.reuse_decisions(lost, results(spark, sf)).drop("branch_id")
 

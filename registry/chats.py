@@ -428,7 +428,7 @@ def default_branch(spark: SparkSession, sf: str) -> DataFrame:
     f"""
 WITH {FLOORS_SQL},
 asked AS (
-  SELECT chat_id, message_index, floor_id, CAST(chat_id AS BIGINT) AS n FROM floors WHERE message_index IN (1, 3)
+  SELECT chat_id, message_index, floor_id, CAST(chat_id AS BIGINT) AS n FROM floors
 )
 SELECT 'host:' || chat_id || ':' || message_index AS host_chat_id,
   CASE WHEN n % 9 = 0 THEN 'already_bound' WHEN n % 5 = 0 THEN 'root' WHEN n % 5 = 1 THEN 'fork_missing'
@@ -440,7 +440,7 @@ SELECT 'host:' || chat_id || ':' || message_index AS host_chat_id,
 FROM asked""",
 )
 def host_chat_bind(spark: SparkSession, sf: str) -> DataFrame:
-    base = floors(spark, sf).filter("message_index in (1, 3)")
+    base = floors(spark, sf)
     n = F.col("chat_id").cast("bigint")
     tail = F.concat_ws(":", "chat_id", F.col("message_index").cast("string"))
     asked = base.select(
