@@ -160,6 +160,15 @@ def test_alignment_of_repeated_and_missing_ids(spark):
     assert link_statistics(spark.createDataFrame([], schema), *FILES).count() == 0
 
 
+def test_both_libraries_give_the_same_ids():
+    coders, rnd = Coders(*FILES), random.Random(2)
+    letters = [chr(i) for i in range(0x80)] + [chr(i) for i in range(0xA1, 0x250)] + list(" \n'sdtmve" * 12)
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(1, 60))) for _ in range(3000)] + ["<|endoftext|>", "it's  we'LL \r\n\n x"]
+    assert coders.ranks is not None
+    want = [e.ids for e in coders.first.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [coders.ranks.encode_ordinary(" " + t) for t in texts] == want
+
+
 def test_byte_letters_are_a_bijection():
     letters = token_alignment.byte_letters()
     assert len(letters) == 256 and set(letters.values()) == set(range(256))
