@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from turnledger.functions.keys import fingerprint
 from turnledger.operators import bm25, chain
 from turnledger.operators.vectors import hashing_encoder
-from turnledger.plans.rebuild import rebuild_until_valid
+from turnledger.plans.rebuild import StateExtractor, rebuild_until_valid
 from turnledger.sources import tables
 from turnledger.streaming import fold, ingest, maintain
 
@@ -84,6 +84,71 @@ def test_failing_floors_are_asked_once_and_left(spark, folder):
     assert done.left.isEmpty() and done.nodes.count() == 12
 
 
+def counter(log):
+    """Reads the state: every "+" adds one to what the floors before came to."""
+
+    def ask(text, state):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        if "bad" in text:
+            raise ValueError("no")
+        if "=" in text:
+            return [("/story/count", f'"{text.split("=")[1]}"')]
+        before = int(state.get("/story/count", '"0"').strip('"'))
+        return [("/story/count", f'"{before + 1}"')] if "+" in text else []
+
+    return StateExtractor(ask)
+
+
+def counted(nodes, prefix, patches):
+    """Count after each floor, from the patches of the valid chain."""
+    chain_nodes = prefix.filter("valid").select("state_node_id")
+    said = {r.message_index: int(r.value.strip('"')) for r in patches.join(chain_nodes, "state_node_id", "left_semi").filter("path = '/story/count'").collect()}
+    return said
+
+
+def test_an_extractor_that_reads_the_state_converges(spark, folder):
+    log = f"{folder}-calls"
+    texts = ["one +", "two", "three +", "four +", "five =10", "six +", "seven", "eight +"]
+    none = spark.createDataFrame([], NODES), spark.createDataFrame([], PATCHES)
+    done = rebuild_until_valid(floors(spark, texts), *none, counter(log), "p1", f"{folder}/a", first_block=8, fold_size=3)
+    prefix = chain.trusted_prefix(floors(spark, texts), done.nodes, F.lit("p1"))
+    assert prefix.filter("not valid").count() == 0 and done.left.isEmpty()
+    assert counted(done.nodes, prefix, done.patches) == {1: 1, 3: 2, 4: 3, 5: 10, 6: 11, 8: 12}
+    assert sorted(open(log).read().split("\n")[:-1]) == sorted(texts)  # each once
+
+    # The edit changes what floors 3 and 4 come to; from floor 5 on the states are the same again.
+    texts[1] = "two edited +"
+    open(log, "w").close()
+    done = rebuild_until_valid(floors(spark, texts), done.nodes, done.patches, counter(log), "p1", f"{folder}/b", first_round=20, first_block=8, fold_size=3)
+    prefix = chain.trusted_prefix(floors(spark, texts), done.nodes, F.lit("p1"))
+    assert prefix.filter("not valid").count() == 0
+    assert counted(done.nodes, prefix, done.patches) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 10, 6: 11, 8: 12}
+    assert open(log).read().split("\n")[:-1] == ["two edited +", "three +", "four +", "five =10"]
+
+
+def test_floors_are_walked_in_order_up_to_a_failure(spark, folder):
+    from turnledger.operators.state_log import leaf_changes, leaf_fingerprints
+    from turnledger.plans.rebuild import LeafState, extract_in_order
+
+    run = floors(spark, ["+", "+", "bad", "+"]).withColumn("_base", F.lit("sha256:base"))
+    run = run.unionByName(run.withColumn("chat_id", F.lit("other")).where("content = '+'"))
+    before = spark.createDataFrame([("c", "b", "/story/count", '"4"')], "chat_id string, branch_id string, path string, value string")
+    made = spark.createDataFrame([("none", "n", "x", None, None)], "floor_id string, node_id string, previous_state_fingerprint string, path string, value string")
+    found = extract_in_order(run, before, made, counter(f"{folder}-calls"), attempts=2).collect()
+    got = {(r.chat_id, r.message_index): (r.attempts, r.error, r.value) for r in found}
+    assert got == {("c", 1): (1, None, '"5"'), ("c", 2): (1, None, '"6"'), ("c", 3): (2, "no", None), ("other", 1): (1, None, '"1"'), ("other", 2): (1, None, '"2"'), ("other", 4): (1, None, '"3"')}
+
+    # The walk's fingerprint is the one that nodes carry.
+    state, pairs = LeafState(), [("/a", '"1"'), ("/b", '[{"x":1,"source":{"y":[2]}}]'), ("/a", '"2"'), ("/source", '"left out"')]
+    rows = [("c", "b", i, p, v) for i, (p, v) in enumerate(pairs)]
+    log = spark.createDataFrame(rows, "chat_id string, branch_id string, seq long, path string, value string")
+    want = {r.seq: r.state_fingerprint for r in leaf_fingerprints(leaf_changes(log), log.select("chat_id", "branch_id", "seq")).collect()}
+    for i, (p, v) in enumerate(pairs):
+        state.put(p, v)
+        assert state.fingerprint() == want[i]
+
+
 def stream_of(spark, frame, path, files=3):
     frame.repartition(files).write.parquet(path)
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
