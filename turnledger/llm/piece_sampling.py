@@ -38,6 +38,7 @@ from turnledger.llm.text_arrays import mix, prefix_sums, row_chunks, text_buffer
 OFFSET = 2.7
 CHUNK_BYTES = 1 << 20
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
+_SLOTS = np.uint64((1 << 20) - 1)
 _NO_KEY = -(1 << 63)
 _ALL = (1 << 64) - 1
 
@@ -78,12 +79,46 @@ class Vocabulary:
         order = np.argsort(hashes)
         # Ids of pieces by hash, then those of single bytes, then -1 for longer byte sequences.
         self.hashes, self.pieces = hashes[order], len(ids)
+        # Pieces by the low bits of their hash; the few that share a slot are searched by bisection.
+        slot = self.hashes & _SLOTS
+        self.slots = np.full(len(slot) and int(_SLOTS) + 1, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        times = np.bincount(slot.astype(np.int64), minlength=len(self.slots))
+        self.slots[times > 1] = -2
+        # Bytes of every id, one after the other.
+        of_id = [b""] * n
+        for i, r in zip(ids, raw):
+            of_id[i] = r
+        for b, i in enumerate(self.byte_ids.tolist()):
+            of_id[i] = bytes([b])
+        self.id_bytes = np.frombuffer(b"".join(of_id), np.uint8)
+        self.id_at = np.concatenate([[0], np.cumsum([len(r) for r in of_id])])
         self.ids = np.concatenate([np.array(ids)[order], self.byte_ids, [-1]]).astype(np.int32)
         byte_weight = -np.log(2.0 * n) - total
         self.weights = np.concatenate([(-np.log(rank + OFFSET) - total)[order], np.full(257, byte_weight)])
         self.longest = max(len(t) for t in texts)
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[self.hashes & np.uint64((1 << 18) - 1)] = True
+        # Slots of what a longer piece starts with: other text needs no longer piece tried.
+        begin = np.repeat(start, end - start)
+        upto = np.arange(len(data)) + 1
+        cut = (upto < np.repeat(end, end - start)) & ((np.append(data[1:], 0) & 0xC0) != 0x80)
+        self.goes_on = np.zeros(int(_SLOTS) + 1, bool)
+        self.goes_on[mix((sums[upto[cut]] - sums[begin[cut]]) * down[begin[cut]]) & _SLOTS] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are pieces, and their places; exact."""
+        place = self.slots[hashes & _SLOTS]
+        some = np.flatnonzero(place != -1)
+        place, want = place[some], hashes[some]
+        shared = np.flatnonzero(place == -2)
+        place[shared] = np.minimum(np.searchsorted(self.hashes, want[shared]), len(self.hashes) - 1)
+        good = self.hashes[place] == want
+        return some[good], place[good].astype(np.int64)
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of rows of ids (``first``: the first of each row, and the end) and the rows' offsets."""
+        at, size = self.id_at[ids], self.id_at[ids + 1] - self.id_at[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.id_bytes[np.arange(ends[-1]) + np.repeat(at - ends[:-1], size)], ends[first]
 
     @staticmethod
     def of(path: str) -> Vocabulary:
@@ -115,33 +150,39 @@ class Lattice:
                 break
             a, b = at[live], at_end[live + length]
             hashes = mix((sums[b] - sums[a]) * down[a])
-            some = np.flatnonzero(vocabulary.maybe[hashes & np.uint64((1 << 18) - 1)])
-            place = np.minimum(np.searchsorted(vocabulary.hashes, hashes[some]), len(vocabulary.hashes) - 1)
-            good = vocabulary.hashes[place] == hashes[some]
-            chars.append(live[some[good]])
-            lengths.append(np.full(int(good.sum()), length))
-            piece.append(place[good])
+            some, place = vocabulary.find(hashes)
+            chars.append(live[some])
+            lengths.append(length)
+            piece.append(place)
+            live = live[vocabulary.goes_on[hashes & _SLOTS]]
         single = np.zeros(n, bool)
         if chars:
             single[chars[0]] = True
         rest = np.flatnonzero(~single)
-        char = np.concatenate([*chars, rest])
-        length = np.concatenate([*lengths, np.ones(len(rest), np.int64)])
         width = at_end[rest + 1] - at_end[rest]
-        place = np.concatenate([*piece, np.where(width == 1, vocabulary.pieces + raw[at[rest]].astype(np.int64), vocabulary.pieces + 256)])
-        order = np.argsort(char * 64 - length, kind="stable")  # long pieces, which are likely, first
-        self.char, self.place = char[order], place[order]
-        self.to = self.char + length[order]
+        chars.append(rest)
+        lengths.append(1)
+        piece.append(np.where(width == 1, vocabulary.pieces + raw[at[rest]].astype(np.int64), vocabulary.pieces + 256))
+        degree = np.zeros(n, np.int64)
+        for c in chars:
+            degree[c] += 1
+        self.edges = np.concatenate([[0], np.cumsum(degree)])
+        self.char = np.repeat(np.arange(n), degree)
+        self.place, self.to = np.empty(len(self.char), np.int64), np.empty(len(self.char), np.int64)
+        free = self.edges[:-1].copy()
+        for c, length, p in zip(reversed(chars), reversed(lengths), reversed(piece)):  # long pieces, which are likely, first
+            self.place[free[c]], self.to[free[c]] = p, c + length
+            free[c] += 1
         self.raw, self.at = raw, at_end
         weight = vocabulary.weights[self.place]
         long = self.place == vocabulary.pieces + 256
         weight[long] *= at_end[self.to[long]] - at_end[self.char[long]]
-        self.edges = np.searchsorted(self.char, np.arange(n + 1))
         # Backward sums, all words together, by the distance from the word's end.
         beta = np.zeros(n + 1)
         away = stop - np.arange(n)
-        by = np.argsort(away, kind="stable")
-        cut = np.searchsorted(away[by], np.arange(1, int(away.max(initial=0)) + 2))
+        longest = int(away.max(initial=0))
+        by = np.argsort(away.astype(np.uint16) if longest < 1 << 16 else away, kind="stable")
+        cut = np.cumsum(np.bincount(away, minlength=longest + 1))
         # The end of a word is the first character of the next one: its own sum counts as 0.
         value = np.empty(len(self.char))
         for d in range(len(cut) - 1):
@@ -202,8 +243,40 @@ class _Path:
     def __init__(self, texts: int):
         self.edge = self.word = np.zeros(0, np.int64)
         self.first = np.zeros(texts + 1, np.int64)
-        self.queue = np.zeros(0)
-        self.used: dict[int, list[int]] = {}
+        self.queue = self.prefix = np.zeros(0)
+        self.used: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def largest(self, texts: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The first step of each text that has ``value`` queued."""
+        a, size = self.first[:-1][texts], np.diff(self.first)[texts]
+        base = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) + np.repeat(a - base, size)
+        equal = np.flatnonzero(self.queue[step] == np.repeat(value, size))
+        return step[equal[np.searchsorted(equal, base)]]
+
+    def branch(self, lattice: Lattice, steps: np.ndarray, word_seed: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An edge not taken yet at the node of each step (ascending), and the log
+        probability of all paths through its edges that are left after it."""
+        first = lattice.edges[lattice.char[self.edge[steps]]]
+        degree = lattice.edges[lattice.char[self.edge[steps]] + 1] - first
+        column = np.arange(int(degree.max()))
+        inside = column < degree[:, None]
+        left = np.where(inside, lattice.q[np.where(inside, first[:, None] + column, 0)], 0.0)
+        row = np.arange(len(steps))
+        left[row, self.edge[steps] - first] = 0.0
+        for at, edge in self.used:
+            same = np.minimum(np.searchsorted(steps, at), len(steps) - 1)
+            hit = steps[same] == at
+            left[same[hit], edge[hit] - first[same[hit]]] = 0.0
+        u = uniform(word_seed[self.word[steps]] + salt)
+        cum = np.cumsum(left, axis=1)
+        chosen = np.minimum(((cum <= (u * cum[:, -1])[:, None]) & inside).sum(axis=1), degree - 1)
+        while (gone := left[row, chosen] == 0.0).any():
+            chosen[gone] -= 1
+        left[row, chosen] = 0.0
+        self.used.append((steps, first + chosen))
+        with np.errstate(divide="ignore"):
+            return first + chosen, self.prefix[steps] + np.log(left.sum(axis=1))
 
 
 def _truncated(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -246,11 +319,11 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
     exists = np.zeros((k, n), bool)
     for draw in range(k):
         path = _Path(n)
-        # Where each text goes on: its first word to walk, and the place there.
-        go_word = word_first[:-1].copy()
+        # Where each text goes on: the words to walk, and the place in each.
         position = w_first.copy()
         walks = np.zeros(len(start), bool)
-        heads: list[np.ndarray] = []
+        heads: list[tuple] = []  # texts, their path branched off, its first step, the step left there, the edge instead
+        head = np.zeros(n, np.int64)
         fresh = np.zeros(n, np.int64)  # steps taken over from the path branched off
         if draw == 0:
             top, active = root.copy(), np.diff(word_first) >= 0
@@ -266,62 +339,47 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
                 t = has[better]
                 best[t], origin[t] = top_here[better], p
             top, active = best, best > -np.inf
-            heads = [np.zeros(0, np.int64)] * n
-            head_words = [np.zeros(0, np.int64)] * n
-            for t in np.flatnonzero(active).tolist():
-                other = paths[origin[t]]
-                a, b = int(other.first[t]), int(other.first[t + 1])
-                s = int(a + np.argmax(other.queue[a:b]))
-                node = int(lattice.char[other.edge[s]])
-                taken = other.used.setdefault(s, [int(other.edge[s])])
-                e0, e1 = int(lattice.edges[node]), int(lattice.edges[node + 1])
-                left = lattice.q[e0:e1].copy()
-                left[[x - e0 for x in taken]] = 0.0
-                word = int(other.word[s])
-                u = uniform(word_seed[word : word + 1] + np.uint64(draw * int(_C2) + s - a & _ALL))[0]
-                cum = np.cumsum(left)
-                edge = e0 + min(int(np.searchsorted(cum, u * cum[-1], "right")), e1 - e0 - 1)
-                while left[edge - e0] == 0.0:
-                    edge -= 1
-                taken.append(edge)
-                left[edge - e0] = 0.0
+            mark = np.zeros(len(start) + 1, np.int64)
+            for p in np.unique(origin[active]).tolist():
+                t = np.flatnonzero(active & (origin == p))
+                other = paths[p]
+                a, s = other.first[:-1][t], other.largest(t, top[t])
+                edge, prefix = other.branch(lattice, s, word_seed, salt(draw) + (s - a).astype(np.uint64))
+                word = other.word[s]
                 # What is left at the node stays queued, below the value taken.
-                prefix = float(lattice.log_q[other.edge[a:s]].sum())
-                with np.errstate(divide="ignore"):
-                    location = prefix + np.log(left.sum())
-                v = uniform(word_seed[word : word + 1] ^ (np.uint64((draw + 77) * int(_C1) + s - a & _ALL)))
-                other.queue[s] = _truncated(np.array([location]), top[t : t + 1], v)[0]
-                heads[t] = np.append(other.edge[a:s], edge)
-                head_words[t] = np.append(other.word[a:s], word)
-                fresh[t] = s - a
-                go_word[t] = word
-                walks[word : word_first[t + 1]] = True
+                v = uniform(word_seed[word] ^ (salt(draw + 77, _C1) + (s - a).astype(np.uint64)))
+                other.queue[s] = _truncated(prefix, top[t], v)
+                fresh[t], head[t] = s - a, s - a + 1
+                heads.append((t, other, a, s, edge))
+                mark[word] += 1
+                mark[word_first[t + 1]] -= 1
                 position[word] = lattice.to[edge]
-                # A word's last character is followed by the next word of the lattice.
-                if position[word] >= w_last[word]:
-                    walks[word] = False
+            walks = np.cumsum(mark[:-1]) > 0
+            # A word's last character is followed by the next word of the lattice.
+            walks &= position < w_last
         todo = np.flatnonzero(walks)
         seed = mix(word_seed[todo] + salt(draw + 1))
         edges, count = lattice.walk(position[todo], w_last[todo], seed)
         words = np.repeat(todo, count)
         owner = text_of[words]
         tail = np.bincount(owner, minlength=n)
-        head = np.array([len(h) for h in heads], np.int64) if draw else np.zeros(n, np.int64)
         path.first = np.concatenate([[0], np.cumsum(head + tail)])
         path.edge, path.word = np.empty(path.first[-1], np.int64), np.empty(path.first[-1], np.int64)
         tail_base = np.cumsum(tail) - tail
         where = np.arange(len(edges)) - tail_base[owner] + path.first[:-1][owner] + head[owner]
         path.edge[where], path.word[where] = edges, words
-        if draw:
-            where = np.arange(int(head.sum())) - np.repeat(np.cumsum(head) - head, head) + np.repeat(path.first[:-1], head)
-            path.edge[where] = np.concatenate(heads) if n else np.zeros(0, np.int64)
-            path.word[where] = np.concatenate(head_words) if n else np.zeros(0, np.int64)
+        for t, other, a, s, edge in heads:
+            size = s - a + 1
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            where, whence = inside + np.repeat(path.first[:-1][t], size), inside + np.repeat(a, size)
+            path.edge[where], path.word[where] = other.edge[whence], other.word[whence]
+            path.edge[path.first[:-1][t] + size - 1] = edge
         # Queue the other edges of every new step.
         steps = np.diff(path.first)
         of = np.repeat(np.arange(n), steps)
         log_q = lattice.log_q[path.edge]
         run = np.concatenate([[0.0], np.cumsum(log_q)])
-        prefix = run[:-1] - run[path.first[:-1]][of]
+        prefix = path.prefix = run[:-1] - run[path.first[:-1]][of]
         log_prob[draw] = run[path.first[1:]] - run[path.first[:-1]]
         number = np.arange(len(path.edge)) - path.first[:-1][of]
         u = uniform(mix(seeds[of] + salt(draw + 1, _C1)) + (number.astype(np.uint64) + np.uint64(1)) * _C2)
@@ -359,6 +417,17 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray,
     return out
 
 
+def _equal_rows(data: np.ndarray, offsets: np.ndarray, other: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which rows of two byte columns are the same."""
+    same = np.diff(offsets) == np.diff(bounds)
+    size = np.where(same, np.diff(offsets), 0)
+    row = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    differs = data[offsets[:-1][row] + inside] != other[bounds[:-1][row] + inside]
+    same[row[differs]] = False
+    return same
+
+
 def _sampler(path: str, k: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.of(path)
@@ -366,9 +435,8 @@ def _sampler(path: str, k: int, digest: bool):
             keys = batch.column("key").to_numpy()
             data, offsets = text_buffer(batch.column("text"))
             for low, high in row_chunks(offsets, CHUNK_BYTES):
-                own = data[offsets[low] : offsets[high]]
-                draws = sample_chunk(vocabulary, own, offsets[low : high + 1] - offsets[low], keys[low:high], k)
-                originals = batch.column("text").slice(low, high - low).to_pylist() if digest else None
+                own, bounds = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+                draws = sample_chunk(vocabulary, own, bounds, keys[low:high], k)
                 for rank, (exists, log_prob, inclusion, ids, first) in enumerate(draws):
                     rows = np.flatnonzero(exists)
                     columns = [
@@ -381,9 +449,8 @@ def _sampler(path: str, k: int, digest: bool):
                     names = ["doc_id", "draw", "n_pieces", "log_prob", "log_inclusion"]
                     if digest:
                         lists = [ids[first[r] : first[r + 1]] for r in rows]
-                        decoded = vocabulary.model.decode([x.tolist() for x in lists]) if lists else []
                         columns.append(pa.array([zlib.crc32(x.astype("<u4")) for x in lists], pa.int64()))
-                        columns.append(pa.array([originals[r][1:] == d for r, d in zip(rows.tolist(), decoded)], pa.bool_()))
+                        columns.append(pa.array(_equal_rows(*vocabulary.decode(ids, first), own, bounds)[rows]))
                         names += ["ids_crc32", "round_trip"]
                     else:
                         lengths = np.diff(first)[rows]
@@ -429,7 +496,7 @@ def decoded(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame
 
 
 def digests(docs: DataFrame, vocabulary: str, k: int = 2) -> DataFrame:
-    """The samples with a checksum of their ids and whether the library decodes them to the text."""
+    """The samples with a checksum of their ids and whether they decode to the text, byte by byte."""
     return _prepared(docs, "doc_id", "text").mapInArrow(
         _sampler(vocabulary, k, True), f"{_SAMPLE}, ids_crc32 bigint, round_trip boolean"
     )
