@@ -18,6 +18,7 @@ one id are ordered by text; an empty table writes no files; extra columns are no
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,30 +34,41 @@ from turnledger.llm.warc import open_folder
 
 LENGTH, BATCH_SEQUENCES = 2048, 256
 END_ID = 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-class WordEncoder:
-    """Encodes whole texts with a word-level vocabulary file of the tokenizers library.
+class WordEncoder(dict):
+    """Encodes whole texts with a word-level vocabulary file of the tokenizers library; as a
+    dictionary it holds the ids (bytes of ``kind``) of the words seen, and learns new ones.
 
     The tokenizer drops white space and splits at it, so a text's ids are those of its words
     one after the other; each different word is given to the library once while the cache
-    lasts. Texts that may hold a special token ("<|") are given to it whole.
+    lasts. The cache has two generations of ``CACHE_WORDS``; words met again move to the new
+    one. Texts that may hold a special token ("<|") are given to it whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.id_bytes = [np.array([i], self.kind).tobytes() for i in range(self.size)]
+        self.old: dict[bytes, bytes] = {}
+        # What the library makes of each Latin letter (none of them combine) on the way to its model.
+        self.letters: dict[int, str] = {}
+        for c in range(65, 0x180):
+            plain = self.tokenizer.normalizer.normalize_str(chr(c))
+            if chr(c).isalpha() and plain.isalpha():
+                self.letters[c] = self.bytes_of.pre_tokenize_str(plain)[0][0]
+        self.latin = re.compile(f"[{''.join(map(chr, self.letters))}]+").fullmatch
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -64,50 +76,43 @@ class WordEncoder:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _letters(self, core: bytes) -> bytes:
-        """Ids of a run of letters: one piece of the pre-tokenizer, given to the model by itself."""
-        word = core.decode()
-        if not word.isascii():
-            plain = self.tokenizer.normalizer.normalize_str(word)
+    def _ids(self, part: str) -> bytes:
+        if not self.latin(part):
+            if not part.isalpha():
+                return self._library(part)
+            plain = self.tokenizer.normalizer.normalize_str(part)
             if not plain.isalpha():
-                return self._library([word])[0]
-            word = self.bytes_of.pre_tokenize_str(plain)[0][0]
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        # A run of letters and the punctuation after it are split by the tokenizer anyway.
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in new:
-            core = w.rstrip(b".,;:!?")
-            parts[w] = (core, w[len(core) :]) if core and core.decode().isalpha() else (w, b"")
-        fresh = []
-        for p in {p for pair in parts.values() for p in pair if p and p not in self.cores}:
-            if p.decode().isalpha():
-                self.cores[p] = self._letters(p)
+                return self._library(part)
+            letters = self.bytes_of.pre_tokenize_str(plain)[0][0]
+        else:
+            letters = part.translate(self.letters)
+        # A run of letters is one piece of the pre-tokenizer, given to the model by itself.
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(letters)])
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            # A run of letters and the punctuation after it are split by the tokenizer anyway.
+            core = word.rstrip(b".,;:!?")
+            if len(core) < len(word) and core.decode().isalpha():
+                found = self[core] + self[word[len(core) :]]
             else:
-                fresh.append(p)
-        for low in range(0, len(fresh), 4096):
-            some = fresh[low : low + 4096]
-            self.cores.update(zip(some, self._library([p.decode() for p in some])))
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+                found = self._ids(word.decode())
+        self[word] = found
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8), as bytes of ``kind``."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.cores.clear()
-        known, out = self.words, []
-        split = [t.lower().split() for t in texts]
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(new)
-        for text, words in zip(texts, split):
-            out.append(self._library([text.decode()])[0] if b"<|" in text else b"".join(map(known.__getitem__, words)))
-        return out
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return [
+            self._library(text.decode()) if b"<|" in text else b"".join(map(self.__getitem__, text.lower().split()))
+            for text in texts
+        ]
 
 
 def _schema(kind) -> pa.Schema:
