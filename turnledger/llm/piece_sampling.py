@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from turnledger.llm.text_arrays import mix, prefix_sums, row_chunks, text_buffer
 
 OFFSET = 2.7
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F)
 _SLOTS = np.uint64((1 << 20) - 1)
 _NO_KEY = -(1 << 63)
