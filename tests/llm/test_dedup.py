@@ -209,6 +209,15 @@ def test_phrases_of_split_owners(table, monkeypatch):
     assert phrase_result(table(rows)) == brute_repeats(rows)
 
 
+def test_phrases_of_many_rows_without_id_or_of_one_id(table):
+    """Such rows are documents of their own: nothing gathers all of them, one keeps the passage."""
+    shared = " ".join(f"s{j}" for j in range(60))
+    rows = [(i, f"{n}a {n}b {shared} {n}c") for n, i in enumerate([None] * 5000 + [7] * 5000)]
+    got = phrase_automata.without_repeats(table(rows + [(7, "same " + shared)] * 3000)).collect()
+    assert len(got) == 13000 and all(r.n_removed in (0, 60) for r in got)
+    assert [r.doc_id for r in got if r.n_removed == 0] == [None]
+
+
 def test_phrases_in_small_pieces(table, spark, monkeypatch):
     rows = phrase_rows(4)
     pieces = []

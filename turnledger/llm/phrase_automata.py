@@ -5,7 +5,8 @@ word sequence also starts earlier (smaller document id, or same document and ear
 
 1. Anchors. Of the 16 five-word phrases in a window the one with the smallest hash is its
    anchor, so equal windows have equal anchors. Phrases that are an anchor at two places or
-   more are counted over the corpus; the smallest document of each is its owner.
+   more are counted over the corpus; the smallest document of each is its owner (by id, or
+   by text hash where there is none).
 2. Segments. Runs of windows with recurring anchors of one owner travel as text to the
    owner's shard, so a copied passage moves as one piece. All places of a window reach one
    shard, because its anchor decides the shard.
@@ -70,9 +71,9 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, document and number of places, for each anchor of each document."""
+    """anchor, document (id and key) and number of places, for each anchor of each document."""
     for batch in batches:
-        ids = batch.column("doc").to_numpy()
+        ids, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
         for low, _, words in chunked_words(batch.column("text"), PLAIN, False):
             _, at, values = anchors(words)
             if not len(at):
@@ -87,16 +88,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(found[new].view(np.int64)),
                     pa.array(ids[low + row[new]]),
+                    pa.array(keys[low + row[new]]),
                     pa.array(np.diff(np.append(new, len(found))).astype(np.int32)),
                 ],
-                ["anchor", "doc", "places"],
+                ["anchor", "doc", "key", "places"],
             )
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of windows whose anchors recur, by owner and shard."""
+    before = None
     for batch in batches:
+        # Rows repeated with id and text follow each other: one of them is enough.
         ids, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
+        again = np.concatenate([[before == (ids[0], keys[0])], (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])]) if len(ids) else []
+        if np.any(again):
+            batch = batch.take(pa.array(np.flatnonzero(~again)))
+            ids, keys = ids[~again], keys[~again]
+        if not len(ids):
+            continue
+        before = ids[-1], keys[-1]
         lists = batch.column("known")
         known_at = lists.offsets.to_numpy()
         fields = lists.values
@@ -120,7 +131,8 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not len(window):
                 continue
             owner, split = k_owner[place], k_split[place]
-            shard = np.where(split > 1, mix(ids[low + row].view(np.uint64)) % split.astype(np.uint64), 0).astype(np.int64)
+            document = mix(ids[low + row].view(np.uint64) ^ mix(keys[low + row].view(np.uint64)))
+            shard = np.where(split > 1, document % split.astype(np.uint64), 0).astype(np.int64)
             new = np.concatenate([[True], (np.diff(window) != 1) | (np.diff(row) != 0) | (np.diff(owner) != 0) | (np.diff(split) != 0)])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(window)) - 1
@@ -246,15 +258,13 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = batch.column("marks")
         kept_text, n_words, n_removed = [], [], []
-        columns = (batch.column("text").cast(pa.binary()).to_pylist(), batch.column("key").to_pylist(), marks.to_pylist())
-        for text, key, ranges in zip(*columns):
+        for text, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), marks.to_pylist()):
             words = text.split()
             total = len(words)
             if ranges:
                 gone = np.zeros(total, bool)
                 for r in ranges:
-                    if r["key"] == key:
-                        gone[r["start"] : r["start"] + r["n"]] = True
+                    gone[r["start"] : r["start"] + r["n"]] = True
                 words = [words[i] for i in np.flatnonzero(~gone).tolist()]
             kept_text.append(b" ".join(words))
             n_words.append(total)
@@ -272,18 +282,19 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, key and ``marks``: the ranges of words (key, start, n) that a window repeats.
+    """doc_id, text, key and ``marks``: the ranges of words (start, n) that a window repeats.
 
-    One plan: both joins take the texts from one exchange by document.
+    One plan: both joins take the texts from one exchange by document, which is an id and a
+    hash of the text, so that many rows without id, or of one id, are not one key.
     """
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("doc"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    places = rows.select("doc", "text").mapInArrow(_anchor_rows, "anchor bigint, doc bigint, places int")
+    ).withColumn("key", F.xxhash64("text"))
+    places = rows.mapInArrow(_anchor_rows, "anchor bigint, doc bigint, key bigint, places int")
     recurring = (
         places.groupBy("anchor")
-        .agg(F.sum("places").alias("_n"), F.min("doc").alias("owner"))
+        .agg(F.sum("places").alias("_n"), F.min(F.when(F.col("doc") != _NO_ID, F.col("doc")).otherwise(F.col("key"))).alias("owner"))
         .filter("_n > 1")
         # Powers of two, so that neighbouring anchors of an owner rarely differ.
         .withColumn(
@@ -293,14 +304,14 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .drop("_n")
     )
     known = (
-        places.select("anchor", "doc")
+        places.select("anchor", "doc", "key")
         .join(recurring, "anchor")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("anchor", "owner", "split")).alias("known"))
+        .groupBy("doc", "key")
+        .agg(F.collect_set(F.struct("anchor", "owner", "split")).alias("known"))
     )
     segments = (
-        rows.join(known, "doc")
-        .select("doc", F.xxhash64("text").alias("key"), "text", "known")
+        rows.join(known, ["doc", "key"])
+        .select("doc", "key", "text", "known")
         .mapInArrow(_segment_rows, "owner bigint, split bigint, shard bigint, doc bigint, key bigint, start bigint, words binary")
     )
     found = (
@@ -318,11 +329,11 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     later = F.when(F.col("merged"), F.filter("places", lambda x: x != F.array_min("places"))).otherwise(F.col("places"))
     marks = (
         groups.select(F.explode(later).alias("r"))
-        .groupBy(F.col("r.doc").alias("doc"))
-        .agg(F.collect_list(F.struct("r.key", "r.start", "r.n")).alias("marks"))
+        .groupBy(F.col("r.doc").alias("doc"), F.col("r.key").alias("key"))
+        .agg(F.collect_list(F.struct("r.start", "r.n")).alias("marks"))
     )
-    return rows.join(marks, "doc", "left").select(
-        F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "text", F.xxhash64("text").alias("key"), "marks"
+    return rows.join(marks, ["doc", "key"], "left").select(
+        F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "text", "key", "marks"
     )
 
 
