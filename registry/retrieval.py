@@ -19,7 +19,7 @@ from registry.base import (
 from turnledger.functions.keys import fingerprint, vector_space_fingerprint
 from turnledger.functions.parse import canonical_base_url
 from turnledger.functions.text import estimate_tokens, tokenize
-from turnledger.operators import bm25, fusion
+from turnledger.operators import blockmax, bm25, fusion
 from turnledger.operators import vectors as vec
 from turnledger.operators.floors import SCOPE
 
@@ -157,6 +157,15 @@ def bm25_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(bm25.search_index(postings, lengths, searches(spark, sf)))
 
 
+@query("bm25_blockmax_topk", _SCORES_SQL + _BM25_OUT)
+def bm25_blockmax_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Same answer from the blocks whose bounds reach a query's threshold."""
+    postings = kept(spark, sf, "block_postings", lambda s, d: blockmax.build_blocks(memories(s, d))[0])
+    blocks = kept(spark, sf, "blocks", lambda s, d: blockmax.block_maxima(postings))
+    lengths = kept(spark, sf, "lengths", lambda s, d: bm25.build_index(memories(s, d))[1])
+    return _ranked(blockmax.block_max_topk(postings, blocks, lengths, searches(spark, sf)))
+
+
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return (
         kept(spark, sf, "postings", lambda s, d: bm25.build_index(memories(s, d))[0]),
