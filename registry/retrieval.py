@@ -19,7 +19,7 @@ from registry.base import (
 from turnledger.functions.keys import fingerprint, vector_space_fingerprint
 from turnledger.functions.parse import canonical_base_url
 from turnledger.functions.text import estimate_tokens, tokenize
-from turnledger.operators import blockmax, bm25, fusion
+from turnledger.operators import blockmax, bm25, fusion, pivots
 from turnledger.operators import vectors as vec
 from turnledger.operators.floors import SCOPE
 
@@ -261,6 +261,18 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(vec.vector_topk(vectors(spark, sf), _vector_queries(spark, sf)))
 
 
+@query(
+    "vector_pruned_topk",
+    _VQ_SQL + " SELECT chat_id, branch_id, query_id, rank, memory_id, round(score, 6) AS score FROM vtop",
+)
+def vector_pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Same answer from the clusters whose bounds reach a query's threshold."""
+    chosen = kept(spark, sf, "pivots", lambda s, d: pivots.choose_pivots(vectors(s, d)))
+    rows = kept(spark, sf, "clustered", lambda s, d: pivots.clustered(vectors(s, d), chosen))
+    clusters = kept(spark, sf, "clusters", lambda s, d: pivots.cluster_bounds(rows))
+    return _ranked(pivots.pruned_topk(rows, clusters, chosen, _vector_queries(spark, sf)))
+
+
 @query(
     "cosine_similarity",
     """
