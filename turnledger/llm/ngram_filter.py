@@ -303,16 +303,45 @@ def _asked_rows(chunk, kinds, parts, data) -> pa.RecordBatch:
     )
 
 
+def _by_frequency(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens, most frequent first, and the place of each token among them."""
+    kinds, codes, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(kinds), np.uint32)
+    place[order] = np.arange(len(kinds), dtype=np.uint32)
+    return kinds[order], place[codes]
+
+
+def _chunk_bytes(uid: np.ndarray, lengths: np.ndarray, kinds: np.ndarray, codes: np.ndarray) -> bytes:
+    """A chunk's rows and tokens. Codes by frequency have upper bytes that are mostly zero, so
+    they are packed byte by byte of the number: about half of the room of three bytes a token."""
+    planes = np.ascontiguousarray(codes.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    packed = [pa.compress(np.ascontiguousarray(planes[:, i]).tobytes(), codec="zstd", asbytes=True) for i in range(4)]
+    packed.append(pa.compress(lengths.astype("<i8").tobytes(), codec="zstd", asbytes=True))
+    head = np.array([len(uid), len(kinds), len(codes), *map(len, packed)], np.int64)
+    return b"".join([head.tobytes(), uid.tobytes(), kinds.tobytes(), *packed])
+
+
+def _chunk_parts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """uid, offsets of the rows, kinds and codes of ``_chunk_bytes``."""
+    n, m, tokens, *sizes = np.frombuffer(data, np.int64, 8).tolist()
+    uid, kinds = np.frombuffer(data, np.int64, n, 64), np.frombuffer(data, np.uint64, m, 64 + 8 * n)
+    planes, at = np.empty((tokens, 4), np.uint8), 64 + 8 * (n + m)
+    for i, size in enumerate(sizes[:4]):
+        planes[:, i] = np.frombuffer(pa.decompress(data[at : at + size], tokens, codec="zstd", asbytes=True), np.uint8)
+        at += size
+    lengths = np.frombuffer(pa.decompress(data[at : at + sizes[4]], 8 * n, codec="zstd", asbytes=True), np.int64)
+    return uid, np.concatenate([[0], np.cumsum(lengths)]), kinds, planes.view("<u4").ravel().astype(np.int64)
+
+
 def _asking(shared):
     def chunk_rows(held: list, place: str) -> pa.RecordBatch:
         tokens = np.concatenate([t for _, t, _ in held])
-        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, _, f in held]))])
-        kinds, back = np.unique(tokens, return_inverse=True)
-        width = 3 if len(kinds) < 1 << 24 else 4
-        back = np.ascontiguousarray(back.astype(np.uint32)).view(np.uint8).reshape(-1, 4)[:, :width]
+        lengths = np.concatenate([np.diff(f) for _, _, f in held])
+        first = np.concatenate([[0], np.cumsum(lengths)])
+        kinds, codes = _by_frequency(tokens)
         uid = np.concatenate([u for u, _, _ in held])
-        head = np.array([len(uid), len(kinds), width], np.int64)
-        rows = [(_TOKENS, 0, b"".join(x.tobytes() for x in (head, uid, first, kinds, back)))]
+        rows = [(_TOKENS, 0, _chunk_bytes(uid, lengths, kinds, codes))]
         for kind, shift, keys in (
             (_WORDS, shared.value.word_shift, np.sort(mix(kinds))),
             (_PAIRS, shared.value.pair_shift, np.unique(pair_hashes(tokens, first))),
@@ -365,24 +394,17 @@ def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chunk_scores(totals: Totals, data: bytes, levels: dict[int, list[bytes]]) -> pa.RecordBatch:
     """uid and score of the rows of a chunk; ``levels`` in the order of the keys."""
-    n, m, width = np.frombuffer(data, np.int64, 3).tolist()
-    uid = np.frombuffer(data, np.int64, n, 24)
-    first = np.frombuffer(data, np.int64, n + 1, 24 + 8 * n)
-    kinds = np.frombuffer(data, np.uint64, m, 32 + 16 * n)
-    short = np.frombuffer(data, np.uint8, -1, 32 + 16 * n + 8 * m).reshape(-1, width)
-    wide = np.zeros((len(short), 4), np.uint8)
-    wide[:, :width] = short
-    back = wide.view(np.uint32).ravel().astype(np.int64)
+    uid, first, kinds, back = _chunk_parts(data)
     words, pairs = (np.frombuffer(b"".join(levels[k]), np.uint8) for k in (_WORDS, _PAIRS))
     found, pair_back = np.unique(pair_hashes(kinds[back], first), return_inverse=True)
-    if (len(words), len(pairs)) != (m, len(found)):
+    if (len(words), len(pairs)) != (len(kinds), len(found)):
         raise ValueError("answers of the filters do not match the tokens of a chunk")
-    count = np.zeros(m)
+    count = np.zeros(len(kinds))
     count[np.argsort(mix(kinds))] = _MIDDLE[words]
     together = _MIDDLE[pairs][pair_back]
     before = np.empty(len(back), np.int64)
     before[1:] = back[:-1]
-    before[first[:-1]] = np.searchsorted(kinds, END)
+    before[first[:-1]] = np.flatnonzero(kinds == END)[0]
     word = np.minimum(1.0, (count[back] + 1.0) / (totals.tokens + totals.kinds + 1.0))
     seen = count[before]
     share = np.minimum(together, seen) / np.maximum(seen, 1.0)
