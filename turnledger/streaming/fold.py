@@ -25,18 +25,97 @@ CHANGES = StructType(
 )
 
 
+def _parent(path: str) -> str | None:
+    return path.rpartition("/")[0] if "/" in path else None
+
+
+class PathTree:
+    """Known paths in a map state, each with its value and its place among its siblings.
+
+    A cell is ``value, first child, next sibling, previous sibling``. Paths above a known one
+    have cells without a value, which go when their last child goes. Setting or removing a
+    path reads its ancestors, its neighbours and what lies below it, never the other paths,
+    and no cell grows with the number of children.
+    """
+
+    def __init__(self, cells) -> None:
+        self.cells = cells
+
+    def get(self, path: str) -> list | None:
+        return list(self.cells.getValue((path,))) if self.cells.containsKey((path,)) else None
+
+    def _put(self, path: str, cell: list) -> None:
+        self.cells.updateValue((path,), tuple(cell))
+
+    def set(self, path: str, value: str) -> None:
+        cell = self.get(path)
+        if cell is not None:
+            self._drop(cell[1])
+            self._put(path, [value, None, *cell[2:]])
+            return
+        cell = [value, None, None, None]
+        while (parent := _parent(path)) is not None:
+            above = self.get(parent)
+            if above is not None:
+                cell[2] = above[1]
+                if above[1] is not None:
+                    self._relink(above[1], 3, path)
+                self._put(parent, [above[0], path, *above[2:]])
+                break
+            self._put(path, cell)
+            path, cell = parent, [None, path, None, None]
+        self._put(path, cell)
+
+    def remove(self, path: str) -> None:
+        """Takes a path with a cell out, with all below it and with cells above left empty."""
+        cell = self.get(path)
+        self._drop(cell[1])
+        while True:
+            self.cells.removeKey((path,))
+            parent = _parent(path)
+            if parent is None:
+                return
+            if cell[2] is not None:
+                self._relink(cell[2], 3, cell[3])
+            if cell[3] is not None:
+                self._relink(cell[3], 2, cell[2])
+                return
+            above = self.get(parent)
+            above[1] = cell[2]
+            if above[0] is not None or above[1] is not None:
+                self._put(parent, above)
+                return
+            path, cell = parent, above
+
+    def _relink(self, path: str, place: int, other: str | None) -> None:
+        cell = self.get(path)
+        cell[place] = other
+        self._put(path, cell)
+
+    def _drop(self, first: str | None) -> None:
+        todo = [first]
+        while todo:
+            path = todo.pop()
+            if path is not None:
+                _, child, sibling, _ = self.get(path)
+                self.cells.removeKey((path,))
+                todo += [sibling, child]
+
+
 class PatchFold(StatefulProcessor):
-    """State: value per path, the next expected position, floors waiting for an earlier one.
+    """State: a tree of paths, the next expected position, floors waiting for an earlier one.
 
     A floor that arrives early waits; one that was folded already is ignored (edits go
-    through the rebuild plan). Changes list the topmost path only, as the batch diff does. Paths and waiting floors are map entries of the state store,
-    so a long chat is never loaded whole.
+    through the rebuild plan). Changes list the topmost path only, as the batch diff does.
+    Paths and waiting floors are map entries of the state store, so a long chat is never
+    loaded whole, and a patch reads only the cells around its path.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         text = StructType([StructField("v", StringType())])
         number = StructType([StructField("v", LongType())])
-        self.values = handle.getMapState("values", text, text)
+        cell = StructType([StructField(n, StringType()) for n in ("value", "first", "next", "previous")])
+        self.tree = PathTree(handle.getMapState("tree", text, cell))
         self.waiting = handle.getMapState("waiting", number, text)
         self.next = handle.getValueState("next", number)
 
@@ -51,20 +130,17 @@ class PatchFold(StatefulProcessor):
             patches = json.loads(self.waiting.getValue((expected,))[0])
             self.waiting.removeKey((expected,))
             for path, value in sorted(patches.items()):
-                known = self.values.containsKey((path,))
-                old = self.values.getValue((path,))[0] if known else None
+                cell = self.tree.get(path)
+                old = cell[0] if cell else None
                 # A path that is set or removed takes what lies below it along.
-                below = [k for (k,) in self.values.keys() if k.startswith(path + "/")]
-                for k in below:
-                    self.values.removeKey((k,))
                 if value is None:
-                    if known:
-                        self.values.removeKey((path,))
-                    if known or below:
+                    if cell:
+                        self.tree.remove(path)
                         out.append((*key, expected, "remove", path, old, None))
-                elif not known or old != value:
-                    self.values.updateValue((path,), (value,))
-                    out.append((*key, expected, "replace" if known else "add", path, old, value))
+                elif old != value or cell[1] is not None:
+                    self.tree.set(path, value)
+                    if old != value:
+                        out.append((*key, expected, "add" if old is None else "replace", path, old, value))
             expected += 1
         self.next.update((expected,))
         yield pd.DataFrame(out, columns=[f.name for f in CHANGES.fields])
