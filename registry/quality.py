@@ -115,7 +115,7 @@ UNION ALL SELECT c_custkey, '/branchId', CASE WHEN c_custkey % 5 = 4 THEN '"othe
 )
 def snapshot_normalization(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["c_custkey", "branch_id"]
-    rows = sl.flatten_documents(_snapshots(spark, sf), keys, "doc", 6)
+    rows = sl.flatten_documents(_snapshots(spark, sf), keys, "doc")
     out = ql.normalize_snapshot_rows(rows, keys, F.col("branch_id"))
     shown = out.filter(F.col("path").rlike("(characterId|aliases|schemaVersion)$|^/branchId$"))
     return shown.select("c_custkey", "path", "value")

@@ -196,7 +196,7 @@ WITH docs AS (
 )"""
 
 
-def _documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _document_pairs(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     rows = table(spark, sf, "events").select("event_id", F.col("event_type").alias("t"), k.alias("k"))
     # before: {"a": {"k": K, "t": T}, "list": [K, 1]}
@@ -217,21 +217,27 @@ def _documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         extra,
         F.lit('"list": ['), F.col("k").cast("string"), F.lit(",1]}"),
     )
-    docs = rows.select("event_id", before.alias("before"), after.alias("after"))
+    return rows.select("event_id", before.alias("before"), after.alias("after"))
+
+
+def _documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = _document_pairs(spark, sf)
     return (
         sl.flatten_documents(docs, ["event_id"], "before", 4),
         sl.flatten_documents(docs, ["event_id"], "after", 4),
     )
 
 
-@query(
-    "document_diff",
+_DIFF_SQL = (
     _DOC_SQL
     + """
 SELECT event_id, 'remove' AS op, '/a' AS path, CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value FROM docs WHERE k % 5 = 0
 UNION ALL SELECT event_id, 'replace', '/a/k', CAST(k AS VARCHAR), CAST(k + 1 AS VARCHAR) FROM docs WHERE k % 5 <> 0 AND k % 2 = 0
-UNION ALL SELECT event_id, 'add', '/b~0~1c', NULL, NULL FROM docs WHERE k % 3 = 0""",
+UNION ALL SELECT event_id, 'add', '/b~0~1c', NULL, NULL FROM docs WHERE k % 3 = 0"""
 )
+
+
+@query("document_diff", _DIFF_SQL)
 def document_diff(spark: SparkSession, sf: str) -> DataFrame:
     before, after = _documents(spark, sf)
     return sl.diff_documents(before, after, ["event_id"]).select(
@@ -239,6 +245,12 @@ def document_diff(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("document_diff_by_digests", _DIFF_SQL)
+def document_diff_by_digests(spark: SparkSession, sf: str) -> DataFrame:
+    changes = sl.diff_texts(_document_pairs(spark, sf), ["event_id"], "before", "after")
+    return changes.select("event_id", "op", "path", "old_value", "new_value")
+
+
 @query(
     "document_rows",
     _DOC_SQL

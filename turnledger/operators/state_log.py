@@ -9,10 +9,14 @@ its own path or any path above it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from turnledger.functions.json_tree import tree_changes, tree_rows
 from turnledger.functions.keys import ancestors, escape_segment, split_pointer
 from turnledger.operators.bm25 import SCOPE
 from turnledger.operators.skew import (
@@ -27,6 +31,8 @@ from turnledger.operators.skew import (
 # Members that record bookkeeping, not story state.
 VOLATILE = ["updatedAt", "source", "sourceFloorIds", "sourceHostChatIds"]
 DEFAULT_CHECKPOINT_INTERVAL = 20
+#: Levels that documents are opened by Generates, and rows that a task holds of deeper ones.
+NATIVE_DEPTH, ROWS_OUT = 6, 10_000
 _WORDS = ["_w0", "_w1", "_w2", "_w3"]
 EMPTY_FINGERPRINT = "sha256:" + hashlib.sha256(b"0:0:0:0").hexdigest()
 
@@ -46,10 +52,16 @@ def flatten_documents(
     Objects give a container row and their members. Arrays, scalars and whatever lies
     below ``max_depth`` are values kept as JSON text with sorted keys; with
     ``expand_arrays`` arrays are containers too, their members numbered from 0. Without
-    ``max_depth`` documents are opened to the bottom: the deepest nesting is measured first.
+    ``max_depth`` documents are opened to the bottom: those nested up to ``NATIVE_DEPTH`` by
+    one Generate a level, deeper ones in one pass over their text, so a deep document slows no
+    other and the plan does not follow the deepest.
     """
     if max_depth is None:
-        max_depth = docs.agg(F.max(_nesting(F.col(column)))).first()[0] or 0
+        deep = F.coalesce(_nesting(F.col(column)) > NATIVE_DEPTH, F.lit(False))
+        flat = flatten_documents(docs.filter(~deep), keys, column, NATIVE_DEPTH, expand_arrays)
+        texts = docs.filter(deep).select(*keys, canonical_json(F.col(column)).alias("_text"))
+        opened = _by_rows(texts, keys, ["_text"], _ROW_FIELDS, lambda text: tree_rows(text, expand_arrays))
+        return flat.unionByName(opened)
     rows = docs.select(
         *keys,
         F.lit("").alias("path"),
@@ -83,6 +95,49 @@ def flatten_documents(
     )
 
 
+_ROW_FIELDS = ["path", "kind", "value"]
+_CHANGE_FIELDS = ["op", "path", "old_kind", "old_value", "new_kind", "new_value"]
+
+
+def _by_rows(texts: DataFrame, keys: list[str], columns: list[str], fields: list[str], open_) -> DataFrame:
+    """Rows ``(keys, fields)`` that ``open_`` gives for the ``columns`` of each row; rows whose
+    columns are all null give none."""
+    given = texts.filter(F.coalesce(*columns).isNotNull()).select(*keys, *columns)
+    schema = StructType([*given.select(*keys).schema.fields, *[StructField(f, StringType()) for f in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, found = [], []
+
+            def made(batch=batch):
+                heads = batch.select(keys).take(pa.array(source, pa.int64())) if keys else None
+                arrays = [*(heads.columns if keys else []), *(pa.array(v, pa.string()) for v in zip(*found))]
+                return pa.RecordBatch.from_arrays(arrays, [*keys, *fields])
+
+            for at, row in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                for out in open_(*row):
+                    source.append(at)
+                    found.append(out)
+                    if len(found) == ROWS_OUT:
+                        yield made()
+                        source, found = [], []
+            if found:
+                yield made()
+
+    return given.mapInArrow(run, schema)
+
+
+def diff_texts(pairs: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Topmost changes between two JSON columns of a row, as ``diff_documents`` lists them.
+
+    Pairs with equal canonical texts go first; of the others, containers get digests from the
+    bottom up and only those that differ are opened. A null or unreadable document is absent.
+    No document is written out as rows, nothing is shuffled, and any depth has the same plan.
+    """
+    texts = pairs.select(*keys, canonical_json(F.col(before)).alias("_old"), canonical_json(F.col(after)).alias("_new"))
+    return _by_rows(texts.filter(~F.col("_old").eqNullSafe(F.col("_new"))), keys, ["_old", "_new"], _CHANGE_FIELDS, tree_changes)
+
+
 def _nesting(text: Column) -> Column:
     """How deep brackets outside of strings nest."""
     marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
