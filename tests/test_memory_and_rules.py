@@ -87,6 +87,23 @@ def test_json_extraction_reasons(spark):
     assert got == texts
 
 
+def test_json_is_the_whole_text_or_its_object(spark):
+    texts = {
+        '4703 and more {"a": 1} tail': '{"a":1}',
+        '[1] then {"a": 2}': '{"a":2}',
+        '"quoted", {"a": 3}': '{"a":3}',
+        'true {"a": 4} false': '{"a":4}',
+        "12 monkeys": "not valid JSON",
+        "12, 13": "not valid JSON",
+        "null": "not an object",
+        "12": "not an object",
+        '{"a": 5} {"b": 6}': "not valid JSON",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    got = {r.raw: r.json or r.reason for r in parse.extract_json_objects(df, "raw").collect()}
+    assert got == texts
+
+
 def test_base_urls(spark):
     urls = {
         "https://Api.Example.com/": "https://api.example.com/v1",

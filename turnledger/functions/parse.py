@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from turnledger.functions.text import trim_ws
 
 
+def _whole_json(text: Column) -> Column:
+    """The JSON value that the whole text is, null when something follows it.
+
+    The engine's parser stops after the first value, so the text is put into a list before its own
+    hash: only a text that is one value leaves a list of two.
+    """
+    end = F.sha2(text, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), end, F.lit('"]')))
+    last = F.try_variant_get(pair, "$[1]", "string")
+    closed = (last == end) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(closed, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def extract_json_objects(df: DataFrame, raw: str) -> DataFrame:
     """Adds ``json`` and ``reason``: the one JSON object in a model's answer, or why there is none.
 
@@ -32,7 +45,7 @@ def extract_json_objects(df: DataFrame, raw: str) -> DataFrame:
         return F.regexp_replace(F.translate(value, "“”", '""'), r",\s*([}\]])", "$1")
 
     parsed = F.coalesce(
-        *[F.try_parse_json(t) for t in (body, repaired(body), inner, repaired(inner))]
+        *[_whole_json(t) for t in (body, repaired(body), inner, repaired(inner))]
     )
     staged = staged.withColumn("_v", parsed)
     open_block = text.rlike(r"(?i)^<think(?:ing)?>") & ~text.rlike(r"(?i)</think(?:ing)?>")
