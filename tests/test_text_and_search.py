@@ -113,6 +113,17 @@ def test_refreshed_index_equals_a_new_one(spark):
         )
 
 
+def test_scores_that_differ_in_their_last_bits_tie(spark):
+    """Sums in another order: the earlier floor comes first, whichever sum is larger by a bit."""
+    low, high = 0.1 + 0.2 + 0.3, 0.3 + 0.2 + 0.1
+    assert low > high
+    rows = [("late", 2, low), ("early", 1, high)]
+    scored = spark.createDataFrame([("c", "b", "q", *r) for r in rows], "chat_id string, branch_id string, query_id string, memory_id string, start_floor int, score double")
+    assert [r.memory_id for r in scored.orderBy(*bm25.by_score()).collect()] == ["early", "late"]
+    fused = scored.withColumnRenamed("score", "rrf_score")
+    assert [r.memory_id for r in fusion.rank_fused(fused, 2).orderBy("rrf_rank").collect()] == ["early", "late"]
+
+
 RANKED = "chat_id string, branch_id string, query_id string, memory_id string, start_floor int, rank int, score double"
 
 

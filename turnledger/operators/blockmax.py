@@ -19,7 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.operators.bm25 import B, DEFAULT_TOP_K, K1, SCOPE, build_index, by_score, corpus_stats, query_terms
+from turnledger.operators.bm25 import (
+    B,
+    DEFAULT_TOP_K,
+    K1,
+    SCOPE,
+    SCORE_DIGITS,
+    build_index,
+    by_score,
+    corpus_stats,
+    query_terms,
+)
 from turnledger.operators.ranking import positive_or, top_k
 
 RANGE = 64
@@ -27,6 +37,8 @@ RANGE = 64
 FIRST = 4
 #: Sums of the same terms in another order differ by less than this share.
 _SLACK = 1e-9
+#: Scores that are equal once rounded differ by no more than this.
+_TIE = 10.0**-SCORE_DIGITS
 
 _BLOCK = [*SCOPE, "term", "range"]
 _ASKED = [*SCOPE, "query_id", "range"]
@@ -107,7 +119,7 @@ def needed_blocks(
     found = top_k(_scored(postings, asked.join(best, _ASKED, "left_semi")), key, by_score(), k)
     threshold = found.filter(F.col("rank") == k).select(*key, F.col("score").alias("_threshold"))
     needed = bounds.join(threshold, key, "left").filter(
-        F.col("_threshold").isNull() | (F.col("_bound") >= F.col("_threshold") * F.lit(1 - _SLACK))
+        F.col("_threshold").isNull() | (F.col("_bound") >= F.col("_threshold") * F.lit(1 - _SLACK) - F.lit(_TIE))
     )
     return asked.join(needed.select(*_ASKED), _ASKED, "left_semi")
 

@@ -15,6 +15,8 @@ from turnledger.operators.ranking import top_k
 DEFAULT_RRF_K = 60
 DEFAULT_CANDIDATES = 20
 DEFAULT_FINAL = 6
+# Decimals of a fused score that count for its rank.
+RRF_DIGITS = 12
 
 
 def fuse(lists: dict[str, DataFrame], k: float = DEFAULT_RRF_K) -> DataFrame:
@@ -43,7 +45,8 @@ def fuse(lists: dict[str, DataFrame], k: float = DEFAULT_RRF_K) -> DataFrame:
 
 
 def fused_order() -> list[Column]:
-    return [F.desc("rrf_score"), F.asc("start_floor"), F.asc("memory_id")]
+    """Best first; sums of the same parts in another order are a tie."""
+    return [F.desc(F.round("rrf_score", RRF_DIGITS)), F.asc("start_floor"), F.asc("memory_id")]
 
 
 def rank_fused(fused: DataFrame, limit: int) -> DataFrame:
