@@ -162,10 +162,11 @@ def resolve_mappings(mappings: DataFrame, documents: DataFrame) -> DataFrame:
     """Outcome per mapping: equivalent, related, or a failure reason, with the slot it covers.
 
     ``mappings``: request key, mapping_id, external_path, domain, path, field, character_id,
-    item_id, semantic_key, mode, enabled. ``documents``: request key, document (JSON text).
+    item_id, semantic_key, mode, enabled. ``documents``: request key, document (JSON text). Both grow
+    with the requests, so they are merged: neither is gathered on the driver.
     """
     present = documents.filter("document is not null").select(*QUERY, "document")
-    joined = mappings.join(present, QUERY)
+    joined = mappings.join(present.hint("merge"), QUERY)
     given = F.coalesce(F.nullif("path", F.lit("")), F.nullif("field", F.lit("")))
     parts = F.filter(F.split(F.coalesce(given, F.lit("")), r"\."), lambda p: p != "")
     head, size = F.get(parts, 0), F.size(parts)

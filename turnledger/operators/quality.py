@@ -196,13 +196,14 @@ def dotted_to_pointer(path: Column) -> Column:
 def locked_writes(changed: DataFrame, locks: DataFrame, keys: list[str]) -> DataFrame:
     """Changed paths equal to, under or above a locked path of the same document.
 
-    Prefixes are exploded on both sides, so both tests are equality joins.
+    Prefixes are exploded on both sides, so both tests are equality joins. They are merge joins:
+    the planner takes an exploded side for as small as its file and would send it to the driver.
     """
     lock = dotted_to_pointer(F.col("locked_path"))
     write = changed.select(*keys, "path")
     at_or_under = write.withColumn("_p", F.explode(ancestors(F.col("path"), True)))
-    locked = locks.select(*keys, lock.alias("_p")).distinct()
-    above = locks.select(*keys, F.explode(ancestors(lock, True)).alias("path")).filter("path <> ''").distinct()
+    locked = locks.select(*keys, lock.alias("_p")).distinct().hint("merge")
+    above = locks.select(*keys, F.explode(ancestors(lock, True)).alias("path")).filter("path <> ''").distinct().hint("merge")
     spread = [F.col("path")]
     first = salted_join(at_or_under, locked, [*keys, "_p"], spread, "left_semi").select(*keys, "path")
     second = write.join(above, [*keys, "path"], "left_semi")
