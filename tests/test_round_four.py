@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from turnledger.operators import chain, quality
+from turnledger.operators import chain, quality, skew
 from turnledger.operators import context as cx
 
 
@@ -59,3 +59,12 @@ def test_short_chains_are_shuffled_once(spark, tmp_path):
     assert len(rows) == 1200 and sum(r.lineage_valid for r in rows) == 40
     # Floors, nodes, floors with their nodes, and one count a chat and task.
     assert written <= 3 * 1200 + 40 * 8 + 10
+
+
+def test_a_sparse_key_is_one_block(spark):
+    rows = [("long", i) for i in range(40)] + [("sparse", i * 1000) for i in range(7)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "k string, o bigint")
+    blocks = {r.k: r.n for r in skew._blocks(df, ["k"], "o", 7).groupBy("k").agg(F.count_distinct("_block").alias("n")).collect()}
+    assert blocks == {"long": 6, "sparse": 1, None: 1}
+    got = {(r.k, r.o): r.ordinal for r in skew.ordinal(df.filter("k is not null"), ["k"], "o", size=7).collect()}
+    assert got == {("long", i): i + 1 for i in range(40)} | {("sparse", i * 1000): i + 1 for i in range(7)}
