@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from turnledger.operators import chain, quality, skew
+from turnledger.operators import chain, quality, skew, vectors
 from turnledger.operators import context as cx
 
 
@@ -68,3 +68,14 @@ def test_a_sparse_key_is_one_block(spark):
     assert blocks == {"long": 6, "sparse": 1, None: 1}
     got = {(r.k, r.o): r.ordinal for r in skew.ordinal(df.filter("k is not null"), ["k"], "o", size=7).collect()}
     assert got == {("long", i): i + 1 for i in range(40)} | {("sparse", i * 1000): i + 1 for i in range(7)}
+
+
+def test_cosines_count_to_their_twelfth_decimal(spark):
+    """Two cosines a few 1e-10 apart are no tie, whichever floor is earlier and wherever their blocks are."""
+    near = [1.0, 1e-6]
+    stored = [("c", "b", "early", 1, [1.0, 3e-5]), ("c", "b", "late", 2, near)]
+    df = spark.createDataFrame(stored, "chat_id string, branch_id string, memory_id string, start_floor int, vector array<double>").repartition(2, "start_floor")
+    asked = spark.createDataFrame([("c", "b", "q", [1.0, 0.0])], "chat_id string, branch_id string, query_id string, vector array<double>")
+    found = {r["rank"]: (r.memory_id, r.score) for r in vectors.vector_topk(df, asked).collect()}
+    assert 0 < found[1][1] - found[2][1] < 1e-9
+    assert [found[1][0], found[2][0]] == ["late", "early"]

@@ -80,7 +80,7 @@ def _searched(rows: DataFrame, queries: DataFrame, chosen: DataFrame, k: int) ->
     asked = queries.join(chosen.select(*_KEY, "cluster"), _KEY).select(*_KEY, "cluster", "vector")
     best = vector_topk(_in_clusters(rows), _in_clusters(asked), k).drop("rank")
     best = best.withColumn("branch_id", F.get_json_object("branch_id", "$.branch_id"))
-    return top_k(best, _KEY, by_score(), k)
+    return top_k(best, _KEY, by_score(digits=None), k)
 
 
 def needed_clusters(

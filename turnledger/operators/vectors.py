@@ -148,7 +148,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K)
         f"chat_id string, branch_id string, query_id {query_type}, memory_id {id_type}, "
         f"start_floor {floor_type}, score double",
     )
-    return top_k(best, [*SCOPE, "query_id"], by_score(), k)
+    return top_k(best, [*SCOPE, "query_id"], by_score(digits=None), k)
 
 
 def parse_vectors(refs: DataFrame, memories: DataFrame) -> DataFrame:
