@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.base import LOG_SQL, log, query, table
+from registry.base import LOG_SQL, dealt, log, query, table
 from turnledger.functions.parse import canonical_base_url, extract_json_objects, path_exists
 from turnledger.operators import merge as mg
 from turnledger.operators import quality as ql
@@ -43,7 +43,7 @@ SELECT event_id, path, reason FROM events JOIN (VALUES
 
 def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     texts = F.array(*[F.lit(t) for t in _CASES])
-    docs = table(spark, sf, "events").select(
+    docs = dealt(table(spark, sf, "events").select("event_id"), "event_id").select(
         "event_id", F.element_at(texts, (F.col("event_id") % 10 + 1).cast("int")).alias("candidate")
     )
     locks = docs.filter("event_id % 10 in (8, 9)").select(
@@ -85,7 +85,7 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     text = F.replace(text, F.lit('" a ","a"," "'), F.lit('" a ","a"'))
     text = F.when(key % 5 == 2, F.replace(text, F.lit('"traces":{},'), F.lit(""))).otherwise(text)
     text = F.when(key % 5 == 3, F.replace(text, F.lit('"schemaVersion":1'), F.lit('"schemaVersion":2'))).otherwise(text)
-    return table(spark, sf, "customer").select(
+    return dealt(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").select(
         "c_custkey", F.when(key % 5 == 4, "other").otherwise("B").alias("branch_id"), text.alias("doc")
     )
 

@@ -14,7 +14,7 @@ from turnledger.functions import rules as r
 from turnledger.functions.keys import ancestors, join_pointer, split_pointer
 from turnledger.functions.text import non_blank, trim_ws
 from turnledger.operators.skew import salted_join
-from turnledger.operators.state_log import flatten_documents
+from turnledger.operators.state_log import flatten_documents, open_documents
 
 
 def rule_table(spark: SparkSession, rules: list[r.Rule]) -> DataFrame:
@@ -77,39 +77,72 @@ def _below_open(path: Column) -> Column:
     return path.rlike("^/profiles/[^/]+/nsfw/")
 
 
-def _violations(docs: DataFrame, keys: list[str], column: str, snapshot: bool) -> DataFrame:
-    spark = docs.sparkSession
-    rows = flatten_documents(docs, keys, column, expand_arrays=True)
-    table = rule_table(spark, r.snapshot_rules() if snapshot else r.candidate_rules())
-    marked = rows.filter(~_below_open(F.col("path"))).withColumn("pattern", pattern_of(F.col("path")))
-    joined = marked.join(table, "pattern", "left")
-    reason = F.when(F.col("type").isNull(), "is an unknown field").otherwise(
-        _breach(F.col("kind"), F.col("value"), F.col("type"), F.col("allowed"))
+def _rules(spark: SparkSession, snapshot: bool) -> tuple[DataFrame, list[str]]:
+    """The rule table with the ``required`` members of each pattern, and its patterns with a rule."""
+    rules = r.snapshot_rules() if snapshot else r.candidate_rules()
+    needed: dict[str, list[str]] = {}
+    for pattern, field in dict.fromkeys(r.required_fields(snapshot)):
+        needed.setdefault(pattern, []).append(field)
+    ruled = {rule[0] for rule in rules}
+    rows = [(*rule, needed.get(rule[0])) for rule in rules] + [(p, None, None, f) for p, f in needed.items() if p not in ruled]
+    schema = "pattern string, type string, allowed array<string>, required array<string>"
+    return spark.createDataFrame(rows, schema).coalesce(1), sorted(ruled)
+
+
+def _violations(docs: DataFrame, keys: list[str], column: str, snapshot: bool, branch: str | None = None) -> DataFrame:
+    """Breaches of the schema; with ``branch`` also ids and branches that do not fit.
+
+    What a row breaches follows from the row, its path and the fixed rules, which are broadcast:
+    documents are opened once, and their rows are never shuffled or met with each other.
+    """
+    held = list(dict.fromkeys([*keys, *([branch] if branch else [])]))
+    rules, patterns = _rules(docs.sparkSession, snapshot)
+    rows = open_documents(docs, held, column).withColumn("pattern", pattern_of(F.col("path")))
+    joined = rows.join(F.broadcast(rules), "pattern", "left")
+    path = F.col("path")
+
+    def identity(p: Column) -> Column:
+        return F.lit(False) if snapshot else (p != "") & F.element_at(split_pointer(p), -1).isin(r.IDENTITY_FIELDS)
+
+    reason = (
+        F.when(identity(path), "identity fields are supplied by the program")
+        .when(F.col("type").isNull(), "is an unknown field")
+        .otherwise(_breach(F.col("kind"), F.col("value"), F.col("type"), F.col("allowed")))
     )
-    if not snapshot:
-        last = F.element_at(split_pointer(F.col("path")), -1)
-        identity = (F.col("path") != "") & last.isin(r.IDENTITY_FIELDS)
-        reason = F.when(identity, "identity fields are supplied by the program").otherwise(reason)
-    wrong = joined.withColumn("reason", reason).filter("reason is not null").select(*keys, "path", "reason")
     # Only the topmost breach is listed: what lies below an unknown field is not looked at.
-    above = wrong.filter("reason = 'is an unknown field'").select(*keys, F.col("path").alias("_above"))
-    probes = wrong.select(*keys, "path", F.explode(ancestors(F.col("path"))).alias("_above"))
-    covered = probes.join(above, [*keys, "_above"], "left_semi").select(*keys, "path")
-    wrong = wrong.join(covered, [*keys, "path"], "left_anti")
-
-    needed = spark.createDataFrame(r.required_fields(snapshot), "pattern string, field string")
-    expected = (
-        marked.filter("kind = 'object'")
-        .join(needed, "pattern")
-        .select(*keys, F.concat("path", F.lit("/"), "field").alias("path"))
+    below_unknown = F.exists(ancestors(path), lambda p: ~pattern_of(p).isin(patterns) & ~identity(p))
+    names = F.split("members", "/")
+    missing = F.transform(
+        F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda f: ~F.array_contains(names, f)),
+        lambda f: F.struct(F.concat(path, F.lit("/"), f).alias("path"), F.lit("is required").alias("reason")),
     )
-    missing = expected.join(rows.select(*keys, "path"), [*keys, "path"], "left_anti").withColumn(
-        "reason", F.lit("is required")
-    )
-    unreadable = docs.filter(F.try_parse_json(column).isNull()).select(
-        *keys, F.lit("").alias("path"), F.lit("is not JSON").alias("reason")
+    nothing = F.array().cast("array<struct<path:string,reason:string>>")
+
+    def listed(reason: Column) -> Column:
+        return F.when(reason.isNotNull(), F.array(F.struct(path.alias("path"), reason.alias("reason")))).otherwise(nothing)
+
+    looked_at = F.col("kind").isNotNull() & ~_below_open(path)
+    found = [
+        listed(F.when(F.col("kind").isNull(), "is not JSON")),
+        F.when(looked_at & F.col("_reason").isNotNull() & ~below_unknown, listed(F.col("_reason"))).otherwise(nothing),
+        F.when(looked_at & (F.col("kind") == "object"), missing).otherwise(nothing),
+    ]
+    if branch:
+        found.append(listed(_misplaced(F.col(branch))))
+    checked = joined.withColumn("_reason", reason).select(*keys, F.explode(F.concat(*found)).alias("_f"))
+    return checked.select(*keys, "_f.path", "_f.reason")
+
+
+def _misplaced(branch: Column) -> Column:
+    """Map keys must equal ids, and branches that of the document."""
+    path, parts = F.col("path"), split_pointer(F.col("path"))
+    quoted = F.concat(F.lit('"'), F.element_at(parts, 2), F.lit('"'))
+    is_id = path.rlike("^/(profiles|traces)/[^/]+/characterId$")
+    is_branch = path.rlike("(^|/source)/branchId$")
+    text = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")[0]
+    return F.when(is_id & (F.col("value") != quoted), "must match the map key").when(
+        is_branch & (text != branch), "does not match the current branch"
     )
-    return wrong.unionByName(missing).unionByName(unreadable)
 
 
 def candidate_violations(
@@ -122,7 +155,8 @@ def candidate_violations(
     out = _violations(docs, keys, column, snapshot=False)
     if locks is None:
         return out
-    rows = flatten_documents(docs, keys, column, expand_arrays=True)
+    guarded = docs.join(locks.select(*keys).distinct(), keys, "left_semi")
+    rows = flatten_documents(guarded, keys, column, expand_arrays=True)
     probes = rows.select(
         *keys, "path", F.explode(ancestors(F.col("path"), include_self=True)).alias("_lock")
     )
@@ -133,18 +167,7 @@ def candidate_violations(
 
 def snapshot_violations(docs: DataFrame, keys: list[str], column: str, branch: str) -> DataFrame:
     """Breaches of the full schema; map keys must equal ids and branches the row's branch."""
-    out = _violations(docs, keys, column, snapshot=True)
-    rows = flatten_documents(docs.select(*{*keys, branch}, column), [*{*keys, branch}], column, expand_arrays=True)
-    parts = split_pointer(F.col("path"))
-    quoted = F.concat(F.lit('"'), F.element_at(parts, 2), F.lit('"'))
-    is_id = F.col("path").rlike("^/(profiles|traces)/[^/]+/characterId$")
-    is_branch = F.col("path").rlike("(^|/source)/branchId$")
-    text = F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>")[0]
-    reason = F.when(is_id & (F.col("value") != quoted), "must match the map key").when(
-        is_branch & (text != F.col(branch)), "does not match the current branch"
-    )
-    extra = rows.filter(is_id | is_branch).withColumn("reason", reason).filter("reason is not null")
-    return out.unionByName(extra.select(*keys, "path", "reason"))
+    return _violations(docs, keys, column, snapshot=True, branch=branch)
 
 
 def clean_documents(docs: DataFrame, violations: DataFrame, keys: list[str]) -> DataFrame:
