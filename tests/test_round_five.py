@@ -54,3 +54,12 @@ def test_opened_rows_name_members(spark):
                     ("/b/0", "object", None, "a~1c/~0"), ("/b/0/a~1c", "value", "1", None), ("/b/0/~0", "object", None, "")}
     closed = {(r.path, r.kind, r.value) for r in state_log.flatten_documents(docs, ["id"], "doc").collect()}
     assert closed == {("", "object", None), ("/a", "value", "null"), ("/b", "value", '[{"a/c":1,"~":{}}]')}
+
+
+def test_pairs_of_several_bands_are_met_once(spark):
+    """Was: a row for every band that a pair shares."""
+    from turnledger.llm.bagminhash import SKETCH, crossed_pairs
+
+    rows = [(band, key, 100, 5, key, [0] * (SKETCH // 64)) for key, bands in (("a", (1, 2, 3, 4)), ("b", (2, 3, 4)), ("c", (4, 9))) for band in bands]
+    apart = spark.createDataFrame(rows, "band long, key string, n long, own long, class string, sketch array<long>")
+    assert sorted(map(tuple, crossed_pairs(apart, 0.8).collect())) == [("a", "b"), ("a", "c"), ("b", "c")]

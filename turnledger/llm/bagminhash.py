@@ -229,6 +229,26 @@ def _can_pass(n_a, own_a, n_b, own_b, threshold: float):
     return most >= threshold * (n_a + n_b - most) - 1e-9
 
 
+def crossed_pairs(apart: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of texts of one band and different classes that can pass, each pair once.
+
+    ``apart``: band, key, n, own, class, sketch. A pair that shares several bands is met in the
+    least of them only.
+    """
+    bands = apart.groupBy("key").agg(F.collect_set("band").alias("bands"))
+    apart = apart.join(bands, "key")
+    x = apart.select("band", F.col("key").alias("a"), F.col("class").alias("_ca"), F.col("n").alias("_na"), F.col("own").alias("_oa"), F.col("sketch").alias("_sa"), F.col("bands").alias("_ba"))
+    y = apart.select("band", F.col("key").alias("b"), F.col("class").alias("_cb"), F.col("n").alias("_nb"), F.col("own").alias("_ob"), F.col("sketch").alias("_sb"), F.col("bands").alias("_bb"))
+    return (
+        x.join(y, "band")
+        .filter("_ca <> _cb and a < b")
+        .filter(_can_pass(F.col("_na"), F.col("_oa"), F.col("_nb"), F.col("_ob"), threshold))
+        .filter(_alike(F.col("_sa"), F.col("_sb"), threshold))
+        .filter(F.array_min(F.array_intersect("_ba", "_bb")) == F.col("band"))
+        .select("a", "b")
+    )
+
+
 def _text_key(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
@@ -265,16 +285,7 @@ def text_classes(keyed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     apart = written(here.join(mixed, "band"), "near_apart")
     drawn = texts.join(apart.select("key").distinct(), "key", "left_semi").mapInArrow(_sketches, "key binary, sketch array<bigint>")
     apart = apart.join(written(drawn, "near_sketches"), "key")
-    x = apart.select("band", F.col("key").alias("a"), F.col("class").alias("_ca"), F.col("n").alias("_na"), F.col("own").alias("_oa"), F.col("sketch").alias("_sa"))
-    y = apart.select("band", F.col("key").alias("b"), F.col("class").alias("_cb"), F.col("n").alias("_nb"), F.col("own").alias("_ob"), F.col("sketch").alias("_sb"))
-    crossed = (
-        x.join(y, "band")
-        .filter("_ca <> _cb and a < b")
-        .filter(_can_pass(F.col("_na"), F.col("_oa"), F.col("_nb"), F.col("_ob"), threshold))
-        .filter(_alike(F.col("_sa"), F.col("_sb"), threshold))
-        .select("a", "b")
-        .distinct()
-    )
+    crossed = crossed_pairs(apart, threshold)
     more = written(verified(crossed, texts, threshold), "near_more")
     if more.limit(1).count():
         classes = components(links.unionByName(more))
