@@ -27,6 +27,8 @@ from turnledger.operators.vectors import DEFAULT_TOP_K, vector_topk
 PIVOTS = 16
 #: Clusters of a query that are searched for its threshold.
 FIRST = 2
+#: Tasks of one cluster. A query is repeated for each of its clusters, and each of these.
+SALTS = 4
 # Cosines have 12 decimals; an angle near 0 then has about 6.
 _ANGLE_SLACK, _SCORE_SLACK = 1e-5, 1e-9
 _KEY = [*SCOPE, "query_id"]
@@ -78,7 +80,7 @@ def _in_clusters(rows: DataFrame) -> DataFrame:
 
 def _searched(rows: DataFrame, queries: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     asked = queries.join(chosen.select(*_KEY, "cluster"), _KEY).select(*_KEY, "cluster", "vector")
-    best = vector_topk(_in_clusters(rows), _in_clusters(asked), k).drop("rank")
+    best = vector_topk(_in_clusters(rows), _in_clusters(asked), k, SALTS).drop("rank")
     best = best.withColumn("branch_id", F.get_json_object("branch_id", "$.branch_id"))
     return top_k(best, _KEY, by_score(digits=None), k)
 

@@ -13,12 +13,14 @@ from turnledger.functions.keys import fingerprint
 from turnledger.functions.text import trim_ws
 from turnledger.operators.bm25 import SCOPE, by_score
 from turnledger.operators.ranking import positive_or, top_k
-from turnledger.operators.skew import salted_join
+from turnledger.operators.skew import DEFAULT_SALTS, salted_join
 
 DEFAULT_TOP_K = 10
 # Scores keep this many decimals, so equal vectors tie wherever their block was computed.
 SCORE_DECIMALS = 12
 _BLOCK_BYTES = 4 << 20
+# Rows of unfinished blocks that a task holds, and products that are looked at together.
+_HELD_BYTES, _SLICE_BYTES = 32 << 20, 16 << 20
 
 
 def embedding_text(columns: set[str] | None = None) -> Column:
@@ -48,34 +50,74 @@ def cosine(left: Column, right: Column) -> Column:
 
 
 def _pack(ids: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Turn vector rows into blocks: id arrays plus one matrix of unit rows."""
+    """Turn vector rows into blocks: id arrays plus one matrix of unit rows.
+
+    Rows of a scope are gathered over the batches of a task until they fill a block.
+    """
+
+    def block(key: tuple, parts: list[tuple[dict, np.ndarray]]) -> pd.DataFrame:
+        out = {"chat_id": [key[0]], "branch_id": [key[1]], "dim": [key[2]]}
+        for name in ids:
+            out[name] = [np.concatenate([p[name] for p, _ in parts]).tolist()]
+        out["matrix"] = [np.concatenate([m for _, m in parts]).tobytes()]
+        return pd.DataFrame(out)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[tuple, list] = {}
+        held = 0
         for batch in batches:
             batch = batch.assign(_dim=batch["vector"].map(len))
-            for (chat, branch, dim), rows in batch.groupby([*SCOPE, "_dim"], sort=False):
-                step = max(1, _BLOCK_BYTES // (8 * max(dim, 1)))
+            for key, rows in batch.groupby([*SCOPE, "_dim"], sort=False):
+                step = max(1, _BLOCK_BYTES // (8 * max(key[2], 1)))
                 for start in range(0, len(rows), step):
                     part = rows.iloc[start : start + step]
                     matrix = np.asarray(part["vector"].tolist(), dtype="float64")
-                    if dim == 0:
+                    if key[2] == 0:
                         continue
                     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
                     usable = (norms[:, 0] > 0) & np.isfinite(norms[:, 0])
                     if not usable.any():
                         continue
                     unit = matrix[usable] / norms[usable]
-                    block = {"chat_id": [chat], "branch_id": [branch], "dim": [dim]}
-                    for name in ids:
-                        block[name] = [part[name].to_numpy()[usable].tolist()]
-                    block["matrix"] = [unit.tobytes()]
-                    yield pd.DataFrame(block)
+                    parts = waiting.setdefault(key, [])
+                    if sum(len(m) for _, m in parts) + len(unit) > step:
+                        if parts:
+                            yield block(key, parts)
+                        held -= sum(m.nbytes for _, m in parts)
+                        parts.clear()
+                    parts.append(({name: part[name].to_numpy()[usable] for name in ids}, unit))
+                    held += unit.nbytes
+            if held > _HELD_BYTES:
+                yield from (block(key, parts) for key, parts in waiting.items() if parts)
+                waiting, held = {}, 0
+        yield from (block(key, parts) for key, parts in waiting.items() if parts)
 
     return run
 
 
+def _candidates(near: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places that hold the k largest products of every query, and few others.
+
+    The k-th largest of the maxima of column groups is not above the k-th largest product;
+    ``slack`` is what two products may be wrong by. Products that can't be above zero are left out.
+    """
+    n = near.shape[1]
+    width = n // max(4 * k, 64)
+    if width < 2:
+        edge = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf, near.dtype)
+    else:
+        groups = n // width
+        tops = near[:, : groups * width].reshape(len(near), width, groups).max(axis=1)
+        edge = np.partition(tops, groups - k, axis=1)[:, groups - k]
+    return np.nonzero(near >= np.maximum(edge, 0)[:, None] - np.float32(slack))
+
+
 def _best_pairs(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Multiply a query block with a vector block; emit at most k rows per query."""
+    """Multiply a query block with a vector block; emit at most k rows per query.
+
+    Products in single precision tell which pairs can be among the best; only those are
+    multiplied in double precision. Both go by slices of bounded size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -83,40 +125,54 @@ def _best_pairs(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                 dim = int(row.dim)
                 stored = np.frombuffer(row.matrix, dtype="float64").reshape(-1, dim)
                 asked = np.frombuffer(row.query_matrix, dtype="float64").reshape(-1, dim)
-                scores = np.round(asked @ stored.T, SCORE_DECIMALS)
-                floors = np.asarray(row.start_floor)
-                names = np.asarray(row.memory_id, dtype=object)
-                for q, query_id in enumerate(row.query_id):
-                    line = scores[q]
-                    if len(line) > k:
-                        edge = -np.partition(-line, k - 1)[k - 1]
-                        pick = np.flatnonzero((line >= edge) & (line > 0))
-                    else:
-                        pick = np.flatnonzero(line > 0)
-                    order = np.lexsort((names[pick].astype(str), floors[pick], -line[pick]))[:k]
-                    pick = pick[order]
-                    if len(pick):
+                short, short_asked = stored.astype("float32"), asked.astype("float32")
+                floors, names = np.asarray(row.start_floor), np.asarray(row.memory_id)
+                if names.dtype == object:
+                    names = names.astype(str)
+                queries = np.asarray(row.query_id, dtype=object)
+                tie = np.empty(len(names), np.int64)
+                tie[np.lexsort((names, floors))] = np.arange(len(names))
+                # Unit rows: what rounding the inputs and adding dim products in single precision can change.
+                slack = 4 * (dim + 4) * 2.0**-24
+                step = max(1, _SLICE_BYTES // (4 * len(stored)))
+                for low in range(0, len(asked), step):
+                    part = asked[low : low + step]
+                    q, at = _candidates(short_asked[low : low + step] @ short.T, k, slack)
+                    score = np.empty(len(q))
+                    few = max(1, _SLICE_BYTES // (8 * dim))
+                    for i in range(0, len(q), few):
+                        score[i : i + few] = np.einsum("ij,ij->i", part[q[i : i + few]], stored[at[i : i + few]])
+                    score = np.round(score, SCORE_DECIMALS)
+                    order = np.lexsort((tie[at], -score, q))
+                    order = order[score[order] > 0]
+                    q, at, score = q[order], at[order], score[order]
+                    first = np.searchsorted(q, np.arange(len(part)))
+                    best = np.arange(len(q)) - first[q] < k
+                    q, at, score = q[best], at[best], score[best]
+                    if len(q):
                         yield pd.DataFrame(
                             {
                                 "chat_id": row.chat_id,
                                 "branch_id": row.branch_id,
-                                "query_id": query_id,
-                                "memory_id": names[pick],
-                                "start_floor": floors[pick],
-                                "score": line[pick],
+                                "query_id": queries[low + q],
+                                "memory_id": names[at],
+                                "start_floor": floors[at],
+                                "score": score,
                             }
                         )
 
     return run
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
+def vector_topk(
+    vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, salts: int = DEFAULT_SALTS
+) -> DataFrame:
     """Best k memories per query by cosine, scores above zero only.
 
     ``vectors``: scope, memory_id, start_floor, vector; ``queries``: scope, query_id, vector.
     Both sides become matrix blocks of bounded size and meet on (scope, dimension). A
     pair of blocks is one matrix product that emits only the best k per query. The
-    blocks of one large scope are salted over many tasks.
+    blocks of one large scope are salted over many tasks; the query blocks are repeated ``salts`` times.
     """
     k = positive_or(k, DEFAULT_TOP_K)
     types = dict(queries.dtypes)
@@ -142,7 +198,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K)
         .mapInPandas(_pack(["query_id"]), f"{scope}, query_id array<{query_type}>, matrix binary")
         .withColumnRenamed("matrix", "query_matrix")
     )
-    pairs = salted_join(blocks, asked, [*SCOPE, "dim"], spread=[F.col("memory_id")])
+    pairs = salted_join(blocks, asked, [*SCOPE, "dim"], spread=[F.col("memory_id")], salts=salts)
     best = pairs.mapInPandas(
         _best_pairs(k),
         f"chat_id string, branch_id string, query_id {query_type}, memory_id {id_type}, "
