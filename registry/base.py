@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions.keys import dependency_fingerprint, fingerprint
@@ -57,7 +57,8 @@ def kept(spark: SparkSession, sf: str, name: str, build: Query) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    build(spark, sf).write.parquet(path)
+    # Fingerprints are hexadecimal digits: half the bytes, where the codec has an entropy stage.
+    build(spark, sf).write.option("compression", "zstd").parquet(path)
     _KEPT[key] = path
     return spark.read.parquet(path)
 
@@ -352,12 +353,19 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
 def _make_nodes(spark: SparkSession, sf: str) -> DataFrame:
     from turnledger.operators.skew import previous_row
 
-    made = event_floors(spark, sf).withColumn(
-        "state_fingerprint",
-        fingerprint(F.concat(F.lit("state:"), F.col("event_id").cast("string"))),
-    )
+    # Events are put in order with their content; fingerprints are made afterwards, not shuffled.
+    made = event_floors(spark, sf).select("chat_id", "branch_id", "message_index", "floor_id", "content", "user_id", "event_id")
     scope = ["chat_id", "branch_id"]
-    linked = previous_row(made, scope, "message_index", {"before": "state_fingerprint"}, BLOCK)
+
+    def state(event: str) -> Column:
+        return fingerprint(F.concat(F.lit("state:"), F.col(event).cast("string")))
+
+    linked = previous_row(made, scope, "message_index", {"event_before": "event_id"}, BLOCK).select(
+        "*",
+        fingerprint(F.col("content")).alias("body_fingerprint"),
+        state("event_id").alias("state_fingerprint"),
+        F.when(F.col("event_before").isNotNull(), state("event_before")).alias("before"),
+    )
     lost = (F.col("user_id") % 6 == 4) & (F.col("event_id") % 13 == 4)
     old = (F.col("user_id") % 6 == 5) & (F.col("event_id") % 19 == 7)
     event = F.col("event_id").cast("string")

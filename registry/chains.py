@@ -351,7 +351,7 @@ SELECT floor_id, result_id FROM results WHERE status = 'succeeded' AND candidate
 QUALIFY row_number() OVER (PARTITION BY floor_id ORDER BY finished_at DESC, created_at DESC, result_id DESC) = 1""",
 )
 def prior_result_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return ch.prior_results(results(spark, sf), ["floor_id"]).select("floor_id", "result_id")
+    return ch.prior_results(results(spark, sf), ["floor_id"], []).select("floor_id", "result_id")
 
 
 @query(

@@ -30,3 +30,16 @@ def test_blocks_fill_over_batches_and_a_pair_of_blocks_is_one_frame():
             line = [(-s, i % 7, ids[i]) for i, s in enumerate(scores[q]) if s > 0]
             rows = got[got["query_id"] == f"q{q}"]
             assert sorted(line)[:k] == list(zip(-rows["score"], rows["start_floor"], rows["memory_id"]))
+
+
+def test_prior_results_carry_what_is_asked_only(spark):
+    from turnledger.operators.chain import prior_results
+
+    rows = spark.createDataFrame(
+        [("f", "r1", "succeeded", "{}", "d", 1, 5), ("f", "r2", "succeeded", "{}", "d", 2, 5), ("f", "r3", "failed", "{}", "d", 3, 9), ("g", "r4", "succeeded", None, "d", 1, 1)],
+        "floor_id string, result_id string, status string, candidate string, dependency_fingerprint string, created_at long, finished_at long",
+    )
+    found = prior_results(rows, ["floor_id"], [])
+    assert [(r.floor_id, r.result_id) for r in found.collect()] == [("f", "r2")]
+    assert found.columns == ["floor_id", "result_id", "created_at", "finished_at"]
+    assert prior_results(rows, ["floor_id"]).columns == rows.columns

@@ -23,10 +23,15 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the one with the greatest ``order`` columns.
 
-    Written as an aggregate, so copies of one key are reduced before the shuffle.
+    Written as an aggregate, so copies of one key are reduced before the shuffle. Columns
+    of the order are not carried a second time where they are all there is.
     """
     rest = [c for c in df.columns if c not in keys]
     by = F.struct(*[F.col(c) for c in order])
+    if set(rest) <= set(order):
+        return df.groupBy(*keys).agg(F.max(by).alias("_row")).select(
+            *[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
+        )
     return (
         df.groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), by).alias("_row"))
