@@ -43,3 +43,56 @@ def test_prior_results_carry_what_is_asked_only(spark):
     assert [(r.floor_id, r.result_id) for r in found.collect()] == [("f", "r2")]
     assert found.columns == ["floor_id", "result_id", "created_at", "finished_at"]
     assert prior_results(rows, ["floor_id"]).columns == rows.columns
+
+
+class _State:
+    """A map or value state that counts its calls."""
+
+    def __init__(self):
+        self.data, self.calls, self.value = {}, 0, None
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "containsKey": lambda k: k in self.data,
+            "getValue": lambda k: self.data[k],
+            "updateValue": self.data.__setitem__,
+            "removeKey": lambda k: self.data.pop(k),
+            "iterator": lambda: iter(list(self.data.items())),
+            "clear": self.data.clear,
+            "exists": lambda: bool(self.data) or self.value is not None,
+            "get": lambda: self.value,
+            "update": lambda v: setattr(self, "value", v),
+        }[name]
+
+
+def _folded(calls, monkeypatch, floors, cells):
+    from turnledger.streaming import fold
+
+    monkeypatch.setattr(fold, "HELD_FLOORS", floors)
+    monkeypatch.setattr(fold.BatchCells.__init__, "__defaults__", (cells,))
+    state = fold.PatchFold()
+    tree, state.waiting, state.next = _State(), _State(), _State()
+    state.tree = fold.PathTree(tree)
+    out = []
+    for rows in calls:
+        batches = (pd.DataFrame(rows[i : i + 7], columns=["seq", "patches"]) for i in range(0, len(rows), 7))
+        for found in state.handleInputRows(("c", "b"), batches, None):
+            out += list(found.itertuples(index=False, name=None))
+    return out, tree, state.waiting, state.next.value
+
+
+def test_fold_turns_to_the_store_once_a_cell_not_once_a_patch(monkeypatch):
+    import json
+    import random
+
+    rng = random.Random(4)
+    floors = [(i, json.dumps({f"/{rng.choice('abc')}" + rng.choice(["", "/x", "/y"]): rng.choice([None, "1", "2"])})) for i in range(300)]
+    mixed = rng.sample(floors, 300)
+    calls = [mixed[:90], mixed[60:200], mixed[200:] + mixed[:20]]  # some come twice
+    plain, tree, waiting, end = _folded([floors], monkeypatch, 1000, 1000)
+    assert end == (300,) and waiting.calls < 5 and tree.calls < 60
+    assert not [k for k in waiting.data]
+    for limits in ((1000, 1000), (5, 3), (20, 1)):
+        got, other, waiting, end = _folded(calls, monkeypatch, *limits)
+        assert (got, other.data, waiting.data, end) == (plain, tree.data, {}, (300,))

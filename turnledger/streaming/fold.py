@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,11 @@ CHANGES = StructType(
     ]
 )
 
+_COLUMNS = [f.name for f in CHANGES.fields]
+
+#: Cells and floors that one call holds before it turns to the state store.
+HELD_CELLS, HELD_FLOORS = 20_000, 20_000
+
 
 def _parent(path: str) -> str | None:
     return path.rpartition("/")[0] if "/" in path else None
@@ -102,13 +108,61 @@ class PathTree:
                 todo += [sibling, child]
 
 
+class BatchCells:
+    """Cells of a map state as one call of the fold sees them: read once, written once.
+
+    At most ``limit`` cells are held; then changes are written and the cells are let go.
+    """
+
+    def __init__(self, state, limit: int = HELD_CELLS) -> None:
+        self.state, self.limit = state, limit
+        self.cells: dict[tuple, tuple | None] = {}
+        self.changed: set[tuple] = set()
+        self.stored: set[tuple] = set()
+
+    def _read(self, key: tuple) -> tuple | None:
+        if key not in self.cells:
+            if len(self.cells) >= self.limit:
+                self.flush()
+            found = self.state.containsKey(key)
+            self.cells[key] = tuple(self.state.getValue(key)) if found else None
+            if found:
+                self.stored.add(key)
+        return self.cells[key]
+
+    def containsKey(self, key: tuple) -> bool:
+        return self._read(key) is not None
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self._read(key)
+
+    def updateValue(self, key: tuple, cell: tuple) -> None:
+        self._read(key)
+        self.cells[key] = cell
+        self.changed.add(key)
+
+    def removeKey(self, key: tuple) -> None:
+        self.updateValue(key, None)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            cell = self.cells[key]
+            if cell is not None:
+                self.state.updateValue(key, cell)
+            elif key in self.stored:
+                self.state.removeKey(key)
+        self.cells, self.changed, self.stored = {}, set(), set()
+
+
 class PatchFold(StatefulProcessor):
     """State: a tree of paths, the next expected position, floors waiting for an earlier one.
 
     A floor that arrives early waits; one that was folded already is ignored (edits go
     through the rebuild plan). Changes list the topmost path only, as the batch diff does.
     Paths and waiting floors are map entries of the state store, so a long chat is never
-    loaded whole, and a patch reads only the cells around its path.
+    loaded whole, and a patch reads only the cells around its path. Cells are read and written
+    once a call, and of the floors of a call only those are stored that still wait at its end;
+    a call that holds many spills them to the store.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -121,29 +175,70 @@ class PatchFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         expected = self.next.get()[0] if self.next.exists() else 0
+        cells = BatchCells(self.tree.cells)
+        tree, here, out = PathTree(cells), {}, []
+        # Floors that waited, read at once; not complete: others are looked up one by one.
+        waited = dict(islice(((k[0], v[0]) for k, v in self.waiting.iterator()), HELD_FLOORS)) if self.waiting.exists() else {}
+        complete, used = len(waited) < HELD_FLOORS, []
+
+        def fold() -> None:
+            nonlocal expected
+            while True:
+                patches = here.pop(expected, None)
+                if expected in waited:
+                    earlier = waited.pop(expected)
+                    patches = earlier if patches is None else patches
+                    used.append(expected)
+                elif not complete and self.waiting.containsKey((expected,)):
+                    patches = self.waiting.getValue((expected,))[0] if patches is None else patches
+                    self.waiting.removeKey((expected,))
+                if patches is None:
+                    return
+                self._apply(tree, key, expected, json.loads(patches), out)
+                expected += 1
+
+        def store() -> None:
+            if used and complete and not waited:
+                self.waiting.clear()
+            else:
+                for seq in used:
+                    self.waiting.removeKey((seq,))
+            for seq, patches in here.items():
+                self.waiting.updateValue((int(seq),), (patches,))
+            used.clear()
+            here.clear()
+
         for batch in rows:
-            for row in batch.itertuples(index=False):
-                if row.seq >= expected:
-                    self.waiting.updateValue((int(row.seq),), (row.patches,))
-        out = []
-        while self.waiting.containsKey((expected,)):
-            patches = json.loads(self.waiting.getValue((expected,))[0])
-            self.waiting.removeKey((expected,))
-            for path, value in sorted(patches.items()):
-                cell = self.tree.get(path)
-                old = cell[0] if cell else None
-                # A path that is set or removed takes what lies below it along.
-                if value is None:
-                    if cell:
-                        self.tree.remove(path)
-                        out.append((*key, expected, "remove", path, old, None))
-                elif old != value or cell[1] is not None:
-                    self.tree.set(path, value)
-                    if old != value:
-                        out.append((*key, expected, "add" if old is None else "replace", path, old, value))
-            expected += 1
+            for seq, patches in zip(batch["seq"].tolist(), batch["patches"].tolist()):
+                if seq >= expected:
+                    here[seq] = patches
+            if len(here) >= HELD_FLOORS:
+                fold()
+                store()
+                waited, complete = {}, False
+                if out:
+                    yield pd.DataFrame(out, columns=_COLUMNS)
+                    out.clear()
+        fold()
+        store()
+        cells.flush()
         self.next.update((expected,))
-        yield pd.DataFrame(out, columns=[f.name for f in CHANGES.fields])
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    @staticmethod
+    def _apply(tree: PathTree, key: tuple, seq: int, patches: dict, out: list) -> None:
+        for path, value in sorted(patches.items()):
+            cell = tree.get(path)
+            old = cell[0] if cell else None
+            # A path that is set or removed takes what lies below it along.
+            if value is None:
+                if cell:
+                    tree.remove(path)
+                    out.append((*key, seq, "remove", path, old, None))
+            elif old != value or cell[1] is not None:
+                tree.set(path, value)
+                if old != value:
+                    out.append((*key, seq, "add" if old is None else "replace", path, old, value))
 
     def close(self) -> None:
         pass
