@@ -562,12 +562,12 @@ candidates AS (
 )
 
 
-def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _candidates(spark: SparkSession, sf: str, counts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     final = _final(spark, sf)
     asked = searches(spark, sf).select(*pk.QUERY).distinct()
     newest = pk.fixed_recent(memories(spark, sf)).select(*SCOPE, "memory_id", "rank")
     fixed = asked.join(newest, SCOPE)
-    return pk.merge_candidates(fixed, final), fixed, final
+    return pk.merge_candidates(fixed, final, counts), fixed, final
 
 
 @query("priority_dedupe", _CAND_SQL + " SELECT * FROM candidates")
@@ -615,8 +615,8 @@ packed AS (
 )
 
 
-def _packed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    candidates, fixed, final = _candidates(spark, sf)
+def _packed(spark: SparkSession, sf: str, counts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    candidates, fixed, final = _candidates(spark, sf, counts)
     detail = memories(spark, sf).select(
         *SCOPE, "memory_id", "start_floor", "end_floor", "title", "summary"
     )
@@ -677,7 +677,7 @@ SELECT p.branch_id, p.query_id,
 FROM packed p""",
 )
 def pack_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    packed, fixed, final = _packed(spark, sf)
+    packed, fixed, final = _packed(spark, sf, counts=True)
     return pk.pack_diagnostics(packed, fixed, final).select(
         "branch_id",
         "query_id",

@@ -96,3 +96,47 @@ def test_fold_turns_to_the_store_once_a_cell_not_once_a_patch(monkeypatch):
     for limits in ((1000, 1000), (5, 3), (20, 1)):
         got, other, waiting, end = _folded(calls, monkeypatch, *limits)
         assert (got, other.data, waiting.data, end) == (plain, tree.data, {}, (300,))
+
+
+def test_stable_characters_are_the_same_whichever_way_they_are_asked(spark):
+    from pyspark.sql import functions as F
+
+    from turnledger.functions.text import _UNSTABLE, NFKC_STABLE, tokenize
+
+    chars = spark.range(1, 0x30000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    assert chars.filter(F.col("c").rlike(f"[^{NFKC_STABLE}]") != F.col("c").rlike(_UNSTABLE)).isEmpty()
+    texts = spark.createDataFrame([("Ab1 é-x", ["ab1", "é", "x"]), ("中文 b", ["中", "文", "中文", "b"]), ("", [])], "t string, want array<string>")
+    assert texts.filter(tokenize(F.col("t")) != F.col("want")).isEmpty()
+
+
+def test_terms_of_a_document_are_counted_where_its_text_is(spark):
+    from turnledger.operators import bm25
+
+    rows = spark.createDataFrame([("c", "b", "m", 1, "x", "x y y", ["y"], [], [], False)] * 2, "chat_id string, branch_id string, memory_id string, start_floor long, title string, summary string, tags array<string>, character_ids array<string>, plotline_ids array<string>, stale boolean")
+    terms = bm25.weighted_terms(rows)
+    assert {r.term: r.tf for r in terms.collect()} == {"x": 8, "y": 8}
+    assert terms._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash") == 1
+
+
+def test_pack_counts_come_with_the_candidates(spark):
+    from turnledger.operators import pack
+
+    keys = "chat_id string, branch_id string, query_id string, memory_id string, rank int"
+    fixed = spark.createDataFrame([("c", "b", "q", "m1", 1), ("c", "b", "q", "m2", 2), ("c", "b", "r", "m1", 1)], keys)
+    final = spark.createDataFrame([("c", "b", "q", "m2", 1), ("c", "b", "q", "m3", 2), ("c", "b", "q", "m4", 3)], keys)
+    got = pack.merge_candidates(fixed, final, counts=True)
+    assert {(r.query_id, *(r[n] for n in pack.COUNTS)) for r in got.collect()} == {("q", 2, 3), ("r", 1, 0)}
+    assert got.count() == 5 and pack.merge_candidates(fixed, final).columns == [*pack.QUERY, "memory_id", "source", "ord"]
+
+
+def test_small_batches_keep_smaller_settings(spark):
+    from turnledger.llm import stages
+
+    before = spark.conf.get(stages._BATCH)
+    try:
+        for had, now in (("10000", 1000), ("0", 1000), ("50", 50)):
+            spark.conf.set(stages._BATCH, had)
+            stages.small_batches(spark)
+            assert int(spark.conf.get(stages._BATCH)) == now
+    finally:
+        spark.conf.set(stages._BATCH, before)

@@ -57,11 +57,15 @@ def fixed_recent(memories: DataFrame, n: int = 2) -> DataFrame:
     return top_k(memories.filter(~F.col("stale")), SCOPE, order, n)
 
 
-def merge_candidates(fixed: DataFrame, recalled: DataFrame) -> DataFrame:
+COUNTS = ["fixed_recent_candidate_count", "recall_candidate_count"]
+
+
+def merge_candidates(fixed: DataFrame, recalled: DataFrame, counts: bool = False) -> DataFrame:
     """Fixed-recent rows first, then recall order; the first occurrence of an id wins.
 
     Both sides have scope, query_id, memory_id and rank. Adds ``source`` and the
-    1-based candidate position ``ord``.
+    1-based candidate position ``ord``. ``counts`` adds how many rows each side has for the
+    query, so that nobody has to make the two lists again to count them.
     """
     keys = [*QUERY, "memory_id"]
     first = fixed.select(*keys, F.lit(0).alias("_p"), F.col("rank").cast("int").alias("_r"))
@@ -69,13 +73,17 @@ def merge_candidates(fixed: DataFrame, recalled: DataFrame) -> DataFrame:
     chosen = (
         first.unionByName(second)
         .groupBy(*keys)
-        .agg(F.min(F.struct("_p", "_r")).alias("_best"))
+        .agg(
+            F.min(F.struct("_p", "_r")).alias("_best"),
+            *[F.count_if(F.col("_p") == p).alias(name) for p, name in enumerate(COUNTS) if counts],
+        )
     )
-    order = Window.partitionBy(*QUERY).orderBy("_best")
+    order, whole = Window.partitionBy(*QUERY).orderBy("_best"), Window.partitionBy(*QUERY)
     return chosen.select(
         *keys,
         F.when(F.col("_best._p") == 0, "fixed_recent").otherwise("high_relevance").alias("source"),
         F.row_number().over(order).alias("ord"),
+        *[F.sum(name).over(whole).alias(name) for name in COUNTS if counts],
     )
 
 
@@ -97,7 +105,7 @@ def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFra
     """Greedy packing per query: an item that would overflow is skipped, not a stop.
 
     ``candidates``: scope, query_id, ord, source, memory_id, start_floor, end_floor,
-    title, summary, budget. The list of one query is short by construction (the recall
+    title, summary, budget, and perhaps the counts of both sides. The list of one query is short by construction (the recall
     result plus the fixed-recent rows), so it is folded as one array. The rendered size
     is additive: tokens = CJK characters + ceil(other / 4) over header, items, separators.
     """
@@ -114,8 +122,11 @@ def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFra
         F.col("_cjk").alias("cjk"),
         (F.length("_text") - F.col("_cjk")).alias("other"),
     )
+    counts = [name for name in COUNTS if name in candidates.columns]
     grouped = sized.groupBy(*QUERY).agg(
-        F.array_sort(F.collect_list(item)).alias("_items"), F.max("budget").alias("token_limit")
+        F.array_sort(F.collect_list(item)).alias("_items"),
+        F.max("budget").alias("token_limit"),
+        *[F.max(name).alias(name) for name in counts],
     )
     start = F.struct(
         F.lit(0).alias("n"),
@@ -183,11 +194,15 @@ def pack(candidates: DataFrame, options: PackOptions = PackOptions()) -> DataFra
         (F.col("_fold.n") - fixed).alias("packed_high_relevance_count"),
         F.col("_fold.over_budget").alias("skipped_by_token_budget"),
         F.col("_fold.over_count").alias("skipped_by_count"),
+        *counts,
     )
 
 
 def pack_diagnostics(packed: DataFrame, fixed: DataFrame, recalled: DataFrame) -> DataFrame:
-    """Counters of a packing run, with the candidate counts of both inputs."""
+    """Counters of a packing run, with the candidate counts of both inputs. Where the packed rows
+    bring them, the inputs are not read."""
+    if set(COUNTS) <= set(packed.columns):
+        return packed.drop("text", "memory_ids")
     fixed_n = fixed.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("fixed_recent_candidate_count"))
     recall_n = recalled.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("recall_candidate_count"))
     return (
