@@ -10,11 +10,12 @@ from turnledger.llm.bagminhash import drop_near_copies
 from turnledger.llm.contamination import drop_contaminated
 from turnledger.llm.exact_dedup import drop_copies
 from turnledger.llm.piece_sampling import digests
-from turnledger.llm.stages import written
+from turnledger.llm.stages import small_batches, written
 from turnledger.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
 
 
@@ -23,14 +24,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
