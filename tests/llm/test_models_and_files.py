@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from turnledger.llm import ngram_filter, piece_sampling, pseudonyms, token_files, toxicity, warc
@@ -63,6 +65,27 @@ def test_language_and_id_do_not_enter_a_score(spark):
     assert one == two
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample's texts do not come to the driver; the network is that of a local fit."""
+    rows, labels = toxic_rows(200)
+    docs = spark.createDataFrame([(*r[:2], "en") for r in rows], "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    order = [r.doc_id for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    text, toxic = {r[0]: r[1] for r in rows}, dict(labels)
+    used = [i for n, i in enumerate(order) if n % 5 != 4]
+    local = toxicity.fit(toxicity._slots_of(pa.array([text[i] for i in used])), np.array([toxic[i] for i in used]))
+
+    fit, driver = toxicity.fit, os.getpid()
+
+    def elsewhere(*sample):
+        assert os.getpid() != driver
+        return fit(*sample)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    net = toxicity.train(docs, known)
+    assert np.allclose(net.embedding, local.embedding) and np.allclose(net.out, local.out) and net.thresholds
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     rows, labels = toxic_rows(100)
     docs = spark.createDataFrame([*rows, *[(i, t, None) for i, t in odd]], "doc_id long, text string, lang string")

@@ -20,6 +20,7 @@ the threshold of all; rows repeated in ``documents`` or ``labels`` count as ofte
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -223,16 +224,40 @@ def _set_thresholds(net: Network, docs: DataFrame, known: DataFrame, fitted: lis
             net.thresholds[name] = cut(rows)
 
 
-def _slots_of(texts: list[str | None]) -> list[np.ndarray]:
+def _slots_of(texts: pa.Array) -> list[np.ndarray]:
     out = []
-    for _, _, words in chunked_words(pa.array(texts, pa.string()), ALNUM, True):
+    for _, _, words in chunked_words(texts, ALNUM, True):
         slots = word_slots(words)
         out += [slots[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
     return out
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a sample (doc_id, text, toxic): the pickled fields of the network and the ids it was fitted
+    on; nothing where the sample has one label only."""
+    ids, labels, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for batch in batches:
+        ids.append(batch.column("doc_id").to_numpy())
+        labels.append(batch.column("toxic").to_numpy().astype(np.int64))
+        slots += _slots_of(batch.column("text"))
+    ids, y = np.concatenate(ids), np.concatenate(labels)
+    if len(np.unique(y)) < 2:
+        return
+    test = np.arange(len(y)) % 5 == 4
+    if not (0 < y[test].sum() < test.sum() and 0 < y[~test].sum() < (~test).sum()):
+        test[:] = False
+    net = fit([s for s, t in zip(slots, test) if not t], y[~test])
+    used = y[~test]
+    net.shift = -float(np.log(used.sum() / (len(used) - used.sum())))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([pickle.dumps(vars(net))], pa.binary()), pa.array([ids[~test].tolist()], pa.list_(pa.int64()))], ["net", "fitted"]
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network from labelled rows: ``docs`` (doc_id, text, lang), ``labels`` (doc_id, toxic)."""
+    """A network from labelled rows: ``docs`` (doc_id, text, lang), ``labels`` (doc_id, toxic).
+
+    The sample is fitted on in one task; its texts do not come to the driver, the network does."""
     known = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(shares.values())
@@ -242,18 +267,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     for toxic in (0, 1):
         part = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = F.broadcast(drawn).join(docs.select("doc_id", "text", "lang"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    y = np.array([r["toxic"] for r in rows])
-    if len(set(y.tolist())) < 2:
+    rows = F.broadcast(drawn).join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "toxic")
+    found = rows.mapInArrow(_fitted, "net binary, fitted array<bigint>").collect()
+    if not found:
         return Network(np.zeros((1 << BITS, DIM), np.float32), [], [], np.zeros(0), 0.0, {}, 0.0, shares[1] / total)
-    slots = _slots_of([r["text"] for r in rows])
-    test = np.arange(len(rows)) % 5 == 4
-    if not (0 < y[test].sum() < test.sum() and 0 < y[~test].sum() < (~test).sum()):
-        test[:] = False
-    net = fit([s for s, t in zip(slots, test) if not t], y[~test])
-    fitted = y[~test]
-    net.shift = float(np.log(shares[1] / shares[0]) - np.log(fitted.sum() / (len(fitted) - fitted.sum())))
-    _set_thresholds(net, docs, known, [r["doc_id"] for r, t in zip(rows, test) if not t])
+    net = Network(**pickle.loads(found[0]["net"]))
+    net.shift += float(np.log(shares[1] / shares[0]))
+    _set_thresholds(net, docs, known, found[0]["fitted"])
     return net
 
 
