@@ -1,5 +1,6 @@
 import re
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from turnledger.functions.keys import fingerprint
@@ -149,6 +150,23 @@ def test_floors_are_walked_in_order_up_to_a_failure(spark, folder):
         assert state.fingerprint() == want[i]
 
 
+def test_a_round_reads_its_tables_a_bounded_number_of_times(spark, folder, monkeypatch):
+    """Ordered scans start from written tables: none is computed anew inside of the next."""
+    leaves, parquet = {}, DataFrameWriter.parquet
+
+    def counted(self, path, *args, **options):
+        plan = self._df._jdf.queryExecution().analyzed()
+        leaves[path.rsplit("/", 1)[1]] = plan.collectLeaves().size()
+        return parquet(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    texts = ["age=1", "age=2", "two", "none"]
+    none = (spark.createDataFrame([], NODES), spark.createDataFrame([], PATCHES))
+    done = rebuild_until_valid(floors(spark, texts), *none, age_reader(), "p1", folder, first_block=8)
+    assert done.left.count() == 0 and done.nodes.count() == 4
+    assert leaves["new_nodes"] <= 8 and leaves["new_deltas"] <= 8 and leaves["states"] <= 24
+
+
 def stream_of(spark, frame, path, files=3):
     frame.repartition(files).write.parquet(path)
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -278,6 +278,7 @@ def commit_run(
     patches: DataFrame,
     prompt_version: str,
     number: int,
+    keep: Callable[[DataFrame, str], DataFrame],
     size: int = DEFAULT_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, deltas) of the floors of ``run``, in order on top of each chain's valid nodes.
@@ -285,14 +286,18 @@ def commit_run(
     ``said``: the patch rows of the run. The states of all floors come from one running
     pass over the leaf log of the chain, so a run of any length is one job. A floor that
     already has a node with the dependency it comes to gets none: its chain holds again.
+
+    ``keep`` writes a table under a name and reads it again. An ordered scan reads its input up
+    to four times, so each one starts from a written table: scans over scans would multiply.
     """
     rows = chain_patches(prefix, run, patches).unionByName(said).select(*SCOPE, F.col("message_index").alias("seq"), "path", "value")
-    changes = leaf_changes(patch_log(rows), size)
+    changes = keep(leaf_changes(keep(patch_log(keep(rows, "rows")), "log"), size), "changes")
     floors = run.select(*SCOPE, F.col("message_index").alias("seq"))
     states = leaf_fingerprints(changes, floors, size).withColumnRenamed("seq", "message_index")
-    linked = previous_row(
-        run.join(states, [*SCOPE, "message_index"]), SCOPE, "message_index", {"_previous": "state_fingerprint"}, size
-    ).withColumn("previous_state_fingerprint", F.coalesce("_previous", "_base"))
+    reached = keep(run.join(states, [*SCOPE, "message_index"]), "states")
+    linked = previous_row(reached, SCOPE, "message_index", {"_previous": "state_fingerprint"}, size).withColumn(
+        "previous_state_fingerprint", F.coalesce("_previous", "_base")
+    )
     node_id = F.concat_ws(":", F.lit("node"), "floor_id", F.lit(str(number)))
     made = linked.select(
         *SCOPE,
@@ -307,6 +312,7 @@ def commit_run(
         F.lit("synced").alias("status"),
         F.lit(number).cast("bigint").alias("created_at"),
     ).join(nodes.select("floor_id", "dependency_fingerprint"), ["floor_id", "dependency_fingerprint"], "left_anti")
+    made = keep(made.select(*_NODE), "new_nodes")
     deltas = changes.filter("op is not null").withColumnRenamed("seq", "message_index").join(
         made.select(*SCOPE, "message_index", "state_node_id"), [*SCOPE, "message_index"]
     )
@@ -373,13 +379,15 @@ def rebuild_until_valid(
         good = salted_join(run, cut, SCOPE, [F.col("floor_id")], "left").filter(
             F.col("_cut").isNull() | (F.col("message_index") < F.col("_cut"))
         ).drop("_cut")
+        good = written(good, f"{path}/good")
         node_id = F.concat_ws(":", F.lit("node"), "floor_id", F.lit(str(number)))
         again = known.join(patches.select(F.col("state_node_id").alias("source_node_id"), "path", "value"), "source_node_id")
         pairs = found.filter("path is not null").select("floor_id", "path", "value").unionByName(again.select("floor_id", "path", "value"))
         said = good.select(*SCOPE, "floor_id", "message_index", node_id.alias("state_node_id")).join(pairs, "floor_id").drop("floor_id")
         said = written(said.select(*SCOPE, "state_node_id", "message_index", "path", "value"), f"{path}/said")
-        made, changed = commit_run(prefix, good, said, nodes, patches, prompt_version, number, size)
-        new_nodes = written(made.select(*_NODE), f"{path}/new_nodes")
+        new_nodes, changed = commit_run(
+            prefix, good, said, nodes, patches, prompt_version, number, lambda df, name: written(df, f"{path}/{name}"), size
+        )
         new_deltas = written(changed, f"{path}/new_deltas")
         said = written(said.join(new_nodes.select("state_node_id"), "state_node_id", "left_semi"), f"{path}/new_patches")
         nodes = nodes.select(*new_nodes.columns).unionByName(new_nodes)
