@@ -160,17 +160,14 @@ def bm25_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("bm25_blockmax_topk", _SCORES_SQL + _BM25_OUT)
 def bm25_blockmax_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Same answer from the blocks whose bounds reach a query's threshold."""
-    postings = kept(spark, sf, "block_postings", lambda s, d: blockmax.build_blocks(memories(s, d))[0])
+    written = lambda rows: kept(spark, sf, "block_postings", lambda s, d: rows)
+    postings, lengths = blockmax.build_blocks(memories(spark, sf), written=written)
     blocks = kept(spark, sf, "blocks", lambda s, d: blockmax.block_maxima(postings))
-    lengths = kept(spark, sf, "lengths", lambda s, d: bm25.build_index(memories(s, d))[1])
     return _ranked(blockmax.block_max_topk(postings, blocks, lengths, searches(spark, sf)))
 
 
 def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return (
-        kept(spark, sf, "postings", lambda s, d: bm25.build_index(memories(s, d))[0]),
-        kept(spark, sf, "lengths", lambda s, d: bm25.build_index(memories(s, d))[1]),
-    )
+    return bm25.build_index(memories(spark, sf), lambda rows: kept(spark, sf, "postings", lambda s, d: rows))
 
 
 # A later state of the memories: some edited, some withdrawn, some new to the index.
@@ -419,7 +416,8 @@ ordered AS (
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     asked = searches(spark, sf)
     postings, lengths = _index(spark, sf)
-    scored = bm25.score(postings, bm25.corpus_stats(lengths), bm25.query_terms(asked))
+    lists = [bm25.Best(10), bm25.Best(10, by_floor=True, only="start_floor % 3 = 1")]
+    scored = bm25.score(postings, bm25.corpus_stats(lengths), bm25.query_terms(asked), lists)
     keys = [*SCOPE, "query_id"]
     first = bm25.top_k(scored, keys, bm25.by_score(), 10)
     order = [F.asc("start_floor"), F.asc("memory_id")]

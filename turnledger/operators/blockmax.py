@@ -16,21 +16,24 @@ Document frequencies are sums over the blocks, so postings are only read for sco
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.operators.bm25 import (
-    B,
     DEFAULT_TOP_K,
-    K1,
-    SCOPE,
     SCORE_DIGITS,
     build_index,
     by_score,
     corpus_stats,
+    index_rows,
     query_terms,
+    split_index,
+    staged,
 )
 from turnledger.operators.ranking import positive_or, top_k
+from turnledger.operators.scoring import B, K1, SCOPE, Asked, Best, add_up, ask, idf, matched, term_weights
 
 RANGE = 64
 #: Ranges of a query that are scored for its threshold.
@@ -60,13 +63,20 @@ def with_ranges(rows: DataFrame, documents: DataFrame, size: int = RANGE) -> Dat
     )
 
 
-def build_blocks(memories: DataFrame, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+def build_blocks(
+    memories: DataFrame, size: int = RANGE, written: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Postings with their range, and document lengths, ready to be written.
 
-    ``block_maxima`` of the written postings is the third table of the index.
+    ``block_maxima`` of the written postings is the third table of the index. ``written`` writes a
+    table and reads it back: texts are then read once, and dealt by range, so that the postings
+    of a block lie together.
     """
-    postings, lengths = build_index(memories)
-    return with_ranges(postings, lengths, size), lengths
+    if written is None:
+        postings, lengths = build_index(memories)
+        return with_ranges(postings, lengths, size), lengths
+    ranged = with_ranges(memories, memories.filter(~F.col("stale")), size)
+    return split_index(written(index_rows(ranged, ["range"], ["range"])))
 
 
 def block_maxima(postings: DataFrame) -> DataFrame:
@@ -91,45 +101,66 @@ def _asked_blocks(blocks: DataFrame, stats: DataFrame, queries: DataFrame) -> Da
         .agg(F.sum("postings").alias("df"))
     )
     weights = terms.join(frequency, [*SCOPE, "term"]).join(stats, SCOPE)
-    idf = F.log(F.lit(1.0) + (F.col("doc_count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select(*SCOPE, "term", "query_id", "avg_length", idf.alias("idf"))
+    weights = weights.select(*SCOPE, "term", "query_id", "avg_length", idf(F.col("doc_count"), F.col("df")).alias("idf"))
     return blocks.join(weights, [*SCOPE, "term"]).select(
         *_BLOCK, "query_id", "avg_length", "idf", "postings", _part("max_tf", "min_length").alias("bound")
     )
 
 
-def _scored(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    return (
-        postings.join(asked, _BLOCK)
-        .groupBy(*SCOPE, "query_id", "memory_id", "start_floor")
-        .agg(F.sum(_part("tf", "length")).alias("score"))
+def _needed_ranges(
+    postings: DataFrame, blocks: DataFrame, stats: DataFrame, asked: Asked, k: int, first: int
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(scope, query_id, range, _q) that may hold one of a query's k best documents, and how the
+    documents of such ranges are scored.
+
+    Bounds are sums over the asked blocks of a range as scores are over the postings of a
+    document, and are added up the same way (see ``scoring``).
+    """
+    held = matched(blocks, asked)
+    weights = term_weights(held.groupBy(*SCOPE, "_t").agg(F.sum("postings").alias("df")), stats, asked)
+    bounds = staged(add_up(held, asked, weights, ["range"], "max_tf", "min_length").withColumnRenamed("score", "_bound"), "bounds")
+
+    def scored(ranges: DataFrame) -> DataFrame:
+        place = [*SCOPE, "range"]
+        only = ranges.groupBy(*place).agg(F.collect_list("_q").alias("_queries"))
+        read = matched(postings.join(ranges.select(*place).distinct(), place, "left_semi"), asked)
+        return add_up(read, asked, weights, ["memory_id", "start_floor"], "tf", "length", [Best(k)], only, place)
+
+    key = [*SCOPE, "_q"]
+    best = staged(top_k(bounds, key, [F.desc("_bound"), F.asc("range")], first, "_place"), "first_ranges")
+    # A query's threshold is the k-th score of its first ranges; without k of them all is read.
+    found = top_k(scored(best), key, by_score(), k)
+    threshold = found.filter(F.col("rank") == k).select("_q", F.col("score").alias("_threshold"))
+    needed = bounds.join(threshold, "_q", "left").filter(
+        F.col("_threshold").isNull() | (F.col("_bound") >= F.col("_threshold") * F.lit(1 - _SLACK) - F.lit(_TIE))
     )
+    return staged(needed.select(*_ASKED, "_q"), "needed"), scored
 
 
 def needed_blocks(
     postings: DataFrame, blocks: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, first: int = FIRST
 ) -> DataFrame:
     """The blocks of each query that may hold one of its k best documents."""
-    k = positive_or(k, DEFAULT_TOP_K)
-    asked = _asked_blocks(blocks, corpus_stats(lengths), queries)
-    bounds = asked.groupBy(*_ASKED).agg(F.sum("bound").alias("_bound"))
-    key = [*SCOPE, "query_id"]
-    best = top_k(bounds, key, [F.desc("_bound"), F.asc("range")], first, "_place").select(*_ASKED)
-    # A query's threshold is the k-th score of its first ranges; without k of them all is read.
-    found = top_k(_scored(postings, asked.join(best, _ASKED, "left_semi")), key, by_score(), k)
-    threshold = found.filter(F.col("rank") == k).select(*key, F.col("score").alias("_threshold"))
-    needed = bounds.join(threshold, key, "left").filter(
-        F.col("_threshold").isNull() | (F.col("_bound") >= F.col("_threshold") * F.lit(1 - _SLACK) - F.lit(_TIE))
-    )
-    return asked.join(needed.select(*_ASKED), _ASKED, "left_semi")
+    stats = corpus_stats(lengths)
+    needed = None
+    for asked in ask(query_terms(queries)):
+        some = _needed_ranges(postings, blocks, stats, asked, positive_or(k, DEFAULT_TOP_K), first)[0].select(*_ASKED)
+        needed = some if needed is None else needed.unionByName(some)
+    return _asked_blocks(blocks, stats, queries).join(needed, _ASKED, "left_semi")
 
 
 def block_max_topk(
     postings: DataFrame, blocks: DataFrame, lengths: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, first: int = FIRST
 ) -> DataFrame:
     """The rows of ``search_index``, from the blocks that are needed only."""
-    needed = needed_blocks(postings, blocks, lengths, queries, k, first)
-    return top_k(_scored(postings, needed), [*SCOPE, "query_id"], by_score(), positive_or(k, DEFAULT_TOP_K))
+    k = positive_or(k, DEFAULT_TOP_K)
+    stats = corpus_stats(lengths)
+    found = None
+    for asked in ask(query_terms(queries)):
+        needed, scored = _needed_ranges(postings, blocks, stats, asked, k, first)
+        some = scored(needed).drop("_q")
+        found = some if found is None else found.unionByName(some)
+    return top_k(found, [*SCOPE, "query_id"], by_score(), k)
 
 
 def blocks_read(
