@@ -29,6 +29,7 @@ from turnledger.functions.keys import (
 from turnledger.operators import branches as br
 from turnledger.operators import floors as fl
 from turnledger.operators import pack as pk
+from turnledger.operators.bm25 import staged
 from turnledger.operators.floors import SCOPE
 
 NOW = "2026-02-01 00:00:00"
@@ -617,6 +618,8 @@ packed AS (
 
 def _packed(spark: SparkSession, sf: str, counts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     candidates, fixed, final = _candidates(spark, sf, counts)
+    # Written, a few rows a query: the planner sees that texts need not be shuffled to meet them.
+    candidates = staged(candidates, "candidates")
     detail = memories(spark, sf).select(
         *SCOPE, "memory_id", "start_floor", "end_floor", "title", "summary"
     )
