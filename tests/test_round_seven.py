@@ -129,6 +129,15 @@ def test_replay_of_a_sparse_chat_without_checkpoints(spark, folder):
         assert got.get(str(seq), {}) == folded(made, seq), seq
 
 
+def test_rows_without_a_path_replace_each_other_only(spark, folder):
+    made = [("", "1"), (None, "2"), ("/a", "3"), (None, "4"), ("", "5")]
+    events = spark.createDataFrame([("a", "m", i, "replace", p, "value", v) for i, (p, v) in enumerate(made)], LOG)
+    cp.append_log(events, folder, 50)
+    points = events.select(*SCOPE, F.col("seq").cast("string").alias("query_id"), F.col("seq").alias("at_seq"))
+    got = states(cp.replay_points(spark, folder, points, 50, 64))
+    assert got == {"0": {"": "1"}, "1": {"": "1", None: "2"}, "2": {"": "1", None: "2", "/a": "3"}, "3": {"": "1", None: "4", "/a": "3"}, "4": {"": "5", None: "4"}}
+
+
 def test_a_long_log_has_few_partitions(spark, folder):
     """Was: a folder and a file for each segment, which the driver lists and holds."""
     events = spark.range(3000).select(
